@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rolescape.llm import packing, rules, sharding, tokenfile
+from rolescape.llm import bpe, fingerprints, licenses, packing, rules, sharding, tokenfile
 from rolescape.llm.common import table
 
 
@@ -26,10 +26,18 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), word_vocabulary())
 
 
+def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op6_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), byte_vocabulary())
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.round_trip(table(spark, sf_dir, "documents"), word_vocabulary())
 
@@ -38,8 +46,12 @@ def op9_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), 40)
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op3_quality_rules, op7_token_files, op9_jump_shards)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_document_fingerprints, op3_quality_rules, op6_bpe_automaton, op7_token_files, op9_jump_shards, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -17,7 +17,7 @@ import numpy as np
 #: Chunks that a worker keeps; then it starts anew. About 150 bytes each.
 KEPT_CHUNKS = 500_000
 #: White space of either kind (Unicode, Python) beyond the ASCII ones: such texts aren't split here.
-RARE_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏    ⁠　﻿]")
+RARE_SPACE = re.compile("[\u001c-\u001f\u0085\u00a0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
 LATIN = re.compile("[\x21-\x7e\xa1-\xac\xae-\xff]*")
 #: The vocabulary file's split pattern.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
