@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rolescape.llm import bpe, fingerprints, licenses, packing, rules, sharding, tokenfile
+from rolescape.llm import bpe, classifier, fingerprints, jaccard, licenses, packing, rules, sharding, suffixes, tokenfile
 from rolescape.llm.common import table
 
 
@@ -34,6 +34,15 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(table(spark, sf_dir, "documents"))
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return classifier.classify(docs, classifier.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), byte_vocabulary())
 
@@ -42,6 +51,10 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.round_trip(table(spark, sf_dir, "documents"), word_vocabulary())
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), 40)
 
@@ -51,7 +64,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_document_fingerprints, op3_quality_rules, op6_bpe_automaton, op7_token_files, op9_jump_shards, op10_license_scan)}
+    import corpus_pipeline
+
+    found = {f.__name__: f for f in (op1_best_fit_packing, op2_document_fingerprints, op3_quality_rules, op4_suffix_dedup, op5_quality_classifier, op6_bpe_automaton, op7_token_files, op8_jaccard_join, op9_jump_shards, op10_license_scan)}
+    return found | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,7 +7,7 @@ by chunk, where one repetitive passage in a long clean text shows that the whole
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -109,3 +109,20 @@ def quality_rules(docs: DataFrame, bands: Bands = Bands(), key: str = "doc_id",
         return pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in schema.split(", ")])
 
     return per_batch(slim(docs, key, text), run, schema)
+
+
+def passing(docs: DataFrame, bands: Bands = Bands(), text: str = "text") -> DataFrame:
+    """The rows of docs, with all columns, that quality_rules keeps."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        compressor = zstandard.ZstdCompressor(level=bands.level)
+
+        def ok(x: str) -> bool:
+            n, *_, repeated = word_counts(x)
+            return n >= BASE_MIN_WORDS and 100 * repeated <= BASE_MAX_REPEATED_PERCENT * n and verdict(x.encode(), bands, compressor)[3]
+
+        yield batch.filter(pa.array([ok(x) for x in texts(batch, text)]))
+
+    return per_batch(docs, run, docs.schema)
