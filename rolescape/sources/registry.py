@@ -1,0 +1,70 @@
+"""Company registries, overrides and source specifications from YAML folders, checked, as DataFrames."""
+
+from __future__ import annotations
+
+from pathlib import Path
+from typing import Any
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rolescape import schemas
+from rolescape.config import read_yaml
+from rolescape.functions.urls import is_public
+from rolescape.operators.coverage import BLOCKED, STATUSES
+
+REQUIRED = ("company_id", "company", "country", "status", "employer_type", "official_careers_url", "ats_family", "source_mode")
+
+
+def fragments(base: Path, key: str) -> list[tuple[Path, dict[str, Any]]]:
+    """(file, entry) of a YAML list and of the files in its .d folder, in order."""
+    out = []
+    for file in [base, *sorted(base.with_suffix(".d").glob("*.yaml"))]:
+        rows = read_yaml(file).get(key, [])
+        if not isinstance(rows, list) or not all(isinstance(r, dict) for r in rows):
+            raise ValueError(f"{file}: {key} must be a list of mappings")
+        out += [(file, r) for r in rows]
+    return out
+
+
+def checked(entries: list[tuple[Path, dict[str, Any]]], required: tuple[str, ...] = REQUIRED) -> list[dict[str, Any]]:
+    """Entries with all required text, unique ids and (case-folded) names, known statuses and priorities 1 to 3."""
+    seen: dict[tuple[str, str], Path] = {}
+    for file, e in entries:
+        who = e.get("company_id", "?")
+        if missing := [f for f in required if not str(e.get(f) or "").strip()]:
+            raise ValueError(f"{file}: {who}: missing {', '.join(missing)}")
+        if e["status"] not in STATUSES:
+            raise ValueError(f"{file}: {who}: unsupported status {e['status']!r}")
+        if e["status"] == BLOCKED and not str(e.get("blocked_reason") or "").strip():
+            raise ValueError(f"{file}: {who}: a blocked company needs a reason")
+        if e.get("priority", 2) not in (1, 2, 3):
+            raise ValueError(f"{file}: {who}: priority must be 1, 2 or 3")
+        for kind, value in (("id", str(e["company_id"])), ("name", str(e["company"]).casefold())):
+            if (kind, value) in seen:
+                raise ValueError(f"{file} and {seen[kind, value]}: duplicate {kind} {value!r}")
+            seen[kind, value] = file
+    return [e for _, e in entries]
+
+
+def registry(spark: SparkSession, folder: str | Path, filename: str = "companies.yaml") -> DataFrame:
+    rows = checked(fragments(Path(folder) / filename, "companies"))
+    out = []
+    for r in rows:
+        out.append(tuple([str(x) for x in r.get(f.name) or []] if f.name in ("regions", "local_entities", "company_aliases", "sectors", "source_ids") else bool(r.get(f.name)) if f.name == "alert_supported" else int(r.get(f.name, 2)) if f.name == "priority" else str(r.get(f.name) or "") for f in schemas.REGISTRY.fields))
+    return spark.createDataFrame(out, schemas.REGISTRY)
+
+
+def invalid_urls(df: DataFrame, column: str) -> DataFrame:
+    return df.where(~is_public(F.col(column)))
+
+
+def selected(sources: DataFrame, only: list[str] | None = None) -> DataFrame:
+    """Enabled sources, or those asked for; asking for an unknown or disabled one is an error."""
+    live = sources.where("enabled")
+    if only is None:
+        return live
+    found = {r["id"] for r in live.where(F.col("id").isin(only)).select("id").collect()}
+    if missing := sorted(set(only) - found):
+        raise ValueError(f"unknown or disabled sources: {', '.join(missing)}")
+    return live.where(F.col("id").isin(only))
