@@ -62,11 +62,19 @@ def gram_hashes(w: Column, k: int = GRAM) -> Column:
     return F.transform(starts, lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(k)]))
 
 
+def checked_grams(w: Column, hashes: list[int], k: int = GRAM) -> Column:
+    """hash of every k-gram, with its words if the hash is one of some."""
+    some = F.when(F.size(w) >= k, F.sequence(F.lit(0), F.size(w) - k)).otherwise(F.array().cast("array<int>"))
+    said = lambda h, i: F.when(h["hash"].isin(*hashes), F.concat_ws(" ", *[F.get(w, i + j) for j in range(k)]))
+    hashed = F.transform(gram_hashes(w, k), lambda h: F.struct(h.alias("hash")))
+    return F.zip_with(hashed, some, lambda h, i: F.struct(h["hash"].alias("hash"), said(h, i).alias("said")))
+
+
 def notices(spark: SparkSession, texts: dict[str, list[str]] | None = None) -> DataFrame:
     """label, notice, n (words), tpos, hash, gram for every k-gram of the notices."""
     rows = [(label, i, x) for i, (label, x) in enumerate((label, x) for label, xs in (texts or NOTICES).items() for x in xs)]
     df = spark.createDataFrame(rows, "label string, notice int, body string").withColumn("w", words(F.col("body")))
-    df = df.select("label", "notice", F.size("w").alias("n"), "w", F.posexplode(gram_hashes(F.col("w"))).alias("tpos", "hash"))
+    df = df.select("label", "notice", F.size("w").alias("n"), "w", F.posexplode_outer(gram_hashes(F.col("w"))).alias("tpos", "hash"))
     return df.select("label", "notice", "n", "tpos", "hash", F.concat_ws(" ", F.slice("w", F.col("tpos") + 1, GRAM)).alias("gram"))
 
 
@@ -92,9 +100,12 @@ def scan(docs: DataFrame, texts: dict[str, list[str]] | None = None, key: str =
     base_labels = F.filter(F.array(*[F.when(F.size(f"p{i}") > 0, F.lit(label)) for i, label in enumerate(BASE.values())]), lambda x: x.isNotNull())
     found = found.select("key", "text_key", "n_words", F.size(places).cast("long").alias("n_base"), F.array_min(places).cast("long").alias("first_word"), F.array_max(places).cast("long").alias("last_word"), base_labels.alias("base"))
 
-    grams = base.select("key", "text_key", F.col("w"), gram_hashes(F.col("w")).alias("hashes")).select("key", "text_key", "w", F.posexplode("hashes").alias("pos", "hash"))
-    # the notices are a constant of a few hundred rows
-    met = grams.join(F.broadcast(notices(spark, texts)), "hash").where(F.concat_ws(" ", F.slice("w", F.col("pos") + 1, GRAM)) == F.col("gram"))
+    known = notices(spark, texts)
+    # the notices are a constant of a few hundred rows; a gram's words go along only where its hash is one of theirs
+    hashes = [r["hash"] for r in known.select("hash").distinct().collect()]
+    # the outer form: for the inner one Spark infers a filter on the array size, under which it would split each text again for every gram
+    grams = base.select("key", "text_key", checked_grams(F.col("w"), hashes).alias("g")).select("key", "text_key", F.posexplode_outer("g").alias("pos", "g"))
+    met = grams.select("key", "text_key", "pos", "g.hash", "g.said").join(F.broadcast(known), "hash").where(F.col("said") == F.col("gram"))
     # a set of notice positions on each diagonal: rows that repeat a document add nothing, and a notice bounds the set
     votes = met.groupBy("key", "text_key", "label", "notice", "n", (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(F.collect_set("tpos").alias("at"))
     along = Window.partitionBy("key", "text_key", "label", "notice").orderBy("diagonal")
