@@ -130,9 +130,11 @@ def per_page(df: DataFrame, key: str, markup: str, fn, ddl: str, names: list[str
             for k, m in zip(batch.column(key).to_pylist(), batch.column(markup).to_pylist(), strict=True):
                 out += [(k, *row) for row in fn(m)]
             if out:
-                yield pa.RecordBatch.from_pylist([dict(zip([key, *names], r, strict=True)) for r in out])
+                columns = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [batch.schema.field(key).type, *kinds], strict=True)], [key, *names])
 
     kind = df.schema[key].dataType.simpleString()
+    kinds = [pa.int32() if part.split()[1] == "int" else pa.string() for part in ddl.split(", ")]
     return df.select(key, markup).mapInArrow(run, f"{key} {kind}, {ddl}")
 
 
