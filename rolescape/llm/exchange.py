@@ -21,7 +21,7 @@ from rolescape.llm.common import BlockStore, partitions
 
 
 def pack_names(names: np.ndarray) -> bytes:
-    """Ascending names as their differences, compressed."""
+    """Ascending names as their differences, compressed byte by byte of the difference."""
     gaps = np.diff(names, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(gaps.T).tobytes())
 

@@ -10,10 +10,11 @@ segments let a set leave out those with few shingles, which many unrelated sets
 Sets that agree in a segment are compared by parity sketches, in which each shingle flips one bit: their Hamming
 distance never exceeds the number of differing shingles. Pairs that pass are verified on the sets themselves.
 
-No group is expanded into pairs. A group first gives one pair for each member, with the member in its middle (by the
-bitwise majority of the sketches). Verified links become components; in a second round groups give the pairs whose
-sketches pass and whose members are not yet in one component. A pair left out is then in one component already, so
-components are exact. Blocks exchange only names that occur elsewhere (exchange.py); sets travel for pairs alone.
+No group is expanded into pairs. A first round takes of each set the few smallest of its shared names alone and pairs
+each member of their groups with one of them; verified links become components. Names whose sets then all lie in one
+component are done with. In the second round the groups of the others give the pairs whose sketches pass and whose
+members are not yet in one component. A pair left out is then in one component already, so components are exact.
+Blocks exchange only names that occur elsewhere (exchange.py); sets travel for pairs alone.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rolescape.llm.common import BlockStore, read_block, shared_dir
-from rolescape.llm.exchange import answer_blocks, bucket_edges, buckets_for, gather_buckets, joined_names, member, shared_names, split_by_bucket
+from rolescape.llm.exchange import SHARED, answer_blocks, bucket_edges, buckets_for, gather_buckets, joined_names, member, pack_names, shared_names, split_by_bucket, unpack_names
 from rolescape.llm.suffixes import expand, squeeze
 
 SHINGLE = 5
@@ -68,8 +69,9 @@ def shingle_set(text: str | None) -> np.ndarray:
     h = np.full(n, k, np.uint64)
     with np.errstate(over="ignore"):
         for i in range(k):
-            h = mix(h * np.uint64(0x9E3779B97F4A7C15) + w[i : i + n])
-    return np.unique(h)
+            h *= np.uint64(0x9E3779B97F4A7C15)
+            h += w[i : i + n]
+    return np.unique(mix(h))
 
 
 @lru_cache(maxsize=4096)
@@ -105,7 +107,8 @@ def segment_names(h: np.ndarray, b: int) -> np.ndarray:
     while least < 2 and (held < least + 1).sum() <= spare:
         least += 1
     use = np.flatnonzero(held >= least)
-    return mix(x[use] + mix(np.uint64(b << 32) + use.astype(np.uint64) + np.uint64(1)))
+    # the high 48 bits do: a name shared by chance costs a comparison, and short names travel in half the space
+    return mix(x[use] + mix(np.uint64(b << 32) + use.astype(np.uint64) + np.uint64(1))) >> np.uint64(16) << np.uint64(16)
 
 
 def sketch(h: np.ndarray, b: int) -> np.ndarray:
@@ -131,38 +134,118 @@ def names_of_sets(file: str, key: str, text: str) -> tuple[np.ndarray, np.ndarra
 
 
 GROUPS = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("groups", pa.binary())])
+SIDE = pa.schema([("block", pa.int32()), ("side", pa.binary())])
 NO_KEY = np.iinfo(np.int64).max
+#: Names of a set that the first round takes.
+FIRST_NAMES = 4
 
 
-def send_groups(block: int, file: str, shared: np.ndarray, roots: dict[int, int], buckets: int, key: str, text: str) -> Iterator[pa.RecordBatch]:
-    """A block's entries for each bucket: shared names with the place, key, size, root, set hash and sketch of their sets."""
-    entries, owners, about = [], [], []
+def side_table(block: int, file: str, shared: np.ndarray, key: str, text: str) -> Iterator[pa.RecordBatch]:
+    """What later rounds need of a block: key, size and hash of each set, and which shared names it has."""
+    keys, sizes, whole, owners, names = [], [], [], [], []
     for row, k, h in sets_of(file, key, text):
-        if not len(h):
-            continue
-        for b in (band_of(len(h)), band_of(len(h)) + 1):
-            names = segment_names(h, b)
-            names = names[member(names, shared)]
-            if len(names):
-                place = block << ROW_BITS | row
-                with np.errstate(over="ignore"):
-                    whole = int(mix(h + np.uint64(7)).sum(dtype=np.uint64))
-                entries.append(names)
-                owners.append(np.full(len(names), len(about)))
-                about.append((place, NO_KEY if k is None else k, len(h), roots.get(place, place), whole, sketch(h, b)))
-    if not entries:
-        return
-    names, owner = np.concatenate(entries), np.concatenate(owners)
-    order = np.argsort(names, kind="stable")
-    names, owner = names[order], owner[order]
+        keys.append(NO_KEY if k is None else k)
+        sizes.append(len(h))
+        with np.errstate(over="ignore"):
+            whole.append(int(mix(h + np.uint64(7)).sum(dtype=np.uint64)))
+        if len(h):
+            own = np.concatenate([segment_names(h, b) for b in (band_of(len(h)), band_of(len(h)) + 1)])
+            own = own[member(own, shared)]
+            names.append(own)
+            owners.append(np.full(len(own), row, np.uint32))
+    order = np.argsort(np.concatenate(names), kind="stable") if names else np.zeros(0, int)
+    n, o = (np.concatenate(names)[order], np.concatenate(owners)[order]) if names else (np.zeros(0, np.uint64), np.zeros(0, np.uint32))
+    blob = squeeze(np.array(keys, "<i8").tobytes(), np.array(sizes, "<u4").tobytes(), np.array(whole, "<u8").tobytes(), pack_names(n), o.astype("<u4").tobytes())
+    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([blob], pa.binary())], schema=SIDE)
+
+
+class Side:
+    """A block's side table, opened; names ascend, owners are the rows that have them."""
+
+    def __init__(self, blob: bytes):
+        keys, sizes, whole, names, owners = expand(blob)
+        self.keys, self.sizes, self.whole = np.frombuffer(keys, "<i8"), np.frombuffer(sizes, "<u4"), np.frombuffer(whole, "<u8")
+        self.owners = np.frombuffer(owners, "<u4")
+        self.names = unpack_names(names) if len(self.owners) else np.zeros(0, np.uint64)
+
+
+def roots_by_row(rows: list[dict], n: int, block: int) -> np.ndarray:
+    """The root of each row of a block: its own place where it has no link yet."""
+    out = (np.int64(block) << np.int64(ROW_BITS)) + np.arange(n, dtype=np.int64)
+    for r in rows:
+        if r["roots"] is not None:
+            nodes, own = (np.frombuffer(x, "<i8") for x in expand(r["roots"]))
+            out[nodes & ((1 << ROW_BITS) - 1)] = own
+    return out
+
+
+def group_blobs(block: int, names: np.ndarray, owners: np.ndarray, side: Side, roots: np.ndarray, sketches: dict[int, bytes] | None, buckets: int) -> Iterator[pa.RecordBatch]:
+    """A block's entries for each bucket: names with the place, key, size, root and set hash of their sets, and a sketch."""
     for b, part in split_by_bucket(names, bucket_edges(buckets)):
-        used, local = np.unique(owner[part], return_inverse=True)
-        own = [about[i] for i in used.tolist()]
-        table = np.array([x[:4] for x in own], np.int64)
-        blob = squeeze(names[part].astype("<u8").tobytes(), local.astype("<u4").tobytes(), table.astype("<i8").tobytes(), np.array([x[4] for x in own], "<u8").tobytes(), np.array([len(x[5]) for x in own], "<u4").tobytes(), b"".join(x[5].tobytes() for x in own))
+        used, local = np.unique(owners[part], return_inverse=True)
+        table = np.stack([(np.int64(block) << np.int64(ROW_BITS)) + used.astype(np.int64), side.keys[used], side.sizes[used].astype(np.int64), roots[used]], 1)
+        drawn = [sketches[r] for r in used.tolist()] if sketches is not None else []
+        blob = squeeze(pack_names(names[part]), local.astype("<u4").tobytes(), table.astype("<i8").tobytes(), side.whole[used].tobytes(), np.array([len(x) for x in drawn], "<u4").tobytes(), b"".join(drawn))
         yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([block], pa.int32()), pa.array([blob], pa.binary())], schema=GROUPS)
 
 
+def first_groups(block: int, side: Side, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Entries of the FIRST_NAMES smallest (mixed) shared names of each set."""
+    order = np.lexsort((mix(side.names), side.owners))
+    o = side.owners[order]
+    start = np.maximum.accumulate(np.where(np.concatenate([[True], o[1:] != o[:-1]]), np.arange(len(o)), 0)) if len(o) else order
+    use = np.sort(order[np.arange(len(o)) - start < FIRST_NAMES])
+    yield from group_blobs(block, side.names[use], side.owners[use], side, roots_by_row([], len(side.keys), block), None, buckets)
+
+
+NAMED = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("named", pa.binary())])
+
+
+def named_roots(block: int, side: Side, roots: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """For each bucket, a block's names with the smallest and largest root among their sets."""
+    if not len(side.names):
+        return
+    own = roots[side.owners]
+    first = np.flatnonzero(np.concatenate([[True], side.names[1:] != side.names[:-1]]))
+    names, low, high = side.names[first], np.minimum.reduceat(own, first), np.maximum.reduceat(own, first)
+    for b, part in split_by_bucket(names, bucket_edges(buckets)):
+        blob = squeeze(pack_names(names[part]), low[part].astype("<i8").tobytes(), high[part].astype("<i8").tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([block], pa.int32()), pa.array([blob], pa.binary())], schema=NAMED)
+
+
+def open_names(rows: list[dict]) -> Iterator[tuple]:
+    """(block, names) of those whose sets have more than one root."""
+    parts = [(r["block"], *expand(r["named"])) for r in rows]
+    each = [unpack_names(p[1]) for p in parts]
+    names = np.concatenate(each)
+    low, high = (np.concatenate([np.frombuffer(p[i], "<i8") for p in parts]) for i in (2, 3))
+    order = np.argsort(names, kind="stable")
+    names, low, high = names[order], low[order], high[order]
+    first = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
+    split = names[first][np.minimum.reduceat(low, first) != np.maximum.reduceat(high, first)]
+    for (block, *_), own in zip(parts, each, strict=True):
+        met = member(own, split)
+        if met.any():
+            yield block, pack_names(own[met])
+
+
+def second_groups(block: int, file: str, side: Side, roots: np.ndarray, wanted: np.ndarray, buckets: int, key: str, text: str) -> Iterator[pa.RecordBatch]:
+    """Entries of the names with several roots, by band: names of two bands never meet, so each band has its sketches."""
+    use = member(side.names, wanted)
+    names, owners = side.names[use], side.owners[use]
+    if not len(names):
+        return
+    by_band: dict[int, tuple[set[int], dict[int, bytes]]] = {}
+    own_names: dict[int, list[np.ndarray]] = {}
+    for row, _, h in sets_of(file, key, text, set(np.unique(owners).tolist())):
+        for b in (band_of(len(h)), band_of(len(h)) + 1):
+            by_band.setdefault(b, (set(), {}))[1][row] = sketch(h, b).tobytes()
+            own_names.setdefault(b, []).append(segment_names(h, b))
+    for b, (_, drawn) in sorted(by_band.items()):
+        of_band = member(names, np.unique(np.concatenate(own_names[b])))
+        yield from group_blobs(block, names[of_band], owners[of_band], side, roots, drawn, buckets)
+
+
 def passing(sizes: np.ndarray, sketches: np.ndarray, i: int, others: np.ndarray) -> np.ndarray:
     """Which of the others could link with member i, by size and by Hamming distance."""
     n, m = int(sizes[i]), sizes[others]
@@ -170,33 +253,6 @@ def passing(sizes: np.ndarray, sketches: np.ndarray, i: int, others: np.ndarray)
     return (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)) & (9 * differ <= n + m)
 
 
-def star_pairs(sizes: np.ndarray, sketches: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(middle, members): stars that give each member of a group that has a passing partner at least one pair."""
-    left = np.arange(len(sizes))
-    everyone = left
-    bits = np.unpackbits(sketches.view(np.uint8), axis=1)
-    while len(left):
-        middle = int(left[0])
-        if len(left) > 2:
-            major = (2 * bits[left].sum(axis=0, dtype=np.int64) > len(left)).astype(np.uint8)
-            middle = int(left[(bits[left] ^ major).sum(axis=1, dtype=np.int64).argmin()])
-        near = everyone[passing(sizes, sketches, middle, everyone)]
-        yield middle, near[near != middle]
-        done = np.zeros(len(sizes), bool)
-        done[near] = True
-        done[middle] = True
-        rest = left[~done[left]]
-        if len(rest) and len(rest) > len(left) - 8 and len(left) > 64:
-            # scattered members: the others in order, each against those after it, without new majorities
-            for k, i in enumerate(rest.tolist()):
-                after = rest[k + 1 :]
-                hit = after[passing(sizes, sketches, i, after)]
-                if len(hit):
-                    yield i, hit[:1]
-            return
-        left = rest
-
-
 PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("a_key", pa.int64()), ("b_key", pa.int64()), ("equal", pa.bool_())])
 
 
@@ -206,13 +262,14 @@ def pairs_of_bucket(rows: list[dict], second: bool) -> Iterator[tuple]:
     base = 0
     for r in rows:
         n, own, about, hashes, sizes, raw = expand(r["groups"])
+        n = unpack_names(n)
         about = np.frombuffer(about, "<i8").reshape(-1, 4)
-        names.append(np.frombuffer(n, "<u8"))
+        names.append(n)
         local.append(np.frombuffer(own, "<u4").astype(np.int64) + base)
         table.append(about)
         whole.append(np.frombuffer(hashes, "<u8"))
         ends = np.cumsum(np.frombuffer(sizes, "<u4"), dtype=np.int64).tolist()
-        sketches += [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        sketches += [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
         base += len(about)
     names, local, table, whole = (np.concatenate(x) for x in (names, local, table, whole))
     order = np.argsort(names, kind="stable")
@@ -242,11 +299,14 @@ def pairs_of_bucket(rows: list[dict], second: bool) -> Iterator[tuple]:
         sizes, roots = table[group, 2], table[group, 3]
         if second and (roots == roots[0]).all():
             continue
-        sk = np.frombuffer(b"".join(sketches[i] for i in group.tolist()), np.uint64).reshape(len(group), -1)
         if second:
+            sk = np.frombuffer(b"".join(sketches[i] for i in group.tolist()), np.uint64).reshape(len(group), -1)
             stars = ((i, np.arange(i + 1, len(group))[(roots[i + 1 :] != roots[i]) & passing(sizes, sk, i, np.arange(i + 1, len(group)))]) for i in range(len(group) - 1))
         else:
-            stars = star_pairs(sizes, sk)
+            middle = int(np.argsort(sizes, kind="stable")[len(sizes) // 2])
+            fits = 100 * np.minimum(sizes, sizes[middle]) >= PERCENT * np.maximum(sizes, sizes[middle])
+            fits[middle] = False
+            stars = [(middle, np.flatnonzero(fits))]
         for i, members in stars:
             for j in members.tolist():
                 x, y = int(group[i]), int(group[j])
@@ -328,30 +388,19 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def links(store: BlockStore, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """Verified links (a, b, a_key, b_key) that connect all linked places, and the components (node, root)."""
+def links(store: BlockStore, key: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Verified links (a, b, a_key, b_key) that connect all linked places, the components (node, root), and side tables."""
     buckets = buckets_for(store)
-    shared = kept(shared_names(store, lambda file: names_of_sets(file, key, text)), "shared-names")
-    ddl = "bucket int, block int, groups binary"
-    pairs_ddl = "a long, b long, a_key long, b_key long, equal boolean"
-
-    def found(second: bool, roots: DataFrame | None) -> DataFrame:
-        answers = shared.select("block", "names", F.lit(None).cast("binary").alias("roots")) if roots is None else roots
-
-        def send(block: int, file: str, rows: list[dict]) -> Iterator[pa.RecordBatch]:
-            known: dict[int, int] = {}
-            for r in rows:
-                if r["roots"] is not None:
-                    nodes, own = (np.frombuffer(x, "<i8").tolist() for x in expand(r["roots"]))
-                    known.update(zip(nodes, own, strict=True))
-            yield from send_groups(block, file, joined_names([r for r in rows if r["names"] is not None]), known, buckets, key, text)
+    shared = shared_names(store, lambda file: names_of_sets(file, key, text))
+    side = kept(answer_blocks(store, shared, lambda block, file, rows: side_table(block, file, joined_names(rows), key, text), "block int, side binary", every=True), "side-tables")
+    ddl, pairs_ddl = "bucket int, block int, groups binary", "a long, b long, a_key long, b_key long, equal boolean"
 
-        sent = answer_blocks(store, answers, send, ddl)
+    def found(sent: DataFrame, second: bool) -> DataFrame:
         pairs = gather_buckets(sent, buckets, lambda _, rows: pairs_of_bucket(rows, second), PAIRS, pairs_ddl)
         pairs = kept(pairs.groupBy("a", "b").agg(F.first("a_key").alias("a_key"), F.first("b_key").alias("b_key"), F.max("equal").alias("equal")), "pairs")
         return kept(verified(store, pairs.where("not equal"), key, text).unionByName(pairs.where("equal").select("a", "b", "a_key", "b_key")), "links")
 
-    first = found(False, None)
+    first = found(answer_blocks(store, side, lambda block, _, rows: first_groups(block, Side(rows[0]["side"]), buckets), ddl), False)
     roots = components(first)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,21 +411,38 @@ def links(store: BlockStore, key: str, text: str) -> tuple[DataFrame, DataFrame]
                 at = blocks == b
                 yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([squeeze(node[at].astype("<i8").tobytes(), root[at].astype("<i8").tobytes())], pa.binary())], ["block", "roots"])
 
-    by_block = roots.mapInArrow(packed, "block int, roots binary")
-    answers = shared.select("block", "names", F.lit(None).cast("binary").alias("roots")).unionByName(by_block.select("block", F.lit(None).cast("binary").alias("names"), "roots"))
-    second = found(True, answers)
+    blank = lambda c: F.lit(None).cast("binary").alias(c)
+    known = kept(side.select("block", "side", blank("roots")).unionByName(roots.mapInArrow(packed, "block int, roots binary").select("block", blank("side"), "roots")), "roots")
+
+    def opened(block: int, rows: list[dict]) -> tuple[Side, np.ndarray]:
+        own = Side(next(r["side"] for r in rows if r["side"] is not None))
+        return own, roots_by_row(rows, len(own.keys), block)
+
+    asked = answer_blocks(store, known, lambda block, _, rows: named_roots(block, *opened(block, rows), buckets), "bucket int, block int, named binary")
+    many = gather_buckets(asked, buckets, lambda _, rows: open_names(rows), SHARED, "block int, names binary")
+    both = known.select("block", "side", "roots", blank("names")).unionByName(many.select("block", blank("side"), blank("roots"), "names"))
+
+    def again(block: int, file: str, rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        wanted = [r for r in rows if r["names"] is not None]
+        if wanted:
+            own, of = opened(block, [r for r in rows if r["names"] is None])
+            yield from second_groups(block, file, own, of, joined_names(wanted), buckets, key, text)
+
+    second = found(answer_blocks(store, both, again, ddl), True)
     every = first.unionByName(second)
-    return every, components(every)
+    return every, components(every), side
 
 
-def membership(store: BlockStore, key: str, text: str) -> DataFrame:
-    """(block, place, component, first): the smallest key of each linked place's component, and whether the place leads it."""
-    every, roots = links(store, key, text)
+def membership(store: BlockStore, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(block, place, component, first): the smallest key of each linked place's component, and whether the place leads
+    it; and the side tables."""
+    every, roots, side = links(store, key, text)
     who = every.select(F.col("a").alias("node"), F.col("a_key").alias("k")).unionByName(every.select(F.col("b").alias("node"), F.col("b_key").alias("k"))).groupBy("node").agg(F.min("k").alias("k"))
     who = who.join(roots, "node")
     lead = who.groupBy("root").agg(F.min(F.struct("k", "node")).alias("lead"))
     out = who.join(lead, "root")
-    return out.select(F.shiftright("node", ROW_BITS).cast("int").alias("block"), F.col("node").alias("place"), F.nullif(F.col("lead.k"), F.lit(NO_KEY)).alias("component"), (F.col("lead.node") == F.col("node")).alias("first"))
+    found = out.select(F.shiftright("node", ROW_BITS).cast("int").alias("block"), F.col("node").alias("place"), F.nullif(F.col("lead.k"), F.lit(NO_KEY)).alias("component"), (F.col("lead.node") == F.col("node")).alias("first"))
+    return found, side
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -389,15 +455,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """
     store = BlockStore.write(docs.select(docs[key].cast("long").alias(key), docs[text].alias(text)), "jaccard-blocks")
 
-    def finish(block: int, file: str, rows: list[dict]) -> Iterator[pa.RecordBatch]:
-        known = {r["place"]: r["component"] for r in rows}
-        for first, batch in read_block(file, [key, text]):
-            keys = batch.column(key).to_pylist()
-            n = [len(shingle_set(x)) for x in batch.column(text).to_pylist()]
-            own = [known.get(block << ROW_BITS | i, k) for i, k in enumerate(keys, first)]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64()), pa.array(own, pa.int64())], [key, "n_shingles", "component_id"])
+    found, side = membership(store, key, text)
+
+    def finish(block: int, _: str, rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        for own in (Side(r["side"]) for r in rows if r["side"] is not None):
+            component = own.keys.copy()
+            for r in rows:
+                if r["place"] is not None:
+                    component[r["place"] & ((1 << ROW_BITS) - 1)] = NO_KEY if r["component"] is None else r["component"]
+            known = [pa.array(x, pa.int64(), mask=x == NO_KEY) for x in (own.keys, component)]
+            yield pa.RecordBatch.from_arrays([known[0], pa.array(own.sizes.astype(np.int64)), known[1]], [key, "n_shingles", "component_id"])
 
-    return answer_blocks(store, membership(store, key, text), finish, f"{key} long, n_shingles long, component_id long", every=True)
+    answers = found.select("block", "place", "component", F.lit(None).cast("binary").alias("side")).unionByName(side.select("block", F.lit(None).cast("long").alias("place"), F.lit(None).cast("long").alias("component"), "side"))
+    return answer_blocks(store, answers, finish, f"{key} long, n_shingles long, component_id long")
 
 
 def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -410,4 +480,4 @@ def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
             keep = pa.array([i not in gone for i in range(first, first + batch.num_rows)])
             yield batch.filter(keep)
 
-    return answer_blocks(store, membership(store, key, text), finish, docs.schema, every=True)
+    return answer_blocks(store, membership(store, key, text)[0], finish, docs.schema, every=True)
