@@ -85,7 +85,7 @@ class Page(HTMLParser):
             self.ld.append(data)
         for tag in self.open:
             self.found[tag].append(data)
-        if self.hidden:
+        if self.hidden or "title" in self.open:
             return
         if self.href is not None:
             self.anchor.append(data)

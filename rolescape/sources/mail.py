@@ -76,8 +76,8 @@ def candidates(messages: DataFrame) -> DataFrame:
 
     found = messages.select("message_id", "raw").mapInArrow(run, ", ".join(f"{n} {'int' if n == 'candidate_index' else 'string'}" for n in names))
     url = unwrapped(F.col("href"))
-    seen = F.lower(F.concat_ws(" ", url, "anchor", "near"))
-    ok = found.withColumn("url", canonical(url)).where((F.col("error") != "") | (F.col("href").rlike("(?i)^https?://") & ~contains_any(seen, NO_JOB) & contains_any(seen, JOB_SIGNS)))
+    link, seen = F.lower(F.concat_ws(" ", url, "anchor")), F.lower(F.concat_ws(" ", url, "anchor", "near"))
+    ok = found.withColumn("url", canonical(url)).where((F.col("error") != "") | (F.col("href").rlike("(?i)^https?://") & ~contains_any(link, NO_JOB) & contains_any(seen, JOB_SIGNS)))
     return best_per(ok.withColumn("_k", F.concat_ws(" ", "message_id", F.when(F.col("error") == "", F.col("url")))), "_k", F.asc("candidate_index")).drop("_k")
 
 
