@@ -83,7 +83,11 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     at = (least[windows] & ((np.uint64(1) << PLACE_BITS) - np.uint64(1))).astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (windows[1:] != windows[:-1] + 1)]))
     last = np.concatenate([first[1:], [len(windows)]]) - 1
-    return names[at[first]], windows[first], windows[last]
+    # anchors are the least of their windows' names; mixed again they spread evenly over the buckets
+    with np.errstate(over="ignore"):
+        spread = names[at[first]] * np.uint64(0x9E3779B97F4A7C15)
+        spread = (spread ^ (spread >> np.uint64(32))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return spread ^ (spread >> np.uint64(29)), windows[first], windows[last]
 
 
 def refined(data: np.ndarray, width: int = WIDTH) -> np.ndarray:
