@@ -46,14 +46,14 @@ NEAR = 3
 COVER = 0.8
 STRETCH = 1.5
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
 
 def words(text: Column) -> Column:
     """The words of a text with A-Z lower-cased, as an array; null or empty text: none."""
-    low = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
-    return F.filter(F.split(low, SEPARATORS), lambda w: w != "")
+    # full lower-casing changes no word boundary, as every character beyond ASCII is part of a word before and after,
+    # and no base phrase has a letter that one of them becomes; it is several times faster than a translation of A-Z
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), SEPARATORS), lambda w: w != "")
 
 
 def gram_hashes(w: Column, k: int = GRAM) -> Column:
@@ -62,12 +62,11 @@ def gram_hashes(w: Column, k: int = GRAM) -> Column:
     return F.transform(starts, lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(k)]))
 
 
-def checked_grams(w: Column, hashes: list[int], k: int = GRAM) -> Column:
-    """hash of every k-gram, with its words if the hash is one of some."""
-    some = F.when(F.size(w) >= k, F.sequence(F.lit(0), F.size(w) - k)).otherwise(F.array().cast("array<int>"))
-    said = lambda h, i: F.when(h["hash"].isin(*hashes), F.concat_ws(" ", *[F.get(w, i + j) for j in range(k)]))
-    hashed = F.transform(gram_hashes(w, k), lambda h: F.struct(h.alias("hash")))
-    return F.zip_with(hashed, some, lambda h, i: F.struct(h["hash"].alias("hash"), said(h, i).alias("said")))
+def said_grams(w: Column, hashed: Column, hashes: list[int], k: int = GRAM) -> Column:
+    """(at, words) of the k-grams whose hash is one of some, for the check of matches: empty for most texts."""
+    places = F.when(F.size(hashed) > 0, F.sequence(F.lit(0), F.size(hashed) - 1)).otherwise(F.array().cast("array<int>"))
+    met = F.filter(places, lambda i: F.get(hashed, i).isin(*hashes))
+    return F.transform(met, lambda i: F.struct(i.alias("at"), F.concat_ws(" ", *[F.get(w, i + j) for j in range(k)]).alias("words")))
 
 
 def notices(spark: SparkSession, texts: dict[str, list[str]] | None = None) -> DataFrame:
@@ -103,9 +102,10 @@ def scan(docs: DataFrame, texts: dict[str, list[str]] | None = None, key: str =
     known = notices(spark, texts)
     # the notices are a constant of a few hundred rows; a gram's words go along only where its hash is one of theirs
     hashes = [r["hash"] for r in known.select("hash").distinct().collect()]
+    hashed = base.select("key", "text_key", "w", gram_hashes(F.col("w")).alias("hashes"))
     # the outer form: for the inner one Spark infers a filter on the array size, under which it would split each text again for every gram
-    grams = base.select("key", "text_key", checked_grams(F.col("w"), hashes).alias("g")).select("key", "text_key", F.posexplode_outer("g").alias("pos", "g"))
-    met = grams.select("key", "text_key", "pos", "g.hash", "g.said").join(F.broadcast(known), "hash").where(F.col("said") == F.col("gram"))
+    grams = hashed.select("key", "text_key", "hashes", said_grams(F.col("w"), F.col("hashes"), hashes).alias("said")).select("key", "text_key", "said", F.posexplode_outer("hashes").alias("pos", "hash"))
+    met = grams.join(F.broadcast(known), "hash").where(F.exists("said", lambda x: (x["at"] == F.col("pos")) & (x["words"] == F.col("gram"))))
     # a set of notice positions on each diagonal: rows that repeat a document add nothing, and a notice bounds the set
     votes = met.groupBy("key", "text_key", "label", "notice", "n", (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(F.collect_set("tpos").alias("at"))
     along = Window.partitionBy("key", "text_key", "label", "notice").orderBy("diagonal")
