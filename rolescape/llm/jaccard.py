@@ -96,12 +96,12 @@ def shape(b: int) -> tuple[int, int, int]:
     return differ + 1 + spare, spare, 64 * min(64, max(4, -(-largest // 32)))
 
 
-def segment_names(h: np.ndarray, b: int) -> np.ndarray:
-    """The names under which a set stands in a band, one for each segment it doesn't leave out."""
+def segment_names(h: np.ndarray, b: int, mixed: np.ndarray | None = None) -> np.ndarray:
+    """The names under which a set stands in a band, one for each segment it doesn't leave out; mixed is mix(h)."""
     segments, spare, _ = shape(b)
     at = ((h >> np.uint64(20)) % np.uint64(segments)).astype(np.int64)
     x = np.zeros(segments, np.uint64)
-    np.bitwise_xor.at(x, at, mix(h))
+    np.bitwise_xor.at(x, at, mix(h) if mixed is None else mixed)
     held = np.bincount(at, minlength=segments)
     least = 0
     while least < 2 and (held < least + 1).sum() <= spare:
@@ -127,8 +127,15 @@ def sets_of(file: str, key: str, text: str, rows: set[int] | None = None) -> Ite
                 yield i, k, shingle_set(x)
 
 
+def names_in_bands(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A set's names in its own band and the next, and 0 or 1 for which."""
+    b, mixed = band_of(len(h)), mix(h)
+    each = [segment_names(h, b, mixed), segment_names(h, b + 1, mixed)]
+    return np.concatenate(each), np.repeat(np.array([0, 1], np.uint8), [len(each[0]), len(each[1])])
+
+
 def names_of_sets(file: str, key: str, text: str) -> tuple[np.ndarray, np.ndarray]:
-    parts = [segment_names(h, b) for _, _, h in sets_of(file, key, text) if len(h) for b in (band_of(len(h)), band_of(len(h)) + 1)]
+    parts = [names_in_bands(h)[0] for _, _, h in sets_of(file, key, text) if len(h)]
     names, n = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.uint64), return_counts=True)
     return names, n > 1
 
@@ -142,30 +149,32 @@ FIRST_NAMES = 4
 
 def side_table(block: int, file: str, shared: np.ndarray, key: str, text: str) -> Iterator[pa.RecordBatch]:
     """What later rounds need of a block: key, size and hash of each set, and which shared names it has."""
-    keys, sizes, whole, owners, names = [], [], [], [], []
+    keys, sizes, whole, owners, names, nexts = [], [], [], [], [], []
     for row, k, h in sets_of(file, key, text):
         keys.append(NO_KEY if k is None else k)
         sizes.append(len(h))
         with np.errstate(over="ignore"):
             whole.append(int(mix(h + np.uint64(7)).sum(dtype=np.uint64)))
         if len(h):
-            own = np.concatenate([segment_names(h, b) for b in (band_of(len(h)), band_of(len(h)) + 1)])
-            own = own[member(own, shared)]
+            own, following = names_in_bands(h)
+            met = member(own, shared)
+            own = own[met]
             names.append(own)
+            nexts.append(following[met])
             owners.append(np.full(len(own), row, np.uint32))
     order = np.argsort(np.concatenate(names), kind="stable") if names else np.zeros(0, int)
-    n, o = (np.concatenate(names)[order], np.concatenate(owners)[order]) if names else (np.zeros(0, np.uint64), np.zeros(0, np.uint32))
-    blob = squeeze(np.array(keys, "<i8").tobytes(), np.array(sizes, "<u4").tobytes(), np.array(whole, "<u8").tobytes(), pack_names(n), o.astype("<u4").tobytes())
+    n, o, f = (np.concatenate(names)[order], np.concatenate(owners)[order], np.concatenate(nexts)[order]) if names else (np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint8))
+    blob = squeeze(np.array(keys, "<i8").tobytes(), np.array(sizes, "<u4").tobytes(), np.array(whole, "<u8").tobytes(), pack_names(n), o.astype("<u4").tobytes(), f.tobytes())
     yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([blob], pa.binary())], schema=SIDE)
 
 
 class Side:
-    """A block's side table, opened; names ascend, owners are the rows that have them."""
+    """A block's side table, opened; names ascend, owners are the rows that have them, nexts is 1 for those of the next band."""
 
     def __init__(self, blob: bytes):
-        keys, sizes, whole, names, owners = expand(blob)
+        keys, sizes, whole, names, owners, nexts = expand(blob)
         self.keys, self.sizes, self.whole = np.frombuffer(keys, "<i8"), np.frombuffer(sizes, "<u4"), np.frombuffer(whole, "<u8")
-        self.owners = np.frombuffer(owners, "<u4")
+        self.owners, self.nexts = np.frombuffer(owners, "<u4"), np.frombuffer(nexts, np.uint8)
         self.names = unpack_names(names) if len(self.owners) else np.zeros(0, np.uint64)
 
 
@@ -232,18 +241,21 @@ def open_names(rows: list[dict]) -> Iterator[tuple]:
 def second_groups(block: int, file: str, side: Side, roots: np.ndarray, wanted: np.ndarray, buckets: int, key: str, text: str) -> Iterator[pa.RecordBatch]:
     """Entries of the names with several roots, by band: names of two bands never meet, so each band has its sketches."""
     use = member(side.names, wanted)
-    names, owners = side.names[use], side.owners[use]
+    names, owners, nexts = side.names[use], side.owners[use], side.nexts[use]
     if not len(names):
         return
-    by_band: dict[int, tuple[set[int], dict[int, bytes]]] = {}
-    own_names: dict[int, list[np.ndarray]] = {}
-    for row, _, h in sets_of(file, key, text, set(np.unique(owners).tolist())):
-        for b in (band_of(len(h)), band_of(len(h)) + 1):
-            by_band.setdefault(b, (set(), {}))[1][row] = sketch(h, b).tobytes()
-            own_names.setdefault(b, []).append(segment_names(h, b))
-    for b, (_, drawn) in sorted(by_band.items()):
-        of_band = member(names, np.unique(np.concatenate(own_names[b])))
-        yield from group_blobs(block, names[of_band], owners[of_band], side, roots, drawn, buckets)
+    own_band = np.array([band_of(n) for n in side.sizes.tolist()], np.int64)
+    bands = own_band[owners] + nexts
+    need: dict[int, set[int]] = {}
+    for row, b in np.unique(np.stack([owners.astype(np.int64), bands]), axis=1).T.tolist():
+        need.setdefault(row, set()).add(b)
+    drawn: dict[int, dict[int, bytes]] = {}
+    for row, _, h in sets_of(file, key, text, set(need)):
+        for b in need[row]:
+            drawn.setdefault(b, {})[row] = sketch(h, b).tobytes()
+    for b in sorted(drawn):
+        at = bands == b
+        yield from group_blobs(block, names[at], owners[at], side, roots, drawn[b], buckets)
 
 
 def passing(sizes: np.ndarray, sketches: np.ndarray, i: int, others: np.ndarray) -> np.ndarray:
