@@ -27,6 +27,8 @@ HALF = CHUNK // 2
 SAMPLE_ROWS = 1500
 SAMPLE_CHUNKS = 8
 EPOCHS = 6
+#: Steps of training at least, however few rows there are.
+LEAST_STEPS = 240
 SEED = 20240501
 THRESHOLD = 0.7
 FOLDS, HELD_OUT = 4, 2
@@ -45,6 +47,7 @@ class Network:
     bias: np.ndarray
     weights: np.ndarray
     offset: float
+    trained: bool = False
 
     @classmethod
     def fresh(cls) -> Network:
@@ -87,8 +90,9 @@ def train(rows: list[tuple[bytes, int]], epochs: int = EPOCHS) -> Network:
     net, rng = Network.fresh(), np.random.default_rng(SEED + 1)
     params = [net.tables, net.bias, net.weights, np.zeros(1, np.float32)]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    share = sum(y for _, y in rows) / max(1, len(rows))
     if rows:
+        net.trained = True
+        epochs = max(epochs, -(-LEAST_STEPS // -(-len(rows) // 32)))
         net.weights[:] = rng.normal(0, 0.05, 3 * FILTERS)
     step = 0
     for epoch in range(epochs):
@@ -105,7 +109,7 @@ def train(rows: list[tuple[bytes, int]], epochs: int = EPOCHS) -> Network:
                 f = np.arange(FILTERS)
                 x = np.concatenate([c.mean(0), c[top, f], c[low, f]])
                 z = np.clip(float(x @ net.weights) + float(params[3][0]), -30, 30)
-                g = (1 / (1 + np.exp(-z)) - y) * (0.5 / max(share, 1e-3) if y else 0.5 / max(1 - share, 1e-3)) / len(part)
+                g = (1 / (1 + np.exp(-z)) - y) / len(part)
                 grads[2] += g * x
                 grads[3] += g
                 gx = g * net.weights
@@ -119,7 +123,7 @@ def train(rows: list[tuple[bytes, int]], epochs: int = EPOCHS) -> Network:
                 for j in range(WIDTH):
                     np.add.at(grads[0][j], (data[place + j], fs), gc)
             step += 1
-            rate = 0.01 * (0.5 ** (epoch / 2))
+            rate = 0.01 * 0.5 ** (3 * epoch / epochs)
             for p, g, m, v in zip(params, grads, first, second, strict=True):
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
@@ -177,7 +181,9 @@ def classify(docs: DataFrame, net: Network, threshold: float = THRESHOLD, key: s
 
 
 def good(docs: DataFrame, net: Network, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
-    """The rows of docs, with all columns, that the network predicts to be good."""
+    """The rows of docs, with all columns, that the network predicts to be good; one without training rejects nothing."""
+    if not net.trained:
+        return docs
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array([net.score(x) >= threshold for x in texts(batch, text)]))
