@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 
 from rolescape.plans.catalog import QUERIES
 
-HEADLINES = ("dedup_representatives", "dedup_variants", "summary_by_company", "daily_metrics", "top_100_jobs", "link_completeness", "fingerprint_sha256", "canonical_url", "match_score", "enrich_fill_empty", "contact_dedup", "country_coverage", "proof_coverage", "source_health_latest", "shortlist", "report_48h", "page_links", "ledger_merge")
+HEADLINES = ("dedup_representatives", "dedup_variants", "summary_by_company", "daily_metrics", "top_100_jobs", "link_completeness", "fingerprint_sha256", "canonical_url", "match_score", "enrich_fill_empty", "contact_dedup", "country_coverage", "proof_coverage", "source_health_latest", "shortlist", "report_48h", "page_links")
 
 
 def main() -> None:
