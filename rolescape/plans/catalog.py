@@ -442,7 +442,7 @@ def publication_status(spark, d):
 def dated_docs(spark, d):
     e = table(spark, d, "events").groupBy("user_id").agg(F.max("ts").alias("ts"))
     df = doc_jobs(spark, d)
-    return df.join(e, df["job_key"] == e["user_id"].cast("string")).withColumns({"published_at": dates.utc_text(F.col("ts")), "match_score": (F.col("job_key").cast("long") % 101).cast("int")}).drop("ts", "user_id")
+    return df.join(e, df["job_key"] == e["user_id"].cast("string"), "left").withColumns({"published_at": dates.utc_text(F.col("ts")), "match_score": (F.col("job_key").cast("long") % 101).cast("int")}).drop("ts", "user_id")
 
 
 _REPORT_SQL = f"""dated AS (SELECT doc_id, text, max(ts) AS ts FROM documents JOIN events ON user_id = doc_id GROUP BY 1, 2), body AS (SELECT *, lower(trim(regexp_replace({FIRST_LINE}, '\\s+', ' ', 'g')) || '  ' || trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS s FROM dated WHERE {any_sql('lower(text)', ('the', 'und'))}),
