@@ -550,7 +550,7 @@ def formula_guard(spark, d):
 
 @query(r"SELECT doc_id, replace(trim(regexp_replace(left(text, 200), '\s+', ' ', 'g')), '|', '\|') AS cell FROM documents")
 def markdown_escape(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.markdown_cell(F.left("text", F.lit(200))).alias("cell"))
+    return table(spark, d, "documents").select("doc_id", text.markdown_cell(F.col("text")).alias("cell"))
 
 
 @query("SELECT p_partkey, trim(regexp_replace(regexp_replace(lower(p_name || ' ' || p_brand), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), '-') AS slug FROM part")

@@ -1,8 +1,7 @@
 """Queries over the catalogue's tables against whole results, where their SQL in the catalogue covers less."""
 
 import datetime
-
-import pytest
+import re
 
 from rolescape.plans.catalog import QUERIES
 
@@ -23,3 +22,10 @@ def test_the_48_hour_report_has_documents_without_a_date(spark, tmp_path):
     rows = {tuple(r) for r in QUERIES["report_48h"](spark, folder).select("job_key", "date_status", "urgency").collect()}
     assert rows == {("1", "confirmed_48h", "urgent"), ("2", "older", "normal"), ("3", "date_unknown", "urgent"), ("4", "date_unknown", "normal")}
     assert QUERIES["report_48h_metrics"](spark, folder).first().asDict() == {"relevant": 4, "confirmed": 1, "confirmed_urgent": 1, "urgent_unknown": 1}
+
+
+def test_markdown_cells_are_whole(spark, tmp_path):
+    texts = ["a | b\n c", " x\t" * 150 + "| end |\n", "|" * 700, "", None]
+    folder = folder_of(spark, tmp_path, documents=([(i, x, "en", "web") for i, x in enumerate(texts)], DOCUMENTS))
+    cells = {r["doc_id"]: r["cell"] for r in QUERIES["markdown_escape"](spark, folder).collect()}
+    assert cells == {i: re.sub(r"\s+", " ", x or "").strip().replace("|", "\\|") for i, x in enumerate(texts)}
