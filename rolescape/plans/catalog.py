@@ -544,7 +544,7 @@ def identity_resolve(spark, d):
 
 @query("SELECT doc_id, CASE WHEN substr(ltrim(s), 1, 1) IN ('=', '+', '-', '@') THEN '''' || s ELSE s END AS safe FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '=' || left(text, 20) ELSE left(text, 20) END AS s FROM documents)")
 def formula_guard(spark, d):
-    s = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("="), F.left("text", F.lit(20)))).otherwise(F.left("text", F.lit(20)))
+    s = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("="), "text")).otherwise(F.col("text"))
     return table(spark, d, "documents").select("doc_id", text.formula_safe(s).alias("safe"))
 
 

@@ -29,3 +29,10 @@ def test_markdown_cells_are_whole(spark, tmp_path):
     folder = folder_of(spark, tmp_path, documents=([(i, x, "en", "web") for i, x in enumerate(texts)], DOCUMENTS))
     cells = {r["doc_id"]: r["cell"] for r in QUERIES["markdown_escape"](spark, folder).collect()}
     assert cells == {i: re.sub(r"\s+", " ", x or "").strip().replace("|", "\\|") for i, x in enumerate(texts)}
+
+
+def test_guarded_texts_are_whole(spark, tmp_path):
+    texts = ["sums and words " * 20, "=1+1 " * 20, "  -2 and a long tail of words", "plain", "@a", "more than twenty characters", None]
+    folder = folder_of(spark, tmp_path, documents=([(i, x, "en", "web") for i, x in enumerate(texts)], DOCUMENTS))
+    safe = {r["doc_id"]: r["safe"] for r in QUERIES["formula_guard"](spark, folder).collect()}
+    assert safe == {0: "'=" + texts[0], 1: "'" + texts[1], 2: "'" + texts[2], 3: "plain", 4: "'@a", 5: "'=" + texts[5], 6: None}
