@@ -33,6 +33,8 @@ GRAM = 20
 SORTED_BYTES = 1 << 21
 LAST = np.iinfo(np.int64).max
 PLACE_BITS = np.uint64(28)
+#: Windows whose anchors are found at a time: few enough for a core's cache, and below 2 ** PLACE_BITS.
+PART = 1 << 15
 
 
 def words_at(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -60,11 +62,8 @@ def gram_names(data: np.ndarray) -> np.ndarray:
     return x
 
 
-def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """name, first window, last window of every anchor, in order, of documents that stand in a row in data and end at `ends`."""
-    none = np.zeros(0, np.int64)
-    if len(data) < WIDTH:
-        return none.astype(np.uint64), none, none
+def runs_of(data: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """name, place, first window, last window of every anchor of the windows of data that `inside` marks; places have PLACE_BITS."""
     names = gram_names(data)
     place = np.arange(len(names), dtype=np.uint64)
     least = names >> PLACE_BITS << PLACE_BITS | place
@@ -74,20 +73,39 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         wide *= 2
     if wide < span:
         least = np.minimum(least[: len(least) - (span - wide)], least[span - wide :])
-    inside = np.ones(len(least), bool)
-    for e in ends[:-1].tolist():
-        inside[max(0, e - WIDTH + 1) : e] = False
     windows = np.flatnonzero(inside)
-    if not len(windows):
-        return none.astype(np.uint64), none, none
     at = (least[windows] & ((np.uint64(1) << PLACE_BITS) - np.uint64(1))).astype(np.int64)
-    first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (windows[1:] != windows[:-1] + 1)]))
-    last = np.concatenate([first[1:], [len(windows)]]) - 1
+    first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (windows[1:] != windows[:-1] + 1)])[: len(at)])
+    last = np.concatenate([first[1:], [len(windows)]])[: len(first)] - 1
+    return names[at[first]], at[first], windows[first], windows[last]
+
+
+def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """name, first window, last window of every anchor, in order, of documents that stand in a row in data and end at `ends`.
+
+    Windows are taken in parts of PART at most, which overlap by the bytes of a window. A window's anchor depends on
+    its bytes alone, so the parts change nothing, and places are counted in a part: data may have any length.
+    """
+    none = np.zeros(0, np.int64)
+    if len(data) < WIDTH:
+        return none.astype(np.uint64), none, none
+    inside = np.ones(len(data) - WIDTH + 1, bool)
+    for e in ends[:-1].tolist():
+        inside[max(0, e - WIDTH + 1) : e] = False
+    step = min(PART, (1 << int(PLACE_BITS)) - WIDTH)
+    parts = []
+    for a in range(0, len(inside), step):
+        name, *places = runs_of(data[a : a + step + WIDTH - 1], inside[a : a + step])
+        parts.append((name, *(x + a for x in places)))
+    name, at, first, last = (np.concatenate(x) for x in zip(*parts, strict=True))
+    # an anchor whose windows go on in the next part is one
+    begins = np.concatenate([[True], (at[1:] != at[:-1]) | (first[1:] != last[:-1] + 1)])[: len(at)]
+    name, first, last = name[begins], first[begins], last[np.concatenate([begins[1:], [True]])[: len(at)]]
     # anchors are the least of their windows' names; mixed again they spread evenly over the buckets
     with np.errstate(over="ignore"):
-        spread = names[at[first]] * np.uint64(0x9E3779B97F4A7C15)
+        spread = name * np.uint64(0x9E3779B97F4A7C15)
         spread = (spread ^ (spread >> np.uint64(32))) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return spread ^ (spread >> np.uint64(29)), windows[first], windows[last]
+    return spread ^ (spread >> np.uint64(29)), first, last
 
 
 def refined(data: np.ndarray, width: int = WIDTH) -> np.ndarray:

@@ -165,6 +165,35 @@ def test_suffix_dedup_on_many_small_texts(spark):
     assert Counter(got(suffixes.digest(df))) == Counter(brute_removed(items))
 
 
+def brute_anchors(data, ends, bits):
+    """(anchor's place, first window, last window), each window looked at by itself."""
+    names = suffixes.gram_names(data) >> np.uint64(bits)
+    out = []
+    for w in range(len(data) - suffixes.WIDTH + 1):
+        if not any(w < e < w + suffixes.WIDTH for e in ends):
+            at = w + int(np.argmin(names[w : w + suffixes.WIDTH - suffixes.GRAM + 1]))
+            if out and out[-1][0] == at and out[-1][2] == w - 1:
+                out[-1][2] = w
+            else:
+                out.append([at, w, w])
+    return out
+
+
+@pytest.mark.parametrize(("bits", "part"), [(28, 1 << 24), (9, 1 << 24), (28, 1), (28, 100), (12, 333)])
+def test_anchors_of_data_longer_than_a_place_reaches(monkeypatch, bits, part):
+    monkeypatch.setattr(suffixes, "PLACE_BITS", np.uint64(bits))
+    monkeypatch.setattr(suffixes, "PART", part, raising=False)
+    rng = random.Random(9)
+    passage = bytes(rng.randrange(256) for _ in range(130))
+    data = np.frombuffer(passage + bytes(rng.choice(b"ab") for _ in range(5000)) + passage + b"z" * 300, np.uint8)
+    ends = np.array([130, 140, 140, 1900, len(data)])
+    name, first, last = suffixes.anchors(data, ends)
+    want = brute_anchors(data, ends.tolist(), bits)
+    assert list(zip(first.tolist(), last.tolist(), strict=True)) == [(a, b) for _, a, b in want]
+    grams = [data[at : at + suffixes.GRAM].tobytes() for at, _, _ in want]
+    assert len(set(zip(grams, name.tolist(), strict=True))) == len(set(grams)) == len(set(name.tolist()))
+
+
 @pytest.mark.parametrize("data", [b"", b"a", b"abcabcabcabcabcabcabcabcabcabcabcabcabcabcabcabcabcabcabcabc" * 3])
 def test_refinement_names_equal_prefixes(data):
     a = np.frombuffer(data, np.uint8)
