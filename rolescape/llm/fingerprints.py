@@ -4,9 +4,10 @@ A text's prefix array holds, for every position i, the sum of c[j] * x^j over th
 31-bit prime (two of them). From it any span's hash is one subtraction and one product, two spans are equal when
 their hashes are, and the longest common extension of two positions is found by binary search over its length.
 
-The fingerprint takes every span of SPAN code points: those whose (mixed) hash is smallest are kept, KEPT at most,
-and with them the hash of the whole text. Two fingerprints estimate the share of spans that two texts have in
-common from the smallest hashes of their union; equal texts have equal fingerprints.
+The fingerprint takes every span of SPAN code points, or of fewer in a text that is shorter than three of them: those
+whose (mixed) hash is smallest are kept, KEPT at most, and with them the hash of the whole text. Two fingerprints of
+one span width estimate the share of spans that two texts have in common from the smallest hashes of their union;
+equal texts have equal fingerprints. Texts of different widths are compared by spans of the shorter text's width.
 """
 
 from __future__ import annotations
@@ -26,9 +27,16 @@ from rolescape.llm.tokenfile import bucket_of, id_ranges
 PRIMES = (2147483647, 2147483629)
 BASES = (1000003937, 1600000111)
 SPAN = 24
+#: Span widths; a text has the first that it holds three times, else single code points.
+WIDTHS = (SPAN, 8, 2)
 KEPT = 64
 
 
+def span_width(n: int) -> int:
+    """The span width for a text of n code points."""
+    return next((w for w in WIDTHS if n >= 3 * w), 1)
+
+
 @lru_cache(maxsize=4)
 def powers(base: int, prime: int, n: int) -> np.ndarray:
     """base^0 .. base^(n-1) modulo prime, by doubling."""
@@ -82,11 +90,11 @@ class Prefixes:
             low, high = (mid, high) if self.equal(i, other, j, mid) else (low, mid - 1)
         return low
 
-    def sketch(self) -> np.ndarray:
-        """The KEPT smallest mixed names of the text's spans of SPAN code points (one span, if it is shorter), ascending."""
+    def sketch(self, width: int | None = None) -> np.ndarray:
+        """The KEPT smallest mixed names of the text's spans of a width (by default its own), ascending; an empty text has none."""
         if not self.n:
             return np.zeros(0, np.uint64)
-        width = min(SPAN, self.n)
+        width = min(width or span_width(self.n), self.n)
         start = np.arange(self.n - width + 1)
         names = self.spans(start, start + width)
         with np.errstate(over="ignore"):
@@ -123,6 +131,12 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.isin(union, np.intersect1d(a, b)).sum() / len(union))
 
 
+def alike(p: Prefixes, sketch_p: np.ndarray, q: Prefixes, sketch_q: np.ndarray) -> float:
+    """likeness() of two texts, given their own sketches, by spans of the shorter text's width."""
+    width = span_width(min(p.n, q.n))
+    return likeness(*[own if span_width(x.n) == width else x.sketch(width) for x, own in ((p, sketch_p), (q, sketch_q))])
+
+
 def edited(text: str, following: str) -> str:
     """The text with its last third replaced by as many of the first code points of another (or all it has)."""
     third = len(text) // 3
@@ -177,7 +191,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
                     new = edited(p0.text, x)
                     e = Prefixes(new)
                     mark_e, sketch_e = fingerprint(e)
-                    rows.append((k0, p0.n, hashlib.sha256(new.encode()).hexdigest(), mark0, mark_e, likeness(sketch0, sketch_e), likeness(sketch0, sketch), p0.common_extension(0, e, 0)))
+                    rows.append((k0, p0.n, hashlib.sha256(new.encode()).hexdigest(), mark0, mark_e, alike(p0, sketch0, e, sketch_e), alike(p0, sketch0, p, sketch), p0.common_extension(0, e, 0)))
                 last = (bucket, k, p, mark, sketch) if own else None
             if rows:
                 c = list(zip(*rows, strict=True))

@@ -79,6 +79,30 @@ def test_fingerprints(clashing, none):
     assert got(fingerprints.fingerprints(none)) == []
 
 
+def test_fingerprints_of_short_texts_are_alike(spark):
+    # each text is edited with the one below it
+    texts = [chr(65 + n) * 3 + "".join(chr(97 + (i * i + n) % 26) for i in range(n)) for n in range(0, 34)]
+    out = fingerprints.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert all(r["near_edited"] > 0 for r in out.collect())
+    pair = spark.createDataFrame([(1, "a short text"), (2, "a short text!"), (3, "a short text! " + "and words of a longer one " * 4)], "doc_id long, text string")
+    near = {r["doc_id"]: r["near_next"] for r in fingerprints.fingerprints(pair).collect()}
+    assert near[2] == 11 / 12 and near[3] > 0 and near[1] > 0
+
+
+def test_likeness_across_widths_is_the_share_of_the_shorter_ones_spans():
+    rng = random.Random(10)
+    for n, m in [(1, 1), (2, 5), (3, 80), (5, 6), (6, 23), (23, 24), (40, 71), (60, 72), (71, 72), (72, 73)]:
+        a = "".join(rng.choice("abc") for _ in range(n))
+        b = (a + "".join(rng.choice("abc") for _ in range(m)))[:m]
+        p, q = fingerprints.Prefixes(a), fingerprints.Prefixes(b)
+        w = fingerprints.span_width(min(n, m))
+        x, y = ({t[i : i + w] for i in range(len(t) - w + 1)} for t in (a, b))
+        found = fingerprints.alike(p, p.sketch(), q, q.sketch())
+        assert found == fingerprints.alike(q, q.sketch(), p, p.sketch()) > 0
+        if len(x | y) <= fingerprints.KEPT:
+            assert found == len(x & y) / len(x | y)
+
+
 def test_prefix_hashes_answer_spans_and_extensions():
     rng = random.Random(2)
     a = "".join(rng.choice("ab") for _ in range(400))
