@@ -163,7 +163,7 @@ def fingerprint_sha256(spark, d):
 @query(f"SELECT CAST(doc_id AS VARCHAR) AS job_key, sha256(lower({FIRST_LINE} || ' ' || source || ' ' || lang || ' ' || text)) AS searchable_sha FROM documents WHERE {FIRST_LINE} <> ''")
 def searchable_text(spark, d):
     df = doc_jobs(spark, d)
-    return df.where("title <> ''").select("job_key", F.sha2(matching.searchable(df), 256).alias("searchable_sha"))
+    return df.select("job_key", F.sha2(matching.searchable(df), 256).alias("searchable_sha"))
 
 
 @query(r"""WITH parts AS (SELECT page_id, lower(regexp_extract(url, '^([A-Za-z]+)://([^/?#]*)([^?#]*)', 1)) || '://' || lower(regexp_extract(url, '^([A-Za-z]+)://([^/?#]*)([^?#]*)', 2)) AS o, rtrim(regexp_extract(url, '^([A-Za-z]+)://([^/?#]*)([^?#]*)', 3), '/') AS p, list_sort(list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT starts_with(lower(x), 'utm_') AND NOT lower(split_part(x, '=', 1)) IN ('fbclid', 'gclid', 'dclid', 'msclkid', 'mc_cid', 'mc_eid', 'igshid'))) AS q FROM pages)

@@ -1,6 +1,7 @@
 """Queries over the catalogue's tables against whole results, where their SQL in the catalogue covers less."""
 
 import datetime
+import hashlib
 import re
 
 from rolescape.plans.catalog import QUERIES
@@ -36,3 +37,11 @@ def test_guarded_texts_are_whole(spark, tmp_path):
     folder = folder_of(spark, tmp_path, documents=([(i, x, "en", "web") for i, x in enumerate(texts)], DOCUMENTS))
     safe = {r["doc_id"]: r["safe"] for r in QUERIES["formula_guard"](spark, folder).collect()}
     assert safe == {0: "'=" + texts[0], 1: "'" + texts[1], 2: "'" + texts[2], 3: "plain", 4: "'@a", 5: "'=" + texts[5], 6: None}
+
+
+def test_documents_without_a_first_line_are_searchable(spark, tmp_path):
+    docs = [(1, "First\nSecond", "en", "web"), (2, "\nSecond", "en", "web"), (3, "", "en", "web"), (4, None, "en", "web")]
+    folder = folder_of(spark, tmp_path, documents=(docs, DOCUMENTS))
+    shas = {r["job_key"]: r["searchable_sha"] for r in QUERIES["searchable_text"](spark, folder).collect()}
+    want = {"1": "first web en first\nsecond", "2": "web en \nsecond", "3": "web en", "4": "web en"}
+    assert shas == {k: hashlib.sha256(v.encode()).hexdigest() for k, v in want.items()}
