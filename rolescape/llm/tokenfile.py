@@ -120,6 +120,14 @@ class TokenFile:
     def document(self, i: int) -> np.ndarray:
         return self.ids[self.starts.select(i) : self.starts.select(i + 1)]
 
+    def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
+        """key, start and ids of every document, each number found by select; a document's end is the next one's start."""
+        start = self.starts.select(0)
+        for i in range(self.n):
+            end = self.starts.select(i + 1)
+            yield self.key(i), start, self.ids[start:end]
+            start = end
+
 
 def id_ranges(docs: DataFrame, buckets: int, key: str) -> list[int]:
     """Cut points of the key into ranges of about equal rows; reads the key column alone. At most buckets - 1 numbers."""
@@ -204,10 +212,8 @@ def read_files(folder: str, manifest: DataFrame, key: str = "doc_id") -> DataFra
             for name, base in zip(batch.column("file").to_pylist(), batch.column("base").to_pylist(), strict=True):
                 with system.open_input_file(name) as f:
                     file = TokenFile(f.read())
-                starts = file.starts.all()
-                keys = [None] * file.nulls + (file.index.all() + file.base).tolist()
-                crc = [zlib.crc32(file.ids[a:b].astype("<u4").tobytes()) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(starts[:-1] + base), pa.array(np.diff(starts)), pa.array(crc, pa.int64())], [key, "start", "n_tokens", "ids_crc32"])
+                found = [(k, base + start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for k, start, ids in file.documents()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], [key, "start", "n_tokens", "ids_crc32"])
 
     rows = max(1, manifest.count())
     return manifest.select("file", "base", "shard").repartitionById(rows, F.pmod("shard", F.lit(rows)).cast("int")).mapInArrow(run, f"{key} long, start long, n_tokens long, ids_crc32 long")

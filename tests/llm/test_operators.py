@@ -298,6 +298,17 @@ def test_token_files_round_trip(clashing, none):
     assert got(tokenfile.round_trip(none, WORD)) == []
 
 
+def test_token_files_are_read_by_select(monkeypatch):
+    keys, lengths = [None, None, -7, 3, 3, *range(10, 700)], [1 + i * i % 17 for i in range(695)]
+    ids = np.arange(sum(lengths)).astype("<u2")
+    file = tokenfile.TokenFile(tokenfile.file_image(keys, lengths, ids.tobytes(), 2))
+    starts = np.concatenate([[0], np.cumsum(lengths)]).tolist()
+    # every document is found without the scan that all() is
+    monkeypatch.delattr(tokenfile.EliasFano, "all")
+    assert [(k, a, x.tolist()) for k, a, x in file.documents()] == [(k, a, ids[a:b].tolist()) for k, a, b in zip(keys, starts[:-1], starts[1:], strict=True)]
+    assert all(file.key(i) == k and (file.document(i) == ids[starts[i] : starts[i + 1]]).all() for i, k in enumerate(keys))
+
+
 @pytest.mark.parametrize(("n", "top"), [(1, 0), (1, 9), (5, 3), (1000, 10), (1000, 10**6), (3000, 10**12)])
 def test_elias_fano_selects(n, top):
     v = np.sort(np.random.default_rng(n).integers(0, top + 1, n))
