@@ -4,6 +4,7 @@ import datetime
 import hashlib
 import re
 
+import bench
 from rolescape.plans.catalog import QUERIES
 
 
@@ -45,3 +46,7 @@ def test_documents_without_a_first_line_are_searchable(spark, tmp_path):
     shas = {r["job_key"]: r["searchable_sha"] for r in QUERIES["searchable_text"](spark, folder).collect()}
     want = {"1": "first web en first\nsecond", "2": "web en \nsecond", "3": "web en", "4": "web en"}
     assert shas == {k: hashlib.sha256(v.encode()).hexdigest() for k, v in want.items()}
+
+
+def test_the_bench_has_the_ledger_merge():
+    assert "ledger_merge" in bench.HEADLINES and set(bench.HEADLINES) <= set(QUERIES)
