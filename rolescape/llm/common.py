@@ -13,6 +13,8 @@ from pyspark.sql.types import StructType
 
 #: Rows that one Arrow batch hands to Python: with texts of 100 kB a batch stays near 50 MB.
 ARROW_ROWS = 512
+#: Bytes of text that operators on blocks take up at a time; a longer text stands alone.
+BATCH_BYTES = 4 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -105,8 +107,22 @@ class BlockStore:
         return df.repartitionById(n, F.col("block")) if rows else df
 
 
-def read_block(uri: str, columns: list[str] | None = None, rows: int = ARROW_ROWS) -> Iterator[tuple[int, pa.RecordBatch]]:
-    """(first row, batch) of a block's file, in the file's order."""
+def by_bytes(batch: pa.RecordBatch, text: str, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in slices whose texts hold at most `limit` bytes together, or one text that is longer."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    upto = np.cumsum(size)
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(upto, limit + (upto[at - 1] if at else 0), side="right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def read_block(uri: str, columns: list[str] | None = None, rows: int = ARROW_ROWS, text: str | None = None) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """(first row, batch) of a block's file, in the file's order; with `text`, batches are bounded by that column's bytes."""
     import urllib.parse
 
     import pyarrow.parquet as pq
@@ -117,5 +133,6 @@ def read_block(uri: str, columns: list[str] | None = None, rows: int = ARROW_ROW
     with system.open_input_file(path) as f:
         at = 0
         for batch in pq.ParquetFile(f).iter_batches(batch_size=rows, columns=columns):
-            yield at, batch
-            at += batch.num_rows
+            for part in by_bytes(batch, text) if text else [batch]:
+                yield at, part
+                at += part.num_rows

@@ -31,6 +31,23 @@ def unpack_names(raw: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(data.reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
 
 
+def squeeze(*parts: bytes) -> bytes:
+    """Byte strings in one compressed message."""
+    sizes = np.array([len(parts), *map(len, parts)], "<u8").tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(sizes + b"".join(parts))
+
+
+def expand(raw: bytes) -> list[bytes]:
+    data = zstandard.ZstdDecompressor().decompress(raw)
+    n = int.from_bytes(data[:8], "little")
+    sizes = np.frombuffer(data, "<u8", n, 8).tolist()
+    out, at = [], 8 + 8 * n
+    for s in sizes:
+        out.append(data[at : at + s])
+        at += s
+    return out
+
+
 def bucket_edges(buckets: int) -> np.ndarray:
     """First name of each bucket but the lowest: equal ranges of the 64-bit names."""
     return np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64)
@@ -87,11 +104,12 @@ def answer_blocks(store: BlockStore, answers: DataFrame, fn: Callable[[int, str,
 
 
 def buckets_for(store: BlockStore) -> int:
-    return partitions(store.spark)
+    """As many as the session's shuffle partitions, and at least as many as blocks, so that a bucket is no larger than a block."""
+    return max(partitions(store.spark), len(store.files))
 
 
-def gather_buckets(sent: DataFrame, buckets: int, fn: Callable[[int, list[dict]], Iterator[tuple]], schema: pa.Schema, ddl: str) -> DataFrame:
-    """fn(bucket, rows of sent with that bucket) for each bucket."""
+def gather_buckets(sent: DataFrame, buckets: int, fn: Callable[[int, list[dict]], Iterator[tuple | pa.RecordBatch]], schema: pa.Schema, ddl: str) -> DataFrame:
+    """fn(bucket, rows of sent with that bucket) for each bucket; it gives rows, or batches of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: dict[int, list[dict]] = {}
@@ -100,7 +118,7 @@ def gather_buckets(sent: DataFrame, buckets: int, fn: Callable[[int, list[dict]]
                 rows.setdefault(row.pop("bucket"), []).append(row)
         for bucket in sorted(rows):
             for row in fn(bucket, rows.pop(bucket)):
-                yield from table_of([row], schema).to_batches()
+                yield from [row] if isinstance(row, pa.RecordBatch) else table_of([row], schema).to_batches()
 
     return sent.repartitionById(buckets, F.col("bucket")).mapInArrow(run, ddl)
 

@@ -20,12 +20,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from rolescape.llm.common import BlockStore, read_block, shared_dir
-from rolescape.llm.exchange import answer_blocks, bucket_edges, buckets_for, gather_buckets, joined_names, member, shared_names, split_by_bucket
+from rolescape.llm.exchange import answer_blocks, bucket_edges, buckets_for, expand, gather_buckets, joined_names, member, shared_names, split_by_bucket, squeeze
 
 WIDTH = 50
 GRAM = 20
@@ -131,22 +130,6 @@ def batches_of(file: str, key: str, text: str, columns: list[str] | None = None)
         yield batch, keys, np.frombuffer(b"".join(raw), np.uint8), np.cumsum([len(x) for x in raw], dtype=np.int64)
 
 
-def squeeze(*parts: bytes) -> bytes:
-    sizes = np.array([len(parts), *map(len, parts)], "<u8").tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(sizes + b"".join(parts))
-
-
-def expand(raw: bytes) -> list[bytes]:
-    data = zstandard.ZstdDecompressor().decompress(raw)
-    n = int.from_bytes(data[:8], "little")
-    sizes = np.frombuffer(data, "<u8", n, 8).tolist()
-    out, at = [], 8 + 8 * n
-    for s in sizes:
-        out.append(data[at : at + s])
-        at += s
-    return out
-
-
 STRETCHES = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("stretches", pa.binary())])
 VERDICTS = pa.schema([("block", pa.int32()), ("verdicts", pa.binary())])
 

@@ -363,6 +363,104 @@ def test_jaccard_join_on_families_near_the_threshold(spark):
     assert Counter(got(jaccard.near_duplicates(df))) == brute_components(items)
 
 
+def side_of(sets, name):
+    """A block's side table whose sets all stand under one name, each in its own band."""
+    sizes = np.array([len(x) for x in sets])
+    n, o = np.full(len(sets), name, np.uint64), np.arange(len(sets))
+    return jaccard.Side(0, jaccard.squeeze(o.astype("<i8").tobytes(), sizes.astype("<u4").tobytes(), jaccard.pack_names(n), o.astype("<u4").tobytes(), np.zeros(len(sets), np.uint8).tobytes()))
+
+
+def met(side, sets, nearest=False, first=False):
+    marks = np.frombuffer(b"".join(jaccard.digests(np.concatenate(sets), side.sizes)), "V16")
+    drawn = {(i, int(b)): jaccard.sketch(sets[i], int(b), not first) for i, b in enumerate(side.bands)}
+    sent = jaccard.group_blobs(side, side.names, side.owners, side.bands, np.zeros(len(sets), int), None if first else side.place(np.arange(len(sets))), marks if first else None, drawn)
+    rows = [r for batch in sent for r in batch.to_pylist()]
+    return {(r["a"], r["b"]) for batch in jaccard.pairs_of_bucket(rows, nearest) for r in batch.to_pylist()}
+
+
+@pytest.mark.parametrize("intruders", [[300], [260], [700], [300, 300], [3000], [100, 250, 640, 5000]])
+def test_a_name_that_sets_of_several_bands_share_by_chance_loses_no_pair(intruders):
+    rng = np.random.default_rng(11)
+    a = np.sort(rng.integers(0, 1 << 63, 400).astype(np.uint64))
+    b = np.sort(np.concatenate([a[:380], rng.integers(0, 1 << 63, 15).astype(np.uint64)]))
+    sets = [a, *[np.sort(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in intruders], b]
+    side = side_of(sets, 1 << 40)
+    pair = {(0, len(sets) - 1)}
+    assert met(side, sets) == met(side, sets, nearest=True) == pair
+    assert {tuple(sorted(x)) for x in met(side, sets, first=True)} == pair
+
+
+def test_hot_names_are_cut_so_that_every_two_sets_still_meet(monkeypatch):
+    monkeypatch.setattr(jaccard, "HOT", 7)
+    names = np.array([3] * 2 + [5] * 23 + [9] * 4, np.uint64) << np.uint64(16)
+    wanted = np.array([3, 5, 9], np.uint64) << np.uint64(16)
+    # the name's first sets lie in an earlier block
+    which, out, to = jaccard.chunked(names, wanted, np.array([0, 5, 0]), np.array([0, 12, 0]), np.array([1, 0, 2]), 4)
+    groups = defaultdict(set)
+    for i, n in zip(which.tolist(), out.tolist(), strict=True):
+        groups[n].add(i)
+    assert all(len(set(to[out == n].tolist())) == 1 for n in groups) and set(to[which < 2].tolist()) == {1} and set(to[which > 24].tolist()) == {2}
+    assert all(any({i, j} <= g for g in groups.values()) for i in range(2, 25) for j in range(2, i))
+    assert groups[3 << 16] == {0, 1} and groups[9 << 16] == {25, 26, 27, 28}
+    assert max(map(len, groups.values())) <= 14
+
+
+def test_hot_names_give_the_same_pairs(monkeypatch, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(5000)}" for _ in range(120)]
+    texts = []
+    for _ in range(40):
+        copy = list(base)
+        for _ in range(rng.randrange(1, 4)):
+            copy[rng.randrange(len(copy))] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    file = str(tmp_path / "block.parquet")
+    pq.write_table(pa.table({"doc_id": list(range(40)), "text": texts}), file)
+    shared, _ = jaccard.names_of_block(file, "doc_id", "text")
+    side = jaccard.Side(0, next(iter(jaccard.side_table(0, file, shared, 1, "doc_id", "text"))).column("side")[0].as_py())
+    roots = side.place(np.arange(40))
+
+    def pairs(hot, few=None):
+        monkeypatch.setattr(jaccard, "HOT", hot)
+        named = [r for batch in jaccard.named_roots(side, roots, 1) for r in batch.to_pylist()]
+        answers = [names for _, names in jaccard.open_names(named, 1)]
+        rows = [r for batch in jaccard.later_groups(side, file, roots, answers, few, 1, "doc_id", "text") for r in batch.to_pylist()]
+        return {tuple(sorted((r["a"], r["b"]))) for batch in jaccard.pairs_of_bucket(rows, few is not None) for r in batch.to_pylist()}
+
+    sets = [set(jaccard.shingle_set(x).tolist()) for x in texts]
+    linked = {(i, j) for j in range(40) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    assert pairs(5) == pairs(1 << 20) >= linked and len(linked) > 50
+    # the second round gives a few pairs for each set
+    assert 0 < len(pairs(1 << 20, 2)) <= 2 * 40 and pairs(1 << 20, 2) <= pairs(1 << 20)
+
+
+def test_a_forest_has_the_components_of_all_edges():
+    rng = np.random.default_rng(13)
+    a, b = rng.integers(0, 300, (2, 400))
+    use = jaccard.forest(a, b)
+
+    def parts(x, y):
+        root = {i: i for i in {*a.tolist(), *b.tolist()}}
+        for _ in range(300):
+            for i, j in zip(x.tolist(), y.tolist(), strict=True):
+                root[i] = root[j] = min(root[i], root[j])
+        return root
+
+    assert parts(a[use], b[use]) == parts(a, b) and use.sum() < 300
+
+
+def test_word_hashes_are_those_of_the_words():
+    texts = ["a B c", "", None, " x\ty ", "A", "longword" * 50 + " q", "é ß ABCDEFGHI abcdefghi ABCDEFGH", "\x0b\x0c", "abc"]
+    hashes, n = jaccard.word_hashes(texts)
+    words = [x for t in texts for x in (t or "").encode().lower().split()]
+    assert n.tolist() == [len((t or "").encode().lower().split()) for t in texts]
+    known = dict(zip(words, hashes.tolist(), strict=True))
+    assert [known[w] for w in words] == hashes.tolist() and len(set(known.values())) == len(known)
+
+
 def test_jump_shards(clashing, none):
     out = sharding.shard(clashing, 40).toPandas()
     assert Counter(zip(out["size"], out["text_crc32"], strict=True)) == Counter((len((x or "").encode()) + 16, zlib.crc32((x or "").encode())) for _, x, *_ in rows())
