@@ -23,9 +23,10 @@ WIDTH = 6
 FILTERS = 24
 CHUNK = 512
 HALF = CHUNK // 2
-#: Labelled rows of each class that training takes at most, and bytes of each (whole chunks, evenly spread).
+#: Labelled rows of each class that training takes at most; rows whose texts are longer than SAMPLE_BYTES are not drawn.
+#: Texts are trained on whole. The driver holds 2 * SAMPLE_ROWS * SAMPLE_BYTES at most, about 200 MB.
 SAMPLE_ROWS = 1500
-SAMPLE_CHUNKS = 8
+SAMPLE_BYTES = 1 << 16
 EPOCHS = 6
 #: Steps of training at least, however few rows there are.
 LEAST_STEPS = 240
@@ -132,37 +133,27 @@ def train(rows: list[tuple[bytes, int]], epochs: int = EPOCHS) -> Network:
     return net
 
 
-def sampled_bytes(text: str) -> bytes:
-    """The text's bytes, or of a long one SAMPLE_CHUNKS evenly spread chunks. For training only."""
-    raw = text.encode()
-    if len(raw) <= SAMPLE_CHUNKS * CHUNK:
-        return raw
-    return b"".join(raw[a : a + CHUNK] for a in np.linspace(0, len(raw) - CHUNK, SAMPLE_CHUNKS).astype(int).tolist())
-
-
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, label: str = "quality", key: str = "doc_id", text: str = "text") -> Network:
-    """Train on at most `rows` labelled documents of each class outside the held-out fold.
+    """Train on at most `rows` labelled documents of each class outside the held-out fold, each with its whole text.
 
-    The sample is the rows with the smallest hash of their key, so it is the same on every run. Its ids are joined
-    to docs as a broadcast of at most 2 * rows numbers; at most SAMPLE_CHUNKS * CHUNK bytes of each come back.
+    The sample is the rows with the smallest hash of their key, without texts longer than SAMPLE_BYTES, so it is the
+    same on every run. Its ids are joined to docs as a broadcast of at most 2 * rows numbers. A key with both labels
+    teaches neither; a null key or another label is left out; of several texts of a key the smallest counts, and a
+    null text is empty. Without any such row (an empty table) the network stays untrained and says 0.5.
     """
     known = labels.select(labels[key].cast("long").alias("k"), labels[label].cast("int").alias("y")).where(F.col("k").isNotNull() & F.col("y").isin(0, 1))
-    known = known.where(F.crc32(F.col("k").cast("string").cast("binary")) % FOLDS != HELD_OUT).dropDuplicates(["k"])
+    known = known.where(F.crc32(F.col("k").cast("string").cast("binary")) % FOLDS != HELD_OUT).groupBy("k").agg(F.min("y").alias("y"), F.max("y").alias("other")).where("y = other")
     chosen = None
     for y in (0, 1):
-        part = known.where(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(rows)
+        part = known.where(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(rows).select("k", "y")
         chosen = part if chosen is None else chosen.unionByName(part)
     ids = [(r["k"], r["y"]) for r in chosen.collect()]
     if not ids:
         return train([])
     picked = docs.sparkSession.createDataFrame(ids, "k long, y int")
-    found = docs.select(docs[key].cast("long").alias("key"), docs[text].alias("text")).join(F.broadcast(picked), F.col("key") == F.col("k"))
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column("key"), batch.column("y"), pa.array([sampled_bytes(x) for x in texts(batch)], pa.binary())], ["key", "y", "raw"])
-
-    got = per_batch(found.select("key", "y", "text"), run, "key long, y int, raw binary").dropDuplicates(["key"]).collect()
-    return train([(bytes(r["raw"]), r["y"]) for r in sorted(got, key=lambda r: r["key"])])
+    found = docs.select(docs[key].cast("long").alias("key"), F.coalesce(docs[text], F.lit("")).alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES)
+    got = found.join(F.broadcast(picked), F.col("key") == F.col("k")).groupBy("key", "y").agg(F.min("text").alias("text")).collect()
+    return train([(r["text"].encode(), r["y"]) for r in sorted(got, key=lambda r: r["key"])])
 
 
 def classify(docs: DataFrame, net: Network, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -181,7 +172,11 @@ def classify(docs: DataFrame, net: Network, threshold: float = THRESHOLD, key: s
 
 
 def good(docs: DataFrame, net: Network, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
-    """The rows of docs, with all columns, that the network predicts to be good; one without training rejects nothing."""
+    """The rows of docs, with all columns, that the network predicts to be good; one without training rejects nothing.
+
+    A null or empty text is scored like any other; repeated rows and null keys are judged by their text alone; an
+    empty table gives an empty result.
+    """
     if not net.trained:
         return docs
 
