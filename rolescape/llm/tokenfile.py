@@ -27,6 +27,8 @@ MAGIC = b"RSTOK1\0\0"
 HEADER = struct.Struct("<8sIIQQQQqQ")
 SAMPLE = 256
 END_ID = 1
+#: Bytes of ids after which a file ends and the shard goes on in the next one; a longer document stands alone.
+FILE_BYTES = 64 << 20
 
 
 @dataclass(frozen=True)
@@ -148,11 +150,12 @@ def bucket_of(column, cuts: list[int]):
 
 
 def write_files(docs: DataFrame, vocabulary: str, end_id: int = END_ID, key: str = "doc_id", text: str = "text") -> tuple[str, DataFrame]:
-    """Encode docs and write shard files in ascending key order; the folder, and a manifest (shard, documents, ids, file, base).
+    """Encode docs and write shard files in ascending key order; the folder, and a manifest (file number, documents, ids, file, base).
 
-    base counts the ids of all shards before. A shard is a range of keys; a task writes its shard under a name of its
-    own and renames it, so that a task run twice leaves one whole file. Null keys come first; repeated keys are
-    ordered by text. Only the manifest, a row for each file, is gathered.
+    base counts the ids of all files before. A shard is a range of keys, in files of about FILE_BYTES, so a task holds
+    no more than one of them. A file is written under a name of its own and renamed, so that a task run twice leaves
+    one whole file. Null keys come first; repeated keys are ordered by text. Only the manifest, a row for each file,
+    is gathered.
     """
     spark = docs.sparkSession
     folder, n = shared_dir(spark, "tokens"), partitions(spark)
@@ -166,45 +169,45 @@ def write_files(docs: DataFrame, vocabulary: str, end_id: int = END_ID, key: str
         width = 2 if encoder.library.get_vocab_size() <= 1 << 16 else 4
         end = np.array([end_id], f"<u{width}").tobytes()
         system, path = filesystem(folder)
-        shard, keys, lengths, ids = None, [], [], bytearray()
+        shard, part, keys, lengths, ids = None, 0, [], [], bytearray()
 
         def flush() -> tuple:
-            target = f"{path}/shard-{shard:08d}.tok"
+            target = f"{path}/shard-{shard:08d}-{part:06d}.tok"
             system.create_dir(path, recursive=True)
             own = f"{target}.{uuid.uuid4().hex}"
             with system.open_output_stream(own) as f:
                 f.write(file_image(keys, lengths, bytes(ids), width))
             system.move(own, target)
-            return shard, len(keys), sum(lengths), target
+            return shard, part, len(keys), sum(lengths), target
 
         done = []
         for batch in batches:
             for s, k, x in zip(batch.column("shard").to_pylist(), batch.column("key").to_pylist(), texts(batch), strict=True):
-                if s != shard:
+                if s != shard or len(ids) >= FILE_BYTES:
                     if shard is not None:
                         done.append(flush())
-                    shard, keys, lengths, ids = s, [], [], bytearray()
+                    shard, part, keys, lengths, ids = s, part + 1 if s == shard else 0, [], [], bytearray()
                 raw = encoder.encode(x)
-                part = (raw if width == 4 else np.frombuffer(raw, "<u4").astype("<u2").tobytes()) + end
+                packed = (raw if width == 4 else np.frombuffer(raw, "<u4").astype("<u2").tobytes()) + end
                 keys.append(k)
-                lengths.append(len(part) // width)
-                ids += part
+                lengths.append(len(packed) // width)
+                ids += packed
         if shard is not None:
             done.append(flush())
         if done:
             c = list(zip(*done, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int32()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.string())], ["shard", "documents", "ids", "file"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(c, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["shard", "part", "documents", "ids", "file"])
 
     bounded_batches(spark)
     manifest, base = [], 0
-    for r in sorted(dealt.select("shard", "key", "text").mapInArrow(run, "shard int, documents long, ids long, file string").collect()):
-        manifest.append((*r, base))
+    for i, r in enumerate(sorted(dealt.select("shard", "key", "text").mapInArrow(run, "shard int, part int, documents long, ids long, file string").collect())):
+        manifest.append((i, r["documents"], r["ids"], r["file"], base))
         base += r["ids"]
-    return folder, spark.createDataFrame(manifest, "shard int, documents long, ids long, file string, base long")
+    return folder, spark.createDataFrame(manifest, "number int, documents long, ids long, file string, base long")
 
 
 def read_files(folder: str, manifest: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, start, n_tokens, ids_crc32 of every document in the files."""
+    """key, start, n_tokens, ids_crc32 of every document in the files; a null key reads back as null, an empty manifest gives no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, _ = filesystem(folder)
@@ -216,7 +219,7 @@ def read_files(folder: str, manifest: DataFrame, key: str = "doc_id") -> DataFra
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], [key, "start", "n_tokens", "ids_crc32"])
 
     rows = max(1, manifest.count())
-    return manifest.select("file", "base", "shard").repartitionById(rows, F.pmod("shard", F.lit(rows)).cast("int")).mapInArrow(run, f"{key} long, start long, n_tokens long, ids_crc32 long")
+    return manifest.select("file", "base", "number").repartitionById(rows, F.col("number")).mapInArrow(run, f"{key} long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, vocabulary: str, end_id: int = END_ID, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -10,12 +10,10 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Sequence
 
-import numpy as np
-
-#: Chunks that a worker keeps; then it starts anew. About 150 bytes each.
+#: Chunks that a worker keeps; then it starts anew. About 150 bytes each; those longer than KEPT_LENGTH are not kept.
 KEPT_CHUNKS = 500_000
+KEPT_LENGTH = 64
 #: White space of either kind (Unicode, Python) beyond the ASCII ones: such texts aren't split here.
 RARE_SPACE = re.compile("[\u001c-\u001f\u0085\u00a0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
 LATIN = re.compile("[\x21-\x7e\xa1-\xac\xae-\xff]*")
@@ -53,7 +51,9 @@ class WordPieces:
         found = self.known.get(piece)
         if found is None:
             symbols = piece.encode().decode("latin-1").translate(self.alphabet)
-            found = self.known[piece] = array("I", [t.id for t in self.model.tokenize(symbols)]).tobytes()
+            found = array("I", [t.id for t in self.model.tokenize(symbols)]).tobytes()
+            if len(piece) <= KEPT_LENGTH:
+                self.known[piece] = found
         return found
 
     def chunk(self, chunk: str) -> bytes:
@@ -61,7 +61,8 @@ class WordPieces:
             found = b"".join(map(self.piece, self.pieces.findall(chunk.lower())))
         else:
             found = self.whole(chunk)
-        self.chunks[chunk] = found
+        if len(chunk) <= KEPT_LENGTH:
+            self.chunks[chunk] = found
         return found
 
     def encode(self, text: str) -> bytes:
@@ -86,11 +87,3 @@ def word_pieces(path: str) -> WordPieces:
     if path not in _OPEN:
         _OPEN[path] = WordPieces(path)
     return _OPEN[path]
-
-
-def ids(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, dtype="<u4")
-
-
-def packed(values: Sequence[int]) -> bytes:
-    return np.asarray(values, dtype="<u4").tobytes()
