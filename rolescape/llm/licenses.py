@@ -63,10 +63,10 @@ def gram_hashes(w: Column, k: int = GRAM) -> Column:
 
 
 def said_grams(w: Column, hashed: Column, hashes: list[int], k: int = GRAM) -> Column:
-    """(at, words) of the k-grams whose hash is one of some, for the check of matches: empty for most texts."""
+    """(at, hash, words) of the k-grams whose hash is one of some: empty for most texts."""
     places = F.when(F.size(hashed) > 0, F.sequence(F.lit(0), F.size(hashed) - 1)).otherwise(F.array().cast("array<int>"))
     met = F.filter(places, lambda i: F.get(hashed, i).isin(*hashes))
-    return F.transform(met, lambda i: F.struct(i.alias("at"), F.concat_ws(" ", *[F.get(w, i + j) for j in range(k)]).alias("words")))
+    return F.transform(met, lambda i: F.struct(i.alias("at"), F.get(hashed, i).alias("hash"), F.concat_ws(" ", *[F.get(w, i + j) for j in range(k)]).alias("words")))
 
 
 def notices(spark: SparkSession, texts: dict[str, list[str]] | None = None) -> DataFrame:
@@ -90,7 +90,8 @@ def scan(docs: DataFrame, texts: dict[str, list[str]] | None = None, key: str =
 
     labels are the base labels and those of notices with a verified span; score is the largest share of a notice
     that such a span holds (1 for a base phrase, 0 without either). A null text is empty: no words, no labels, score
-    0. Rows that repeat key and text get the same result each; null keys are carried through.
+    0. Rows that repeat key and text get the same result each; null keys are carried through. An empty table gives an
+    empty result.
     """
     spark = docs.sparkSession
     base = docs.select(docs[key].cast("long").alias("key"), F.xxhash64(F.coalesce(docs[text], F.lit(""))).alias("text_key"), words(docs[text]).alias("w"))
@@ -103,9 +104,10 @@ def scan(docs: DataFrame, texts: dict[str, list[str]] | None = None, key: str =
     # the notices are a constant of a few hundred rows; a gram's words go along only where its hash is one of theirs
     hashes = [r["hash"] for r in known.select("hash").distinct().collect()]
     hashed = base.select("key", "text_key", "w", gram_hashes(F.col("w")).alias("hashes"))
-    # the outer form: for the inner one Spark infers a filter on the array size, under which it would split each text again for every gram
-    grams = hashed.select("key", "text_key", "hashes", said_grams(F.col("w"), F.col("hashes"), hashes).alias("said")).select("key", "text_key", "said", F.posexplode_outer("hashes").alias("pos", "hash"))
-    met = grams.join(F.broadcast(known), "hash").where(F.exists("said", lambda x: (x["at"] == F.col("pos")) & (x["words"] == F.col("gram"))))
+    # the outer form: for the inner one Spark infers a filter on the array size, under which it would split each text again
+    grams = hashed.select("key", "text_key", F.explode_outer(said_grams(F.col("w"), F.col("hashes"), hashes)).alias("g"))
+    grams = grams.select("key", "text_key", F.col("g.at").alias("pos"), F.col("g.hash").alias("hash"), F.col("g.words").alias("gram"))
+    met = grams.join(F.broadcast(known), ["hash", "gram"])
     # a set of notice positions on each diagonal: rows that repeat a document add nothing, and a notice bounds the set
     votes = met.groupBy("key", "text_key", "label", "notice", "n", (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(F.collect_set("tpos").alias("at"))
     along = Window.partitionBy("key", "text_key", "label", "notice").orderBy("diagonal")
