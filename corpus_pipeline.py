@@ -16,28 +16,33 @@ from rolescape.llm.queries import word_vocabulary
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents inside their compression bands that also pass the base rules."""
+    """Documents inside their compression bands that also pass the base rules. Null and empty texts go; a row is judged
+    by its text alone, whatever its key or repeats; an empty table gives an empty result."""
     return rules.passing(docs)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents predicted to be good by a network trained on the labels of this stage's documents."""
+    """Documents predicted to be good by a network trained on the labels of this stage's documents. A row is judged by its
+    text alone, a null one as an empty one; without labelled documents all stay; an empty table gives an empty result."""
     return classifier.good(docs, classifier.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of linked ones: that with the smallest doc_id."""
+    """One document of each component of linked ones: that with the smallest doc_id (null is the largest), of repeated
+    rows the first stored. Texts without words stay; an empty table gives an empty result."""
     return jaccard.representatives(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that one with a smaller doc_id holds; n_chars counts what is left. None goes."""
+    """Documents without the passages that one with a smaller doc_id holds (null is the largest; rows of one doc_id count
+    as one document); n_chars counts what is left. None goes, a null text stays null; an empty table gives an empty result."""
     kept = suffixes.clean(docs)
     return kept.withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces with their sequences and offsets."""
+    """The documents' pieces with their sequences and offsets; a null or empty text is its end id alone, repeated rows are
+    packed as often as they occur, and an empty table gives an empty result."""
     return packing.pack(docs, word_vocabulary())
 
 

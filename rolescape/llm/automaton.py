@@ -22,7 +22,10 @@ from itertools import chain
 SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CHUNK = re.compile(r"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+")
 RARE_SPACE = re.compile("[\u001c-\u001f\u0085\u00a0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
+#: Chunks, words and arcs that a worker keeps; then it starts anew. Longer ones than KEPT_LENGTH are not kept.
 KEPT_CHUNKS = 400_000
+KEPT_LENGTH = 64
+KEPT_ARCS = 2_000_000
 NEVER = 1 << 60
 
 
@@ -61,6 +64,8 @@ class Automaton:
         key = state << 20 | token
         found = self.table.get(key)
         if found is None:
+            if len(self.table) > KEPT_ARCS:
+                self.table.clear()
             found = self.table[key] = self.resolve(state, token)
         return found
 
@@ -138,14 +143,16 @@ class ByteCodec:
     def word(self, word: str) -> list[int]:
         found = self.words.get(word)
         if found is None:
-            if len(self.words) > KEPT_CHUNKS:
-                self.words.clear()
-            found = self.words[word] = self.automaton.encode(word.encode())
+            found = self.automaton.encode(word.encode())
+            if len(word) <= KEPT_LENGTH:
+                if len(self.words) > KEPT_CHUNKS:
+                    self.words.clear()
+                self.words[word] = found
         return found
 
     def chunk(self, chunk: str) -> tuple[int, ...]:
         found = tuple(chain.from_iterable(map(self.word, self.split.findall(chunk))))
-        if len(chunk) < 64:
+        if len(chunk) <= KEPT_LENGTH:
             if len(self.chunks) > KEPT_CHUNKS:
                 self.chunks.clear()
             self.chunks[chunk] = found

@@ -30,10 +30,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A new folder below the cluster's spark.checkpoint.dir; only where that is unset (tests), below a temporary one."""
+    """A new folder below the cluster's spark.checkpoint.dir; where that is unset, below a temporary one on a local master
+    (tests), and an error on a cluster, whose executors would not see it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         found = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
+        if not found and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         root = found or "file://" + tempfile.mkdtemp(prefix="rolescape-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

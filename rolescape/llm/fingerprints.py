@@ -176,7 +176,8 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     itself. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    dealt = neighbours(docs, key, text).repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", F.desc("own"), F.desc_nulls_last("doc_id"), F.desc("text"))
+    # buckets are numbered from 0, so each gets a task of its own
+    dealt = neighbours(docs, key, text).repartitionById(4 * partitions(spark), F.col("bucket")).sortWithinPartitions("bucket", F.desc("own"), F.desc_nulls_last("doc_id"), F.desc("text"))
     names = [key, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "kept_prefix"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -112,7 +112,11 @@ def quality_rules(docs: DataFrame, bands: Bands = Bands(), key: str = "doc_id",
 
 
 def passing(docs: DataFrame, bands: Bands = Bands(), text: str = "text") -> DataFrame:
-    """The rows of docs, with all columns, that quality_rules keeps."""
+    """The rows of docs, with all columns, that quality_rules keeps.
+
+    A null or empty text has no words and goes. Null keys and repeated rows are judged by their text alone; an empty
+    table gives an empty result.
+    """
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         import zstandard

@@ -246,6 +246,37 @@ def test_classifier_learns_and_scores_every_row(spark, clashing, none):
     assert classifier.good(clashing, net).columns == clashing.columns
 
 
+def forward(net, raw):
+    """The network's score by its definition, in plain loops: every window, every chunk."""
+    data = list(raw) + [0] * classifier.WIDTH
+    n = max(2, -(-len(raw) // classifier.HALF)) * classifier.HALF
+    data += [0] * (n + classifier.WIDTH - len(data))
+    out = [sum(net.tables[j][data[i + j]].astype(float) for j in range(classifier.WIDTH)) for i in range(n)]
+    chunks = [np.maximum(np.max(out[a : a + classifier.CHUNK], axis=0) + net.bias, 0) for a in range(0, n - classifier.CHUNK + 1, classifier.HALF)]
+    z = np.concatenate([np.mean(chunks, axis=0), np.max(chunks, axis=0), np.min(chunks, axis=0)]) @ net.weights.astype(float) + net.offset
+    return 1 / (1 + np.exp(-z))
+
+
+def test_scores_are_those_of_a_plain_forward_pass():
+    rng = random.Random(14)
+    net = classifier.train([(bytes(rng.randrange(97 + 10 * y, 110 + 10 * y) for _ in range(rng.randrange(1, 1500))), y) for y in (0, 1) * 20], epochs=1)
+    for n in (0, 1, 5, 255, 256, 257, 511, 512, 513, 1024, 3000, 40_000):
+        text = "".join(rng.choice("abcdefghé \n") for _ in range(n))
+        assert abs(net.score(text) - forward(net, text.encode())) < 1e-4
+
+
+def test_classifier_trains_on_defined_rows_and_whole_texts(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(classifier, "train", lambda rows: seen.extend(rows))
+    monkeypatch.setattr(classifier, "SAMPLE_BYTES", 50_000)
+    # 3 has both labels, 4 two texts, 5 a null text, 7 is too long, 9 unlabelled
+    docs = spark.createDataFrame([(1, "a" * 40_000), (3, "c"), (4, "z"), (4, "d"), (5, None), (7, "x" * 50_001), (9, "q"), (None, "n")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (3, 0), (3, 1), (4, 0), (4, 0), (5, 1), (7, 1), (None, 1), (11, 0), (1, 7)], "doc_id long, quality int")
+    classifier.fit(docs, labels)
+    want = [(k, x, y) for k, x, y in ((1, b"a" * 40_000, 1), (4, b"d", 0), (5, b"", 1)) if classifier.fold(k) != classifier.HELD_OUT]
+    assert seen == [(x, y) for _, x, y in want] and len(want) >= 2
+
+
 def test_bpe_equals_the_library(clashing, none):
     tokenizer = Tokenizer.from_file(BYTE)
     want = Counter()
@@ -349,6 +380,20 @@ def test_jaccard_join(clashing, none):
     assert got(jaccard.near_duplicates(none)) == [] and got(jaccard.representatives(none)) == []
 
 
+def test_texts_of_several_megabytes(spark):
+    rng = random.Random(17)
+    vocabulary = [f"w{i}" for i in range(30_000)]
+    long = " ".join(rng.choice(vocabulary) for _ in range(600_000))
+    near = long[: len(long) // 2] + " changed " + long[len(long) // 2 :]
+    items = [(1, long), (2, near), (3, "x" * 3_000_000), (4, "short text of a few words"), (5, long[1_000_000:1_002_000])]
+    df = spark.createDataFrame(items, "doc_id long, text string").repartition(2)
+    assert [len(x) > 3_000_000 for _, x in items[:2]] == [True, True]
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(df).collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
+    cut = {r["doc_id"]: r for r in suffixes.digest(df).collect()}
+    assert cut[1]["n_removed"] == 0 and cut[2]["n_removed"] >= cut[2]["n_bytes"] - 20 and cut[3]["n_removed"] == 0 and cut[5]["n_removed"] == 2000
+    assert {r["doc_id"]: r["n_chars"] for r in fingerprints.fingerprints(df).collect()} == {k: len(x) for k, x in items}
+
+
 def test_jaccard_join_on_families_near_the_threshold(spark):
     rng = random.Random(8)
     items = []
@@ -470,6 +515,20 @@ def test_jump_shards(clashing, none):
     assert got(sharding.shard(none, 40)) == []
 
 
+def test_jump_hash_is_the_scalar_one():
+    def scalar(key, shards):
+        b, j = -1, 0
+        while j < shards:
+            b = j
+            key = (key * 2862933555777941757 + 1) % 2**64
+            j = int((b + 1) * ((1 << 31) / ((key >> 33) + 1)))
+        return b
+
+    keys = np.random.default_rng(15).integers(0, 1 << 63, 500).astype(np.uint64)
+    for shards in (1, 2, 40, 41, 1000):
+        assert sharding.jump_hash(keys, shards).tolist() == [scalar(k, shards) for k in sharding.mixed(keys).tolist()]
+
+
 def test_jump_hash_moves_the_necessary_share():
     keys = np.arange(200_000).astype(np.uint64)
     a, b = sharding.jump_hash(keys, 40), sharding.jump_hash(keys, 41)
@@ -479,6 +538,58 @@ def test_jump_hash_moves_the_necessary_share():
     assert size.max() < 1.06 * size.mean() and size.min() > 0.94 * size.mean()
 
 
+def brute_scan(text):
+    """Base columns and labels by looking at every place: a notice counts where one of its diagonals' words hold enough of it."""
+    w = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+    at = sorted((i, label) for phrase, label in licenses.BASE.items() for i in range(len(w)) if w[i : i + len(phrase.split())] == phrase.split())
+    base = {label for _, label in at}
+    labels, best = set(base), 1.0 if at else 0.0
+    for label, notices in licenses.NOTICES.items():
+        for notice in notices:
+            t = re.findall("[a-z0-9]+", notice)
+            votes = defaultdict(set)
+            for i in range(len(w) - 2):
+                for j in range(len(t) - 2):
+                    if w[i : i + 3] == t[j : j + 3]:
+                        votes[i - j].add(j)
+            spans, last = [], None
+            for d in sorted(votes):
+                if last is None or d - last > licenses.NEAR:
+                    spans.append([])
+                spans[-1].append(d)
+                last = d
+            for span in spans:
+                held = {j + k for d in span for j in votes[d] for k in range(3)}
+                length = max(d + max(votes[d]) + 3 for d in span) - min(d + min(votes[d]) for d in span)
+                if len(held) / len(t) >= licenses.COVER and length <= licenses.STRETCH * len(t):
+                    labels.add(label)
+                    best = max(best, len(held) / len(t))
+    return len(w), len(at), at[0][0] if at else None, at[-1][0] if at else None, ",".join(sorted(base)), ",".join(sorted(labels)), best if not at else 1.0
+
+
+def test_license_scan_equals_a_look_at_every_place(spark):
+    rng = random.Random(16)
+    notices = [n for x in licenses.NOTICES.values() for n in x]
+    texts = [None, "", "CC BY cc by. General Public License"]
+    for _ in range(60):
+        parts = []
+        for _ in range(rng.randrange(1, 6)):
+            n = rng.choice(notices).split()
+            for _ in range(rng.randrange(0, 4)):
+                i = rng.randrange(len(n))
+                n[i : i + 1] = rng.choice(([], [n[i], "so"], ["other"], [n[i].upper()]))
+            parts += [" ".join(n), " ".join(rng.choice(("the", "software", "all rights reserved", "cc", "by")) for _ in range(rng.randrange(9)))]
+        texts.append(rng.choice((" ", ", ", "\n")).join(parts))
+    texts.append(" ".join([notices[0]] * 3000))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in licenses.scan(df).collect():
+        if r["doc_id"] < len(texts) - 1:
+            want = brute_scan(texts[r["doc_id"]])
+            assert tuple(r)[1:-1] == want[:-1] and abs(r["score"] - want[-1]) < 1e-9
+        else:
+            assert r["n_words"] == 24000 and r["labels"] == "apache-2.0"
+
+
 def test_license_scan(spark, clashing, none):
     gpl = "This work is licensed under the GNU General Public License, version 3."
     texts = [gpl, "Licensed under CC BY-NC 4.0. All rights  reserved.", "this work is truly licensed under the gnu general public license version 3", "general public opinion on license terms", "x " * 5000 + "Released under the MIT License.", None, ""]
