@@ -8,8 +8,9 @@ stretches of a block go once, with their smallest and largest key.
 
 In a bucket the stretches' suffixes are sorted by refinement. They begin in buckets of their first eight bytes; a
 bucket is refined by sorting on the bucket identifiers of the suffixes eight bytes on, which makes it exact for
-sixteen, then by the identifiers so updated sixteen on, and so forth up to WIDTH. Suffixes that stand in one bucket
-then share WIDTH bytes, and the bucket's smallest key decides for all of them.
+sixteen, then by the identifiers so updated sixteen on, and so forth up to WIDTH; only suffixes that still share their
+bucket are sorted again. Suffixes that stand in one bucket then share WIDTH bytes, and the bucket's smallest key
+decides for all of them.
 """
 
 from __future__ import annotations
@@ -108,23 +109,43 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def refined(data: np.ndarray, width: int = WIDTH) -> np.ndarray:
-    """Bucket identifier of the suffix at each position: equal ones share their first `width` bytes (zeros follow the end)."""
+    """Bucket of the suffix at each position: equal ones share their first `width` bytes (zeros follow the end).
+
+    A bucket's identifier is the place where it begins among the sorted suffixes, so that splitting one leaves all
+    others as they are. Suffixes that stand alone are done with; the others are sorted on their bucket and the bucket
+    of the suffix as many bytes on as buckets are deep, and the identifiers so updated serve the next pass.
+    """
     eight, _ = words_at(data)
-    _, bucket = np.unique(eight, return_inverse=True)
-    depth = min(8, width)
-    while depth < width:
+    order = np.argsort(eight)
+    new = np.concatenate([[True], eight[order[1:]] != eight[order[:-1]]])[: len(order)]
+    starts = np.flatnonzero(new)
+    size = np.diff(starts, append=len(order))
+    bucket = np.empty(len(data), np.int64)
+    bucket[order] = np.repeat(starts, size)
+    open_, depth = order[np.repeat(size > 1, size)], min(8, width)
+    while depth < width and len(open_):
         step = min(depth, width - depth)
-        behind = np.zeros_like(bucket)
-        behind[:-step] = bucket[step:]
+        on = open_ + step
+        behind = np.where(on < len(data), bucket[np.minimum(on, len(data) - 1)] + 1, 0)
         # identifiers are below the number of positions, so the pair fits in 64 bits
-        _, bucket = np.unique(bucket * np.int64(len(bucket) + 1) + behind, return_inverse=True)
+        pair = bucket[open_] * np.int64(len(data) + 1) + behind
+        order = np.argsort(pair, kind="stable")
+        open_, pair = open_[order], pair[order]
+        starts = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+        size = np.diff(starts, append=len(pair))
+        # a part of a bucket begins as far behind the bucket's place as members stand before it
+        was = bucket[open_[starts]]
+        head = np.flatnonzero(np.concatenate([[True], was[1:] != was[:-1]]))
+        begins = was + starts - np.repeat(starts[head], np.diff(head, append=len(was)))
+        bucket[open_] = np.repeat(begins, size)
+        open_ = open_[np.repeat(size > 1, size)]
         depth += step
     return bucket
 
 
 def batches_of(file: str, key: str, text: str, columns: list[str] | None = None) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
     """(batch, keys, bytes of its texts in a row, their ends)."""
-    for _, batch in read_block(file, columns):
+    for _, batch in read_block(file, columns, text=text):
         raw = [("" if x is None else x).encode() for x in batch.column(text).to_pylist()]
         keys = np.array([LAST if k is None else k for k in batch.column(key).to_pylist()], np.int64)
         yield batch, keys, np.frombuffer(b"".join(raw), np.uint8), np.cumsum([len(x) for x in raw], dtype=np.int64)
@@ -157,43 +178,55 @@ def verdicts_of_bucket(rows: list[dict]) -> Iterator[tuple]:
     for r in rows:
         names, sizes, data, low, high = expand(r["stretches"])
         sizes = np.frombuffer(sizes, "<u2").astype(np.int64)
-        sent.append((r["block"], np.frombuffer(names, "<u8"), sizes, np.concatenate([[0], np.cumsum(sizes)]), data, np.frombuffer(low, "<i8"), np.frombuffer(high, "<i8")))
-    every = np.sort(np.concatenate([x[1] for x in sent]))
+        names = np.frombuffer(names, "<u8")
+        sent.append((r["block"], names.tolist(), names, np.concatenate([[0], np.cumsum(sizes)]).tolist(), data, np.frombuffer(high, "<i8"), np.frombuffer(low, "<i8").tolist()))
+    every = np.sort(np.concatenate([x[2] for x in sent]))
     total = sum(len(x[4]) for x in sent)
     cuts = every[np.linspace(0, len(every), max(1, total // SORTED_BYTES) + 1).astype(int)[1:-1]] if len(every) else every
-    places = [np.concatenate([[0], np.searchsorted(x[1], cuts), [len(x[1])]]) for x in sent]
+    places = [np.concatenate([[0], np.searchsorted(x[2], cuts), [len(x[1])]]) for x in sent]
     out: dict[int, list[list]] = {}
     for part in range(len(cuts) + 1):
         unique: dict[bytes, int] = {}
         low: list[int] = []
+        named: list[int] = []
         for x, place in zip(sent, places, strict=True):
+            ends, least_key, own = x[3], x[6], x[1]
             for i in range(place[part], place[part + 1]):
-                piece = x[4][x[3][i] : x[3][i + 1]]
-                j = unique.setdefault(piece, len(low))
+                j = unique.setdefault(x[4][ends[i] : ends[i + 1]], len(low))
                 if j == len(low):
-                    low.append(int(x[5][i]))
-                elif x[5][i] < low[j]:
-                    low[j] = int(x[5][i])
+                    low.append(least_key[i])
+                    named.append(own[i])
+                elif least_key[i] < low[j]:
+                    low[j] = least_key[i]
         if not unique:
             continue
-        data = np.frombuffer(b"".join(unique), np.uint8)
-        sizes = np.array([len(p) for p in unique], np.int64)
-        starts = np.concatenate([[0], np.cumsum(sizes)])
-        windows = np.repeat(starts[:-1] - np.concatenate([[0], np.cumsum(sizes - WIDTH + 1)])[:-1], sizes - WIDTH + 1) + np.arange(int((sizes - WIDTH + 1).sum()))
-        bucket = refined(data)[windows]
-        least = np.full(len(data), LAST, np.int64)
-        np.minimum.at(least, bucket, np.repeat(np.array(low, np.int64), sizes - WIDTH + 1))
-        least = least[bucket]
-        at = np.concatenate([[0], np.cumsum(sizes - WIDTH + 1)])
+        sizes = np.array([len(p) - WIDTH + 1 for p in unique], np.int64)
+        at = np.concatenate([[0], np.cumsum(sizes)])
+        least = np.repeat(np.array(low, np.int64), sizes)
+        # equal windows have one anchor: where all pieces of a name are equal there is nothing to sort
+        _, of, n = np.unique(np.array(named, np.uint64), return_inverse=True, return_counts=True)
+        several = np.flatnonzero(n[of] > 1)
+        if len(several):
+            pieces = list(unique)
+            data = np.frombuffer(b"".join(pieces[j] for j in several.tolist()), np.uint8)
+            count = sizes[several]
+            begins = np.cumsum(count + WIDTH - 1) - (count + WIDTH - 1)
+            inner = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+            bucket = refined(data)[np.repeat(begins, count) + inner]
+            own = np.repeat(at[several], count) + inner
+            smallest = np.full(len(data), LAST, np.int64)
+            np.minimum.at(smallest, bucket, least[own])
+            least[own] = smallest[bucket]
+        smallest = np.minimum.reduceat(least, at[:-1]).tolist()
+        at = at.tolist()
         for x, place in zip(sent, places, strict=True):
+            ends, high = x[3], x[5].tolist()
             for i in range(place[part], place[part + 1]):
-                piece = x[4][x[3][i] : x[3][i + 1]]
-                j = unique[piece]
-                m = least[at[j] : at[j + 1]]
-                if m.min() < x[6][i]:
-                    out.setdefault(x[0], []).append([int(x[1][i]), xxhash.xxh64_intdigest(piece), m])
+                j = unique[x[4][ends[i] : ends[i + 1]]]
+                if smallest[j] < high[i]:
+                    out.setdefault(x[0], []).append((x[1][i], x[4][ends[i] : ends[i + 1]], least[at[j] : at[j + 1]]))
     for block, found in out.items():
-        yield block, squeeze(np.array([f[0] for f in found], "<u8").tobytes(), np.array([f[1] for f in found], "<u8").tobytes(), np.array([len(f[2]) for f in found], "<u2").tobytes(), np.concatenate([f[2] for f in found]).astype("<i8").tobytes())
+        yield block, squeeze(np.array([f[0] for f in found], "<u8").tobytes(), np.array([xxhash.xxh64_intdigest(f[1]) for f in found], "<u8").tobytes(), np.array([len(f[2]) for f in found], "<u2").tobytes(), np.concatenate([f[2] for f in found]).astype("<i8").tobytes())
 
 
 def covered(data: np.ndarray, ends: np.ndarray, keys: np.ndarray, names: np.ndarray, verdicts: dict[tuple[int, int], np.ndarray]) -> np.ndarray:
@@ -287,5 +320,9 @@ def digest(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
 
 def clean(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with the remaining text of each row in place of its text; see removal()."""
+    """docs with the remaining text of each row in place of its text; see removal().
+
+    Every row stays, repeated ones and those with a null key too; a null text stays null, and one that is removed
+    whole becomes empty. An empty table gives an empty result.
+    """
     return removal(docs, False, key, text)
