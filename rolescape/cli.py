@@ -35,7 +35,7 @@ def next_version(spark: SparkSession, root: str, table: str) -> int:
 def collect(spark: SparkSession, args: argparse.Namespace) -> int:
     """Score landed payloads (source_name, company, payload) and merge them into the ledger."""
     as_of = F.lit(args.as_of).cast("timestamp") if args.as_of else F.current_timestamp()
-    taxonomy = config.taxonomy(args.config) if args.config else config.DEFAULT
+    taxonomy = config.taxonomy(args.config) if args.config else config.Taxonomy()
     rows = payloads.read(args.kind, spark.read.parquet(args.landed))
     scored = scoring.score(rows, config.profile(args.config), as_of, taxonomy)
     kept = scoring.profile_filter(scored) if args.filter else scored

@@ -30,14 +30,14 @@ class Taxonomy:
 WEIGHTS = {"target_role": 20, "e3d_pdms": 20, "piping_layout": 15, "sector": 10, "experience": 10, "preferred_location": 10, "site_offshore": 5, "diploma_eligible": 5, "recent_posting": 5}
 THRESHOLDS = {"critical": 85, "high": 70, "normal": 50}
 TERMS = {
-    "target_role": ("piping engineer", "piping designer", "piping layout engineer"),
+    "target_role": ("lead piping engineer", "senior piping engineer", "piping design engineer", "piping layout engineer", "e3d piping designer", "pdms piping designer", "sp3d piping designer", "offshore piping engineer", "site piping engineer"),
     "e3d_pdms": ("aveva e3d", "e3d", "pdms", "sp3d", "smartplant 3d"),
     "piping_layout": ("piping layout", "equipment layout", "plant layout", "plot plan", "general arrangement", "3d model coordination"),
-    "sector": ("oil and gas", "refinery", "petrochemical", "offshore", "lng"),
-    "experience": ("10 years", "15 years", "senior", "lead", "principal"),
-    "preferred_location": ("mumbai", "india", "abu dhabi", "dubai", "qatar"),
-    "site_offshore": ("site engineering", "field engineering", "brownfield", "offshore"),
-    "diploma_eligible": ("diploma",),
+    "sector": ("oil and gas", "refinery", "petrochemical", "offshore", "lng", "nuclear"),
+    "experience": ("10 years", "12 years", "15 years", "senior", "lead"),
+    "preferred_location": ("mumbai", "navi mumbai", "pune", "vadodara", "uae", "saudi arabia", "oman", "qatar", "kuwait"),
+    "site_offshore": ("site engineering", "field engineering", "site experience", "brownfield", "punch list", "offshore"),
+    "diploma_eligible": ("diploma", "degree or diploma"),
     "mandatory_degree": ("degree required", "bachelor's degree required"),
 }
 
@@ -111,15 +111,3 @@ def profile(folder: str | Path | None) -> Profile:
     terms |= {"target_role": lowered(roles.get("target_roles")) or TERMS["target_role"], "sector": lowered(roles.get("sectors")) or TERMS["sector"], "preferred_location": lowered(named) or TERMS["preferred_location"]}
     return Profile(merged(WEIGHTS, scoring.get("weights")), merged(THRESHOLDS, scoring.get("thresholds")), terms, integer(scoring.get("recent_days"), 7))
 
-
-#: The default dictionary of software, sectors, employment types, countries and regions.
-DEFAULT = Taxonomy(
-    roles=(("Lead Piping Engineer", ("lead piping engineer", "piping lead engineer")), ("Piping Design Engineer", ("piping design engineer",)), ("Lead Piping Design Engineer", ("lead piping design engineer", "piping design lead")), ("Senior Piping Layout Engineer", ("senior piping layout engineer",)), ("SP3D Piping Designer", ("sp3d piping designer",))),
-    software=(("AVEVA E3D", ("aveva e3d", "e3d")), ("PDMS", ("pdms", "aveva pdms")), ("SP3D", ("sp3d", "smartplant 3d", "smart plant 3d")), ("Navisworks", ("navisworks",)), ("AutoCAD", ("autocad", "auto cad"))),
-    sectors=(("Oil and Gas", ("oil and gas", "oil & gas", "upstream", "downstream")), ("Refinery", ("refinery", "refining")), ("Offshore", ("offshore", "topsides", "platform")), ("LNG", ("lng", "liquefied natural gas"))),
-    employment=(("Permanent", ("permanent", "full time", "full-time")), ("Contract", ("contract", "contractual", "fixed term", "fixed-term")), ("Remote", ("remote", "work from home"))),
-    cities=(("Mumbai", "India", ("mumbai", "bombay")), ("Navi Mumbai", "India", ("navi mumbai", "new mumbai")), ("Bengaluru", "India", ("bengaluru", "bangalore")), ("Abu Dhabi", "United Arab Emirates", ("abu dhabi",)), ("Doha", "Qatar", ("doha",)), ("London", "United Kingdom", ("london",))),
-    countries=(("India", ("india",)), ("United Arab Emirates", ("united arab emirates", "uae", "emirates")), ("Saudi Arabia", ("saudi arabia", "ksa")), ("Qatar", ("qatar",)), ("United Kingdom", ("united kingdom", "uk", "great britain", "england", "scotland", "wales")), ("United States", ("united states", "usa", "u.s.a.")), ("Germany", ("germany",)), ("France", ("france",))),
-    regions=(("Europe", ("europe", "european union")), ("Africa", ("africa",)), ("Middle East", ("middle east", "gulf", "gcc")), ("Worldwide", ("worldwide", "global", "international"))),
-    negative_roles=("software developer", "accountant", "civil engineer", "electrical engineer"),
-)

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from rolescape.functions.text import text
 
-EMAIL = r"[A-Za-z0-9.!#$%&'*+/=?^_`{|}~\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+"
-OBFUSCATED = r"(?i)([a-z0-9._%+\-]+)\s*(?:\[at\]|\(at\)|\sat\s)\s*([a-z0-9\-]+)\s*(?:\[dot\]|\(dot\)|\sdot\s)\s*([a-z]{2,})"
+#: The shapes of an address, plain and with its signs spelt out.
+EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9.!#$%&'*+/=?^_`{|}~\-]+@[A-Za-z0-9](?:[A-Za-z0-9\-]{0,61}[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9\-]{0,61}[A-Za-z0-9])?)+"
+OBFUSCATED = r"(?i)([a-z0-9._%+\-]+)\s*(?:\[at\]|\(at\)|\sat\s)\s*([a-z0-9.\-]+)\s*(?:\[dot\]|\(dot\)|\sdot\s)\s*([a-z]{2,24})"
 #: File endings that look like domains, and suffixes of two labels.
 FILE_ENDINGS = ("gif", "jpg", "jpeg", "pdf", "png", "svg", "webp")
 TWO_LABELS = ("co.in", "co.uk", "com.au", "com.br", "com.cn", "com.my", "com.sg", "com.tr", "com.mx", "co.nz", "co.za", "org.uk", "net.au")
@@ -23,6 +24,19 @@ def first_email(c: Column) -> Column:
     return F.lower(F.regexp_extract(text(c), EMAIL, 0))
 
 
+#: The shape of an address in an alert, and signs of one that nobody reads.
+ALERT_EMAIL = r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"
+NO_REPLY = ("noreply", "no-reply", "donotreply")
+
+
+def public_contact(c: Column, sender: Column) -> Column:
+    """The first address of a text that is neither the sender's nor a no-reply one, lower-cased; else empty."""
+    own = F.lower(F.regexp_extract(text(sender), ALERT_EMAIL, 0))
+    found = F.transform(F.regexp_extract_all(text(c), F.lit(ALERT_EMAIL), F.lit(0)), F.lower)
+    silent = lambda x: x.contains(NO_REPLY[0]) | x.contains(NO_REPLY[1]) | x.contains(NO_REPLY[2])
+    return F.coalesce(F.get(F.filter(found, lambda x: (x != own) & ~silent(x)), F.lit(0)), F.lit(""))
+
+
 def all_emails(c: Column) -> Column:
     """Distinct addresses of a text as written there, lower-cased, in order."""
     return F.array_distinct(F.transform(F.regexp_extract_all(text(c), F.lit(EMAIL), F.lit(0)), F.lower))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rolescape.functions.dates import iso
 from rolescape.functions.text import first_filled, folded, percentage, text
+from rolescape.operators.dedup import numbered
 
 #: The registry's statuses.
 DIRECT, GMAIL, NOTICE, MANUAL = "ACTIVE_DIRECT", "ACTIVE_GMAIL_ALERT", "ACTIVE_PUBLIC_NOTICE", "ACTIVE_MANUAL_IMPORT"
@@ -165,12 +166,15 @@ def company_aliases(registry: DataFrame, ignore_case: bool = False) -> DataFrame
 def query_groups(terms: DataFrame, column: str, size: int = 25, newer_than_days: int = 30) -> DataFrame:
     """Sorted distinct terms in groups of `size`, each an OR of quoted terms behind a newer_than filter.
 
-    The terms are a configuration's companies; a global row number is taken over them, not over data rows.
+    Terms are numbered by ranges, so no task sees all of them.
     """
-    from pyspark.sql import Window
-
     cleaned = F.trim(F.replace(text(terms[column]), F.lit('"'), F.lit("")))
     distinct = terms.select(cleaned.alias("term")).where("term <> ''").groupBy(F.lower("term").alias("k")).agg(F.min("term").alias("term"))
-    numbered = distinct.withColumn("n", F.row_number().over(Window.orderBy("k")) - 1)
-    grouped = numbered.groupBy(F.floor(F.col("n") / size).cast("int").alias("group")).agg(F.count("*").alias("terms"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "term"))), lambda x: F.concat(F.lit('"'), x["term"], F.lit('"'))), " OR ").alias("q"))
+    grouped = numbered(distinct, ["k"], "n").groupBy(F.floor(F.col("n") / size).cast("int").alias("group")).agg(F.count("*").alias("terms"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "term"))), lambda x: F.concat(F.lit('"'), x["term"], F.lit('"'))), " OR ").alias("q"))
     return grouped.select((F.col("group") + 1).alias("query_group"), "terms", F.concat(F.lit(f"newer_than:{newer_than_days}d ("), F.col("q"), F.lit(")")).alias("query")).orderBy("query_group")
+
+
+def totals(companies: DataFrame, countries: DataFrame, country: str = "India") -> DataFrame:
+    """One row: the size of the registry, its active companies, and a country's percentage (0 without it)."""
+    of = countries.where(F.col("country") == country).agg(F.coalesce(F.max("coverage_percentage"), F.lit(0.0)).alias("coverage_percentage"))
+    return companies.agg(F.count("*").alias("companies"), F.count_if("coverage_active").alias("active")).join(F.broadcast(of))

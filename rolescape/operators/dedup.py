@@ -23,6 +23,11 @@ def duplicate_group(df: DataFrame) -> Column:
     return F.left(F.sha2(F.concat_ws("|", *parts), 256), F.lit(20))
 
 
+def descending(c: Column) -> Column:
+    """Text whose order is the reverse of the column's: its bytes in hex, each digit mirrored, and an end above all digits."""
+    return F.concat(F.translate(F.hex(text(c)), "0123456789ABCDEF", "FEDCBA9876543210"), F.lit("G"))
+
+
 def representatives(jobs: DataFrame) -> DataFrame:
     """One row of each duplicate group, the best scored and newest, with the group's size, sources and URLs.
 
@@ -34,10 +39,14 @@ def representatives(jobs: DataFrame) -> DataFrame:
     order = F.struct(seen.alias("f"), df["company"].alias("c"), df["title"].alias("t"), df["job_key"].alias("j"))
     rank = F.struct(number(df["match_score"]).alias("s"), text(df["published_at"]).alias("p"), text(df["last_seen_at"]).alias("l"), text(df["found_at"]).alias("f") if "found_at" in df.columns else F.lit("").alias("f"))
     rows = F.struct(*[df[c] for c in jobs.columns])
-    # ties fall to the smallest (company, title, key): the largest rank first, then the smallest of those names
-    best = df.groupBy("duplicate_group").agg(F.max(rank).alias("rank"), F.count("*").alias("source_count"), F.array_join(F.array_sort(F.collect_set(F.nullif(text(df["source_name"]), F.lit("")))), "; ").alias("duplicate_sources"), F.array_join(F.array_distinct(F.transform(F.array_sort(F.collect_set(F.when(text(df["apply_url"]) != "", F.struct(order.alias("o"), df["apply_url"].alias("u"))))), lambda x: x["u"])), "\n").alias("all_apply_urls"))
-    tied = df.select("duplicate_group", rank.alias("rank"), rows.alias("row")).join(best, ["duplicate_group", "rank"])
-    one = tied.groupBy("duplicate_group").agg(F.min_by("row", F.struct("row.company", "row.title", "row.job_key")).alias("row"), F.first("source_count").alias("source_count"), F.first("duplicate_sources").alias("duplicate_sources"), F.first("all_apply_urls").alias("all_apply_urls"))
+    # ties fall to the smallest (company, title, key)
+    ranked = F.struct(rank.alias("rank"), *[descending(df[c]).alias(c) for c in ("company", "title", "job_key")])
+    links = F.array_sort(F.collect_set(F.when(text(df["apply_url"]) != "", F.struct(order.alias("o"), df["apply_url"].alias("u")))))
+    one = df.groupBy("duplicate_group").agg(
+        F.max_by(rows, ranked).alias("row"), F.count("*").alias("source_count"),
+        F.array_join(F.array_sort(F.collect_set(F.nullif(text(df["source_name"]), F.lit("")))), "; ").alias("duplicate_sources"),
+        F.array_join(F.array_distinct(F.transform(links, lambda x: x["u"])), "\n").alias("all_apply_urls"),
+    )
     keep = [F.col(f"row.{c}").alias(c) for c in jobs.columns if c != "duplicate_status"]
     out = one.select(*keep, "duplicate_group", "source_count", "duplicate_sources", "all_apply_urls", F.when(F.col("source_count") > 1, "cross_source_duplicate").otherwise("unique").alias("duplicate_status"))
     return out.orderBy(F.desc("match_score"), F.desc("published_at"), "company", "title", "job_key")
@@ -60,3 +69,27 @@ def summary_by(jobs: DataFrame, column: str) -> DataFrame:
 def best_per(df: DataFrame, key: str, *order: Column) -> DataFrame:
     """The first row of each key in an order; the rows before it in a partition are dropped before the shuffle."""
     return df.withColumn("_nth", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_nth = 1").drop("_nth")
+
+
+def first_seen(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The first row of each key in an order; a null is a key of its own."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def numbered(df: DataFrame, order: list[str], name: str = "position") -> DataFrame:
+    """df with each row's place in an order, from 0, without one task that sees all rows.
+
+    Rows are dealt by ranges of the order and written once by a checkpoint, so the ranges can't change; a row's place
+    is its place in its range and the rows of the ranges before, a number for each range.
+    """
+    dealt = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).checkpoint()
+    counts = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return dealt.withColumn("_at", at).join(F.broadcast(counts.select("_part", before.alias("_before"))), "_part").withColumn(name, F.col("_at") + F.col("_before")).drop("_part", "_at", "_before")
+
+
+def dealt_shards(df: DataFrame, keys: list[str], shards: int) -> DataFrame:
+    """Distinct rows by keys with the shard that takes them in turn."""
+    return numbered(df.dropDuplicates(keys), keys).withColumn("shard", F.pmod("position", F.lit(shards)).cast("long")).drop("position")

@@ -75,3 +75,26 @@ def repeated_pages(pages: DataFrame, body: str) -> DataFrame:
 
 def latest_run(runs: DataFrame) -> DataFrame:
     return runs.orderBy(F.desc("started_at"), F.desc("run_id")).limit(1)
+
+
+def shard_totals(shards: DataFrame) -> DataFrame:
+    """The sums of the shards' status fields, and what the whole run's status is."""
+    out = shards.agg(F.count("*").alias("shards_completed"), *[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("sources_attempted", "sources_passed", "sources_failed", "jobs_collected", "new_jobs", "updated_jobs")])
+    return out.withColumn("collection_status", run_status(F.col("sources_attempted"), F.col("sources_passed")))
+
+
+def counts_by_status(results: DataFrame) -> DataFrame:
+    return results.groupBy("status").agg(F.count("*").alias("files"), F.count_if("review_required").alias("review_required"))
+
+
+def missing_names(rows: DataFrame, present: str, required: tuple[str, ...]) -> DataFrame:
+    """rows with missing: the required names that an array column lacks, sorted."""
+    return rows.withColumn("missing", F.array_sort(F.array_except(F.array(*map(F.lit, required)), F.col(present))))
+
+
+def proof_by_source(evidence: DataFrame, notices: DataFrame, least: int) -> DataFrame:
+    """Files, bytes and notices of each source, and whether both prove it."""
+    n = notices.groupBy("source_id").agg(F.count("*").alias("notices"))
+    out = evidence_by_source(evidence).join(n, "source_id", "full_outer")
+    out = out.select("source_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("files", "bytes", "notices")])
+    return out.withColumn("proven", (F.col("files") > 0) & (F.col("notices") >= least))

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from rolescape import schemas
 from rolescape.functions.text import first_filled, normalize, text
 from rolescape.functions.urls import canonical
+from rolescape.operators.dedup import best_per
 
 #: Columns that a filled incoming value refreshes, and those that a scored row overwrites.
 REFRESHED = ("title", "company", "location", "description", "apply_url", "source_url", "source_name", "published_at", "job_type", "salary_text", "experience_text", "skills_text", "agency_name", "recruiter_name", "recruiter_email", "contact_source_url", "contact_confidence")
@@ -113,14 +114,14 @@ class Group:
         return key, action
 
 
-def connected(rows: DataFrame, rounds: int = 50) -> DataFrame:
+def connected(rows: DataFrame) -> DataFrame:
     """(id, group): rows (id, token) that share a token, directly or through others, get one group.
 
-    Each round gives a row the smallest group among its tokens' rows and follows that group's own; the rounds are
-    few, as identities chain over a handful of sightings. Lineage is cut by checkpoints.
+    Each round gives a row the smallest group among its tokens' rows and follows that group's own, until nothing
+    changes; the rounds are few, as identities chain over a handful of sightings. Lineage is cut by checkpoints.
     """
     state = rows.select("id").distinct().select("id", F.col("id").alias("group"))
-    for _ in range(rounds):
+    while True:
         by_token = rows.join(state, "id").groupBy("token").agg(F.min("group").alias("group"))
         low = rows.join(by_token, "token").groupBy("id").agg(F.min("group").alias("low"))
         jump = state.select(F.col("id").alias("low"), F.col("group").alias("jump"))
@@ -128,7 +129,6 @@ def connected(rows: DataFrame, rounds: int = 50) -> DataFrame:
         state = new.select("id", F.col("next").alias("group"))
         if not new.where("next <> group").take(1):
             return state
-    raise RuntimeError("identities chain over more sightings than expected")
 
 
 def merge(ledger: DataFrame, aliases: DataFrame, incoming: DataFrame, seq: str = "seq") -> DataFrame:
@@ -217,3 +217,37 @@ def replace_by_key(parts: list[DataFrame], keys: list[str]) -> DataFrame:
         out = out.unionByName(p.withColumn("_part", F.lit(i)), allowMissingColumns=True)
     columns = [c for c in out.columns if c not in (*keys, "_part")]
     return out.groupBy(*keys).agg(F.max_by(F.struct(*columns), "_part").alias("r")).select(*keys, "r.*")
+
+
+def latest_rows(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """Insert or replace: of rows with one key the latest counts."""
+    return best_per(rows, key, F.desc(order))
+
+
+def without(rows: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose keys are not to be deleted."""
+    return rows.join(gone.select(*keys).distinct(), keys, "left_anti")
+
+
+def flag_review(jobs: DataFrame, review: Column) -> DataFrame:
+    """New rows that need a look are marked; other statuses stay."""
+    return jobs.withColumn("application_status", F.when((F.col("application_status") == "new") & review, "review_required").otherwise(F.col("application_status")))
+
+
+def import_states(events: DataFrame) -> DataFrame:
+    """The state of each imported file (sha256) from its events (sha256, status, job_key, at): complete once any event says
+    so, else staged and to be done again; its job is that of the last complete event."""
+    done = F.col("status") == "complete"
+    out = events.groupBy("sha256").agg(F.max(F.when(done, F.struct("at", "job_key"))).alias("last"), F.min("at").alias("first_at"), F.count("*").alias("attempts"))
+    return out.select("sha256", F.when(F.col("last").isNotNull(), "complete").otherwise("staged").alias("status"), F.coalesce("last.job_key", F.lit("")).alias("job_key"), "first_at", "attempts")
+
+
+def run_rows(events: DataFrame) -> DataFrame:
+    """A row for each run from its events (run_id, at, status, error_message): the last status, and the errors joined by " | "."""
+    told = F.array_sort(F.collect_list(F.when(F.col("error_message") != "", F.struct("at", F.left("error_message", F.lit(2000)).alias("m")))))
+    return events.groupBy("run_id").agg(F.min("at").alias("started_at"), F.max("at").alias("ended_at"), F.max(F.struct("at", "status")).alias("last"), told.alias("told")).select("run_id", "started_at", "ended_at", F.col("last.status").alias("status"), F.array_join(F.transform("told", lambda x: x["m"]), " | ").alias("error_message"))
+
+
+def in_shape(source: DataFrame, target: DataFrame) -> DataFrame:
+    """The source's rows in the target's columns: those that both have, the others null."""
+    return source.select(*[F.col(f.name).cast(f.dataType).alias(f.name) if f.name in source.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in target.schema.fields])

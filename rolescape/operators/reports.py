@@ -5,14 +5,15 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rolescape.config import Taxonomy
 from rolescape.functions.dates import REPORT_FORMATS, iso, parsed, publication_status, since, utc_text
 from rolescape.functions.text import collapse, contains_any, first_filled, hits, text
 from rolescape.functions.urls import identity, is_web
-from rolescape.operators.dedup import best_per
+from rolescape.operators.dedup import best_per, representatives
+from rolescape.operators.dedup import variants as variants_of
 from rolescape.operators.matching import place
 
 #: The shortlist's title and closing patterns and excluded statuses.
@@ -23,7 +24,11 @@ GONE = ("closed", "expired", "withdrawn", "rejected")
 #: The 48-hour report's terms of urgency and seniority.
 URGENT = ("urgent", "urgently", "immediate", "immediately", "asap", "join immediately", "immediate joiner", "immediate joining", "short notice", "mobilization", "mobilisation", "walk-in", "walk in", "hiring now", "priority hiring", "hot job", "start immediately", "available immediately")
 SENIOR = ("lead", "senior", "sr.", "sr ", "principal", "manager", "head", "area lead", "discipline lead", "checker", "coordinator")
-RELEVANT = ("piping", "pipe layout", "plant layout", "e3d", "pdms", "sp3d", "smartplant 3d", "smart 3d", "piping designer", "piping engineer", "piping checker", "piping lead", "pipe support", "piping stress", "3d model coordinator")
+RELEVANT = ("piping", "pipe layout", "plant layout", "e3d", "aveva e3d", "pdms", "sp3d", "smartplant 3d", "smart 3d", "piping designer", "piping engineer", "piping checker", "piping lead", "pipe support", "piping stress", "3d model coordinator")
+
+
+#: Confidences of a contact that need a look.
+UNCERTAIN = ("PUBLIC_UNVERIFIED", "PATTERN_SUGGESTION", "ALERT_SUPPLIED")
 
 
 def active(jobs: DataFrame) -> DataFrame:
@@ -45,14 +50,16 @@ def high_priority(jobs: DataFrame) -> DataFrame:
 def manual_review(jobs: DataFrame, imports: DataFrame) -> DataFrame:
     """Uncertain contact, flagged for review, or imported from something that needs it."""
     waiting = imports.where("review_required = 1 AND job_key <> ''").select(F.col("job_key").alias("k")).distinct().withColumn("w", F.lit(True))
-    return jobs.join(waiting, F.col("job_key") == F.col("k"), "left").where((F.col("contact_confidence") == "uncertain") | (F.col("application_status") == "review_required") | F.col("w")).drop("k", "w")
+    return jobs.join(waiting, F.col("job_key") == F.col("k"), "left").where(F.col("contact_confidence").isin(*UNCERTAIN) | (F.col("application_status") == "review_required") | F.col("w")).drop("k", "w")
 
 
 def direct_contacts(contacts: DataFrame, fallback: DataFrame) -> DataFrame:
     """Contacts with an address; if there is none at all, the fallback's rows."""
     direct = contacts.where(text(F.col("email")) != "")
     there = direct.agg((F.count("*") > 0).alias("there"))
-    return direct.unionByName(fallback.join(F.broadcast(there.where("NOT there").select(F.lit(1).alias("one"))), F.lit(1) == F.col("one"), "left_semi"), allowMissingColumns=True)
+    # one row: whether there is any
+    none = fallback.withColumn("_one", F.lit(1)).join(F.broadcast(there.where("NOT there").select(F.lit(1).alias("_one"))), "_one", "left_semi").drop("_one")
+    return direct.unionByName(none, allowMissingColumns=True)
 
 
 def split_places(location: Column) -> Column:
@@ -102,14 +109,32 @@ def report_metrics(rows: DataFrame, hours: int = 48) -> DataFrame:
     return rows.agg(F.count("*").alias("relevant"), F.count_if(confirmed).alias("confirmed"), F.count_if(confirmed & urgent).alias("confirmed_urgent"), F.count_if((F.col("date_status") == "date_unknown") & urgent).alias("urgent_unknown"), names("country").alias("countries"), names("location").alias("locations"))
 
 
-def daily_metrics(jobs: DataFrame, health: DataFrame) -> DataFrame:
-    """metric, value rows of one pass over each table."""
-    live = ~F.col("application_status").isin("expired", "rejected")
-    filled = lambda c: F.when(live, F.nullif(text(F.col(c)), F.lit("")))
-    j = jobs.agg(F.count("*").alias("raw_source_rows"), F.count_if(live).alias("active_jobs"), F.count_if(live & F.col("priority").isin("critical", "high")).alias("high_priority"), F.count_distinct(filled("country")).alias("countries"), F.count_distinct(filled("company")).alias("companies"), *[F.count_if(F.col("application_status") == s).alias(s) for s in ("applied", "follow_up", "rejected", "expired")])
-    h = health.agg(F.count("*").alias("sources_total"), F.count_if(F.col("status").isin("pass", "pass_with_warnings")).alias("sources_passing"), F.count_if(F.col("status") == "fail").alias("sources_failing"))
-    rows = [df.select(F.explode(F.map_from_arrays(F.array(*[F.lit(c) for c in df.columns]), F.array(*[F.col(c).cast("string") for c in df.columns]))).alias("metric", "value")) for df in (j, h)]
-    return rows[0].unionByName(rows[1])
+def daily_metrics(jobs: DataFrame, health: DataFrame, imports: DataFrame, contacts: DataFrame, messages: DataFrame, companies: DataFrame, as_of: Column) -> DataFrame:
+    """The 23 metrics as rows (metric, value), each table aggregated on its own.
+
+    Metrics of active jobs count one representative of each duplicate group. messages need a status, companies
+    coverage_active and whether they are a gap (coverage_gap).
+    """
+    live = active(jobs)
+    best, variants = representatives(live), variants_of(live)
+    filled = lambda c: F.nullif(text(F.col(c)), F.lit(""))
+    status = F.col("application_status")
+    mail = text(F.col("status"))
+    parts = [
+        jobs.agg(F.date_format(as_of, "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias("generated_at"), F.count("*").alias("raw_source_rows"), *[F.count_if(status == s).alias(s) for s in ("applied", "follow_up", "rejected", "expired")]),
+        best.agg(F.count("*").alias("worldwide_deduplicated_jobs"), F.count_if(F.startswith(text(F.col("found_at")), F.date_format(as_of, "yyyy-MM-dd"))).alias("new_today"), F.count_if(F.col("priority").isin("critical", "high")).alias("high_priority"), F.count_distinct(filled("country")).alias("countries"), F.count_distinct(filled("company")).alias("companies")),
+        variants.agg(F.count("*").alias("duplicate_variant_rows")),
+        manual_review(jobs, imports).agg(F.count("*").alias("manual_review")),
+        contacts.agg(F.count("*").alias("recruiter_contacts")),
+        health.agg(F.count("*").alias("sources_total"), F.count_if(F.col("status").isin("pass", "pass_with_warnings")).alias("sources_passing"), F.count_if(F.col("status") == "fail").alias("sources_failing")),
+        messages.agg(F.count("*").alias("gmail_messages"), F.count_if(mail.startswith("complete")).alias("gmail_complete"), F.count_if(mail == "failed").alias("gmail_failed")),
+        companies.agg(F.count("*").alias("target_companies"), F.count_if("coverage_active").alias("active_company_coverage"), F.count_if("coverage_gap").alias("company_coverage_gaps")),
+    ]
+    rows = [df.select(F.explode(F.map_from_arrays(F.array(*[F.lit(c) for c in df.columns]), F.array(*[F.col(c).cast("string") for c in df.columns]))).alias("metric", "value")) for df in parts]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
 
 
 def top_jobs(jobs: DataFrame, n: int = 100, minimum: int = 0) -> DataFrame:
@@ -142,3 +167,14 @@ def column_widths(df: DataFrame, rows: int = 200, least: int = 10, most: int = 6
 
 def pattern(terms: Sequence[str]) -> str:
     return "(?i)\\b(" + "|".join(map(re.escape, terms)) + ")\\b"
+
+
+def head_per(rows: DataFrame, key: str, n: int, *order: str) -> DataFrame:
+    """The first n rows of each key in an order: a source's head limit."""
+    w = Window.partitionBy(key).orderBy(*order)
+    return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
+
+
+def first_rows(rows: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first n rows in an order, as reports list them."""
+    return rows.orderBy(*order).limit(n)

@@ -12,7 +12,7 @@ from rolescape.config import Groups, Taxonomy
 from rolescape.functions import dates, emails, text, urls
 from rolescape.operators import contacts, coverage, dedup, integrity, ledger, matching, reports, scoring
 from rolescape.plans.adapters import AS_OF, EVENTS_AS_OF, HEALTH_SQL, JOBS_SQL, PROFILE, PROVEN_SQL, REGISTRY_SQL, TAXONOMY, doc_jobs, health, jobs, literal, registry, table
-from rolescape.sources import html
+from rolescape.sources import html, mail
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -112,13 +112,27 @@ def summary_by_company(spark, d):
     return dedup.summary_by(jobs(spark, d), "company")
 
 
-@query(f"""WITH {JOBS_SQL}, {HEALTH_SQL}, live AS (SELECT * FROM jobs WHERE application_status NOT IN ('expired', 'rejected'))
- SELECT 'raw_source_rows' AS metric, CAST((SELECT count(*) FROM jobs) AS VARCHAR) AS value UNION ALL SELECT 'active_jobs', CAST((SELECT count(*) FROM live) AS VARCHAR) UNION ALL SELECT 'high_priority', CAST((SELECT count(*) FROM live WHERE priority IN ('critical', 'high')) AS VARCHAR)
- UNION ALL SELECT 'countries', CAST((SELECT count(DISTINCT country) FROM live) AS VARCHAR) UNION ALL SELECT 'companies', CAST((SELECT count(DISTINCT company) FROM live) AS VARCHAR)
- UNION ALL SELECT s, CAST((SELECT count(*) FROM jobs WHERE application_status = s) AS VARCHAR) FROM (SELECT unnest(['applied', 'follow_up', 'rejected', 'expired']) AS s)
- UNION ALL SELECT 'sources_total', CAST((SELECT count(*) FROM health) AS VARCHAR) UNION ALL SELECT 'sources_passing', CAST((SELECT count(*) FROM health WHERE status <> 'fail') AS VARCHAR) UNION ALL SELECT 'sources_failing', CAST((SELECT count(*) FROM health WHERE status = 'fail') AS VARCHAR)""")
+_METRICS = {
+    "generated_at": f"'{AS_OF.replace(' ', 'T')}+00:00'", "raw_source_rows": "(SELECT count(*) FROM jobs)", "worldwide_deduplicated_jobs": "(SELECT count(*) FROM best)",
+    "duplicate_variant_rows": "(SELECT count(*) FROM sized WHERE n > 1)", "new_today": f"(SELECT count(*) FROM best WHERE starts_with(found_at, '{AS_OF[:10]}'))", "high_priority": "(SELECT count(*) FROM best WHERE priority IN ('critical', 'high'))",
+    "countries": "(SELECT count(DISTINCT country) FROM best)", "companies": "(SELECT count(DISTINCT company) FROM best)",
+    "manual_review": "(SELECT count(*) FROM jobs WHERE CAST(job_key AS BIGINT) % 5 = 0 OR job_key IN (SELECT CAST(doc_id AS VARCHAR) FROM labels WHERE quality = 0))",
+    **{s: f"(SELECT count(*) FROM jobs WHERE application_status = '{s}')" for s in ("applied", "follow_up", "rejected", "expired")},
+    "recruiter_contacts": "(SELECT count(*) FROM customer WHERE c_acctbal < 0)", "sources_total": "(SELECT count(*) FROM health)", "sources_passing": "(SELECT count(*) FROM health WHERE status <> 'fail')", "sources_failing": "(SELECT count(*) FROM health WHERE status = 'fail')",
+    "gmail_messages": "(SELECT count(*) FROM events)", "gmail_complete": "(SELECT count(*) FROM events WHERE event_type <> 'error')", "gmail_failed": "(SELECT count(*) FROM events WHERE event_type = 'error')",
+    "target_companies": "(SELECT count(*) FROM registry)", "active_company_coverage": "(SELECT count(*) FROM registry WHERE status LIKE 'ACTIVE%')", "company_coverage_gaps": "(SELECT count(*) FROM registry WHERE status NOT LIKE 'ACTIVE%')",
+}
+
+
+@query(f"""WITH {JOBS_SQL}, {HEALTH_SQL}, {REGISTRY_SQL}, live AS (SELECT * FROM jobs WHERE application_status NOT IN ('expired', 'rejected')), {GROUP_SQL.replace('FROM jobs', 'FROM live')},
+ best AS (SELECT * FROM grouped QUALIFY row_number() OVER (PARTITION BY duplicate_group ORDER BY match_score DESC, published_at DESC, last_seen_at DESC, found_at DESC, company, title, job_key) = 1), sized AS (SELECT count(*) OVER (PARTITION BY duplicate_group) AS n FROM grouped)
+ {' UNION ALL '.join(f"SELECT '{name}' AS metric, CAST({value} AS VARCHAR) AS value" for name, value in _METRICS.items())}""")
 def daily_metrics(spark, d):
-    return reports.daily_metrics(jobs(spark, d), ledger.health_latest(health(spark, d)))
+    j = jobs(spark, d).withColumn("contact_confidence", F.when(F.col("job_key").cast("long") % 5 == 0, "ALERT_SUPPLIED").otherwise(""))
+    imports = table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("job_key"), (F.col("quality") == 0).cast("int").alias("review_required"))
+    messages = table(spark, d, "events").select(F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "purchase", "complete_with_warnings").otherwise("complete").alias("status"))
+    companies = registry(spark, d).withColumn("coverage_active", F.col("status").startswith("ACTIVE")).withColumn("coverage_gap", ~F.col("coverage_active"))
+    return reports.daily_metrics(j, ledger.health_latest(health(spark, d)), imports, table(spark, d, "customer").where("c_acctbal < 0"), messages, companies, literal(AS_OF))
 
 
 @query(f"WITH {JOBS_SQL} SELECT job_key, match_score, published_at, company, title FROM jobs ORDER BY match_score DESC, published_at DESC, company, title, job_key LIMIT 100")
@@ -160,7 +174,7 @@ def fingerprint_sha256(spark, d):
     return df.select("job_key", ledger.fingerprint(df).alias("fingerprint"))
 
 
-@query(f"SELECT CAST(doc_id AS VARCHAR) AS job_key, sha256(lower({FIRST_LINE} || ' ' || source || ' ' || lang || ' ' || text)) AS searchable_sha FROM documents WHERE {FIRST_LINE} <> ''")
+@query(f"SELECT CAST(doc_id AS VARCHAR) AS job_key, sha256(lower(concat_ws(' ', nullif({FIRST_LINE}, ''), nullif(source, ''), nullif(lang, ''), nullif(text, '')))) AS searchable_sha FROM documents")
 def searchable_text(spark, d):
     df = doc_jobs(spark, d)
     return df.select("job_key", F.sha2(matching.searchable(df), 256).alias("searchable_sha"))
@@ -425,8 +439,7 @@ def query_chunks(spark, d):
 
 @query("SELECT s_suppkey, (row_number() OVER (ORDER BY s_suppkey) - 1) % 6 AS shard FROM supplier")
 def shard_assignment(spark, d):
-    s = table(spark, d, "supplier")
-    return s.select("s_suppkey", F.pmod(F.row_number().over(Window.orderBy("s_suppkey")) - 1, F.lit(6)).cast("long").alias("shard"))
+    return dedup.dealt_shards(table(spark, d, "supplier").select("s_suppkey"), ["s_suppkey"], 6)
 
 
 @query(f"WITH {JOBS_SQL} SELECT company AS \"Company\", title AS \"Job Title\", published_at AS \"Published\", match_score AS \"Match Score\" FROM jobs WHERE found_ts >= TIMESTAMP '{AS_OF}' - INTERVAL 3 DAY")
@@ -445,8 +458,8 @@ def dated_docs(spark, d):
     return df.join(e, df["job_key"] == e["user_id"].cast("string"), "left").withColumns({"published_at": dates.utc_text(F.col("ts")), "match_score": (F.col("job_key").cast("long") % 101).cast("int")}).drop("ts", "user_id")
 
 
-_REPORT_SQL = f"""dated AS (SELECT doc_id, text, max(ts) AS ts FROM documents JOIN events ON user_id = doc_id GROUP BY 1, 2), body AS (SELECT *, lower(trim(regexp_replace({FIRST_LINE}, '\\s+', ' ', 'g')) || '  ' || trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS s FROM dated WHERE {any_sql('lower(text)', ('the', 'und'))}),
- marked AS (SELECT CAST(doc_id AS VARCHAR) AS job_key, CASE WHEN date_trunc('second', ts) BETWEEN TIMESTAMP '2024-01-28 00:00:00' AND TIMESTAMP '2024-01-30 06:00:00' THEN 'confirmed_48h' ELSE 'older' END AS date_status, CASE WHEN {any_sql('s', reports.URGENT)} THEN 'urgent' ELSE 'normal' END AS urgency, {any_sql('s', reports.SENIOR)} OR doc_id % 101 >= 70 AS senior_fit FROM body)"""
+_REPORT_SQL = f"""dated AS (SELECT doc_id, text, max(ts) AS ts FROM documents LEFT JOIN events ON user_id = doc_id GROUP BY 1, 2), body AS (SELECT *, lower(trim(regexp_replace({FIRST_LINE}, '\\s+', ' ', 'g')) || '  ' || trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS s FROM dated WHERE {any_sql('lower(text)', ('the', 'und'))}),
+ marked AS (SELECT CAST(doc_id AS VARCHAR) AS job_key, CASE WHEN ts IS NULL THEN 'date_unknown' WHEN date_trunc('second', ts) BETWEEN TIMESTAMP '2024-01-28 00:00:00' AND TIMESTAMP '2024-01-30 06:00:00' THEN 'confirmed_48h' ELSE 'older' END AS date_status, CASE WHEN {any_sql('s', reports.URGENT)} THEN 'urgent' ELSE 'normal' END AS urgency, {any_sql('s', reports.SENIOR)} OR doc_id % 101 >= 70 AS senior_fit FROM body)"""
 
 
 def report_rows(spark, d):
@@ -458,7 +471,7 @@ def report_48h(spark, d):
     return reports.report(report_rows(spark, d)).select("job_key", "date_status", "urgency", "senior_fit")
 
 
-@query(f"WITH {_REPORT_SQL} SELECT count(*) AS relevant, count(*) FILTER (WHERE date_status = 'confirmed_48h') AS confirmed, count(*) FILTER (WHERE date_status = 'confirmed_48h' AND urgency = 'urgent') AS confirmed_urgent, CAST(0 AS BIGINT) AS urgent_unknown FROM marked")
+@query(f"WITH {_REPORT_SQL} SELECT count(*) AS relevant, count(*) FILTER (WHERE date_status = 'confirmed_48h') AS confirmed, count(*) FILTER (WHERE date_status = 'confirmed_48h' AND urgency = 'urgent') AS confirmed_urgent, count(*) FILTER (WHERE date_status = 'date_unknown' AND urgency = 'urgent') AS urgent_unknown FROM marked")
 def report_48h_metrics(spark, d):
     return reports.report_metrics(reports.report(report_rows(spark, d))).drop("countries", "locations")
 
@@ -493,10 +506,9 @@ def union_replace_by_key(spark, d):
     return ledger.replace_by_key([o, o.where("k % 2 = 0").withColumn("price", F.col("price") + 1)], ["k"])
 
 
-@query("SELECT text_sha, min(doc_id) AS doc_id FROM (SELECT sha256(text) AS text_sha, doc_id FROM documents) GROUP BY 1")
+@query("SELECT sha256(text) AS text_sha, min(doc_id) AS doc_id FROM documents GROUP BY 1")
 def first_seen_distinct(spark, d):
-    df = table(spark, d, "documents").select(F.sha2("text", 256).alias("text_sha"), "doc_id")
-    return df.groupBy("text_sha").agg(F.min("doc_id").alias("doc_id"))
+    return dedup.first_seen(table(spark, d, "documents").select(F.sha2("text", 256).alias("text_sha"), "doc_id"), ["text_sha"], "doc_id")
 
 
 @query()
@@ -514,10 +526,10 @@ def page_text(spark, d):
     return html.body_text(table(spark, d, "pages"), "page_id", "html")
 
 
-@query("SELECT conv_id, turn, count(*) OVER w AS near, min(turn) OVER w AS first_turn FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)")
+@query("""WITH lines AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL), placed AS (SELECT doc_id, l, unnest(range(len(l))) AS line FROM lines)
+ SELECT doc_id, CAST(line AS INTEGER) AS line, array_to_string(list_slice(l, greatest(line - 3, 0) + 1, line + 4), chr(10)) AS near FROM placed WHERE regexp_matches(l[line + 1], '(license|License|reserved)')""")
 def line_window(spark, d):
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-3, 3)
-    return table(spark, d, "conversations").select("conv_id", "turn", F.count("*").over(w).alias("near"), F.min("turn").over(w).alias("first_turn"))
+    return mail.line_neighbourhoods(table(spark, d, "documents"), "doc_id", "text", "(license|License|reserved)")
 
 
 def halves(spark, d):
@@ -542,13 +554,13 @@ def identity_resolve(spark, d):
     return ledger.resolve(new, stored, ledger.aliases_of(stored))
 
 
-@query("SELECT doc_id, CASE WHEN substr(ltrim(s), 1, 1) IN ('=', '+', '-', '@') THEN '''' || s ELSE s END AS safe FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '=' || left(text, 20) ELSE left(text, 20) END AS s FROM documents)")
+@query("SELECT doc_id, CASE WHEN substr(ltrim(s), 1, 1) IN ('=', '+', '-', '@') THEN '''' || s ELSE s END AS safe FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '=' || text ELSE text END AS s FROM documents)")
 def formula_guard(spark, d):
     s = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("="), "text")).otherwise(F.col("text"))
     return table(spark, d, "documents").select("doc_id", text.formula_safe(s).alias("safe"))
 
 
-@query(r"SELECT doc_id, replace(trim(regexp_replace(left(text, 200), '\s+', ' ', 'g')), '|', '\|') AS cell FROM documents")
+@query(r"SELECT doc_id, replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '|', '\|') AS cell FROM documents")
 def markdown_escape(spark, d):
     return table(spark, d, "documents").select("doc_id", text.markdown_cell(F.col("text")).alias("cell"))
 

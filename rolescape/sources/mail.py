@@ -9,20 +9,62 @@ from collections.abc import Iterator
 from email.message import EmailMessage
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolescape.functions.text import contains_any, text
+from rolescape.functions.emails import public_contact
+from rolescape.functions.text import collapse, contains_any, text
 from rolescape.functions.urls import canonical, unwrapped
 from rolescape.operators.dedup import best_per
 from rolescape.sources.html import parse, to_text
 
-#: Parts of links that are no postings, and signs of one.
-NO_JOB = ("unsubscribe", "preferences", "privacy", "settings", "help", "account")
-JOB_SIGNS = ("job", "career", "vacanc", "position", "requisition")
+#: Parts of URLs that are no postings, parts of those that are, and words of a role.
+NO_JOB = ("unsubscribe", "preferences", "privacy", "terms", "settings", "help", "support", "login", "sign-in", "signin", "profile", "talent-community", "talentnetwork")
+JOB_URL = ("/job/", "/jobs/", "/careers/job/", "/viewjob", "/jobdetails", "/job-detail", "jobid=", "job_id=")
+ROLE = ("piping", "pipe layout", "plant layout", "e3d", "aveva", "pdms", "sp3d", "smartplant 3d", "smart 3d", "piping designer", "piping engineer", "model coordinator", "pipe support")
+#: The names of portals by the domains they send from.
+PORTALS = {"linkedin.com": "LinkedIn", "naukri.com": "Naukri", "indeed.com": "Indeed", "glassdoor.com": "Glassdoor", "foundit.in": "Foundit", "monster.com": "Monster", "gulftalent.com": "GulfTalent", "bayt.com": "Bayt", "naukrigulf.com": "Naukrigulf", "rigzone.com": "Rigzone", "energyjobline.com": "Energy Jobline", "oilandgasjobsearch.com": "Oil and Gas Job Search", "epcengineer.com": "EPC Engineer"}
 TEXT_ENDINGS = (".txt", ".md", ".csv")
 
 
+def is_job_link(url: Column, around: Column) -> Column:
+    """A web link without an excluded part whose URL looks like a posting, or with a role's words around it."""
+    u = F.lower(text(url))
+    return u.rlike("^https?://") & ~contains_any(u, NO_JOB) & (contains_any(u, JOB_URL) | contains_any(F.lower(text(around)), ROLE))
+
+
+def inferred_title(c: Column, fallback: Column, words: tuple[str, ...] = ROLE, most: int = 160) -> Column:
+    """The labelled title, else the first line of 4 to `most` characters with one of the words, else the fallback."""
+    lines = F.transform(F.split(text(c), r"\r?\n"), lambda x: F.trim(collapse(x), F.lit(" -:|")))
+    labelled = F.left(collapse(F.regexp_extract(text(c), r"(?i)(?:^|\n)\s*(?:job title|position|role)\s*:\s*([^\n|;]{2,180})", 1)), F.lit(180))
+    fits = F.filter(lines, lambda x: F.length(x).between(4, most) & contains_any(F.lower(x), words))
+    return F.coalesce(F.nullif(labelled, F.lit("")), F.get(fits, F.lit(0)), F.left(collapse(fallback), F.lit(160)))
+
+
+def line_neighbourhoods(docs: DataFrame, key: str, body: str, pattern: str, reach: int = 3) -> DataFrame:
+    """key, line (from 0), near: every line that a pattern matches, with the lines up to `reach` before and after it."""
+    lines = F.split(text(F.col(body)), "\n")
+    at = docs.select(key, lines.alias("l")).select(key, "l", F.posexplode("l").alias("line", "x")).where(F.col("x").rlike(pattern))
+    first = F.greatest(F.lit(0), F.col("line") - reach)
+    return at.select(key, "line", F.array_join(F.slice("l", first + 1, F.col("line") - first + reach + 1), "\n").alias("near"))
+
+
+def alert_jobs(alerts: DataFrame) -> DataFrame:
+    """Postings from alert candidates (title, company, location, url, context, sender, subject, portal, body).
+
+    A contact found in the alert makes its confidence ALERT_SUPPLIED; without an employer the posting is for review.
+    """
+    c = lambda n: text(F.col(n))
+    evidence = F.concat(F.lit("Subject: "), c("subject"), F.lit("\nFrom: "), c("sender"), F.lit("\n"), c("context"), F.lit("\n"), F.left(c("body"), F.lit(12000)))
+    out = alerts.withColumn("description", evidence).withColumn("recruiter_email", public_contact(F.col("description"), F.col("sender")))
+    there = F.col("recruiter_email") != ""
+    return out.withColumns({
+        "company": F.when(c("company") == "", "Unknown employer").otherwise(c("company")), "apply_url": c("url"), "source_url": c("url"), "source_name": F.concat(F.lit("gmail:"), c("portal")), "agency_name": c("portal"),
+        "contact_confidence": F.when(there, "ALERT_SUPPLIED").otherwise(""), "contact_source_url": F.when(there, c("url")).otherwise(""), "duplicate_status": F.lit("cross_source_candidate"),
+        "application_status": F.when(c("company") == "", "review_required").otherwise("new"),
+    })
+
+
 def body(message: EmailMessage, kind: str) -> str:
     part = message.get_body((kind,))
     try:
@@ -76,8 +118,7 @@ def candidates(messages: DataFrame) -> DataFrame:
 
     found = messages.select("message_id", "raw").mapInArrow(run, ", ".join(f"{n} {'int' if n == 'candidate_index' else 'string'}" for n in names))
     url = unwrapped(F.col("href"))
-    link, seen = F.lower(F.concat_ws(" ", url, "anchor")), F.lower(F.concat_ws(" ", url, "anchor", "near"))
-    ok = found.withColumn("url", canonical(url)).where((F.col("error") != "") | (F.col("href").rlike("(?i)^https?://") & ~contains_any(link, NO_JOB) & contains_any(seen, JOB_SIGNS)))
+    ok = found.withColumn("url", canonical(url)).where((F.col("error") != "") | is_job_link(url, F.concat_ws("\n", "anchor", "near")))
     return best_per(ok.withColumn("_k", F.concat_ws(" ", "message_id", F.when(F.col("error") == "", F.col("url")))), "_k", F.asc("candidate_index")).drop("_k")
 
 
@@ -116,7 +157,7 @@ def new_only(incoming: DataFrame, known: DataFrame, key: str) -> DataFrame:
     return incoming.dropDuplicates([key]).join(known.select(key).distinct(), key, "left_anti")
 
 
-def portal(sender: DataFrame, column: str, portals: dict[str, str]) -> DataFrame:
+def portal(sender: DataFrame, column: str, portals: dict[str, str] = PORTALS) -> DataFrame:
     """sender with portal: the name of the portal whose domain sent it, else the display name, else the domain."""
     domain = F.lower(F.regexp_extract(text(F.col(column)), r"@([A-Za-z0-9.\-]+)", 1))
     named = None

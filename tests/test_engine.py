@@ -12,6 +12,18 @@ from rolescape.operators import contacts, coverage, dedup, ledger, matching, rep
 from rolescape.sources import html, mail, payloads, registry
 from rolescape.streaming import ingest
 
+#: A dictionary of the tests' own.
+TAXONOMY = config.Taxonomy(
+    roles=(("Lead Piping Engineer", ("lead piping engineer", "piping lead engineer")), ("Piping Design Engineer", ("piping design engineer",)), ("Lead Piping Design Engineer", ("lead piping design engineer", "piping design lead")), ("Senior Piping Layout Engineer", ("senior piping layout engineer",)), ("SP3D Piping Designer", ("sp3d piping designer",))),
+    software=(("AVEVA E3D", ("aveva e3d", "e3d")), ("PDMS", ("pdms", "aveva pdms")), ("SP3D", ("sp3d", "smartplant 3d", "smart plant 3d")), ("Navisworks", ("navisworks",)), ("AutoCAD", ("autocad", "auto cad"))),
+    sectors=(("Oil and Gas", ("oil and gas", "oil & gas", "upstream", "downstream")), ("Refinery", ("refinery", "refining")), ("Offshore", ("offshore", "topsides", "platform")), ("LNG", ("lng", "liquefied natural gas"))),
+    employment=(("Permanent", ("permanent", "full time", "full-time")), ("Contract", ("contract", "contractual", "fixed term", "fixed-term")), ("Remote", ("remote", "work from home"))),
+    cities=(("Mumbai", "India", ("mumbai", "bombay")), ("Navi Mumbai", "India", ("navi mumbai", "new mumbai")), ("Bengaluru", "India", ("bengaluru", "bangalore")), ("Abu Dhabi", "United Arab Emirates", ("abu dhabi",)), ("Doha", "Qatar", ("doha",)), ("London", "United Kingdom", ("london",))),
+    countries=(("India", ("india",)), ("United Arab Emirates", ("united arab emirates", "uae", "emirates")), ("Saudi Arabia", ("saudi arabia", "ksa")), ("Qatar", ("qatar",)), ("United Kingdom", ("united kingdom", "uk", "great britain", "england", "scotland", "wales")), ("United States", ("united states", "usa", "u.s.a.")), ("Germany", ("germany",)), ("France", ("france",))),
+    regions=(("Europe", ("europe", "european union")), ("Africa", ("africa",)), ("Middle East", ("middle east", "gulf", "gcc")), ("Worldwide", ("worldwide", "global", "international"))),
+    negative_roles=("software developer", "accountant", "civil engineer", "electrical engineer"),
+)
+
 
 def one(spark, column):
     return spark.range(1).select(column.alias("x")).first()["x"]
@@ -64,11 +76,11 @@ def test_dates(spark):
 
 def test_enrichment_and_score(spark):
     df = jobs(spark, {"title": "Lead Piping Design Engineer", "location": "Abu Dhabi, UAE", "description": "AVEVA E3D and PDMS, contract, LNG plant. Closing date: 31 August 2026"}, {"title": "Accountant", "location": "Remote in Europe"})
-    found = {r["title"]: r for r in matching.enrich(df, config.DEFAULT).collect()}
+    found = {r["title"]: r for r in matching.enrich(df, TAXONOMY).collect()}
     lead, other = found["Lead Piping Design Engineer"], found["Accountant"]
     assert (lead["normalized_role"], lead["city"], lead["country"], lead["software_text"], lead["employment_type"], lead["sector"], lead["closing_at"]) == ("Lead Piping Design Engineer", "Abu Dhabi", "United Arab Emirates", "AVEVA E3D; PDMS", "Contract", "LNG", "31 August 2026")
     assert other["normalized_role"] == "" and other["country"] == "Europe"
-    scored = {r["title"]: r for r in scoring.score(df, config.Profile(), F.lit("2026-08-01").cast("timestamp"), config.DEFAULT).collect()}
+    scored = {r["title"]: r for r in scoring.score(df, config.Profile(), F.lit("2026-08-01").cast("timestamp"), TAXONOMY).collect()}
     assert scored["Lead Piping Design Engineer"]["match_score"] >= 50 and scored["Accountant"]["priority"] == "low" and "Target role wording not detected" in scored["Accountant"]["gaps"]
     kept = scoring.profile_filter(jobs(spark, {"normalized_role": "r", "match_score": 0}, {"match_score": 20}, {"match_score": 0}))
     assert kept.count() == 2
@@ -231,5 +243,5 @@ def test_health_keeps_the_last_success(spark):
 def test_shortlist_dates(spark):
     base = {"title": "Piping Engineer", "location": "Mumbai"}
     rows = [base | {"job_key": str(i), "apply_url": f"https://x/{u}", "published_at": p} for i, (u, p) in enumerate((("1", "2026-09-20"), ("2", "soon"), ("3", "2026-12-01"), ("1#a", "2026-09-20")))]
-    out = reports.shortlist(jobs(spark, *rows), config.DEFAULT, ("Mumbai",), F.lit("2026-09-23").cast("timestamp")).collect()
+    out = reports.shortlist(jobs(spark, *rows), TAXONOMY, ("Mumbai",), F.lit("2026-09-23").cast("timestamp")).collect()
     assert Counter(r["publication_status"] for r in out) == Counter(["last_30_days", "unknown", "future_date_review"])
