@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from rolescape.functions.text import text
+from rolescape.functions.text import let, text
 
 #: The shapes of an address, plain and with its signs spelt out.
 EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9.!#$%&'*+/=?^_`{|}~\-]+@[A-Za-z0-9](?:[A-Za-z0-9\-]{0,61}[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9\-]{0,61}[A-Za-z0-9])?)+"
@@ -45,7 +45,10 @@ def all_emails(c: Column) -> Column:
 def normalized(c: Column) -> Column:
     """A cleaned address, or empty for what can't be one. ASCII domains; others need their IDNA form."""
     t = F.regexp_replace(F.trim(F.coalesce(F.try_url_decode(F.replace(text(c), F.lit("+"), F.lit("%2B"))), text(c))), "(?i)^mailto:", "")
-    t = F.lower(F.btrim(F.substring_index(t, "?", 1), F.lit(" <>\"'()[]{}.,;:")))
+    return let(F.lower(F.btrim(F.substring_index(t, "?", 1), F.lit(" <>\"'()[]{}.,;:"))), _checked)
+
+
+def _checked(t: Column) -> Column:
     local, domain = F.substring_index(t, "@", 1), F.rtrim(F.substring_index(t, "@", -1), F.lit("."))
     labels = F.split(domain, r"\.")
     good = (

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACE = r"(?U)\s+"
@@ -16,6 +16,16 @@ def text(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
+def let(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """fn of a value that is computed once, however often fn uses it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that the optimizer won't put in place of every use of theirs."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def first_filled(*columns: Column) -> Column:
     """The first column that isn't empty, else empty."""
     return F.coalesce(*[F.nullif(text(c), F.lit("")) for c in columns], F.lit(""))

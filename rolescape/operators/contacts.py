@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolescape.functions.emails import all_emails, base_domain, mailbox_type, normalized, quality_reason, quality_type, verification
-from rolescape.functions.text import context, first_filled, text
+from rolescape.functions.text import context, first_filled, once, text
 
 
 def from_text(df: DataFrame, body: str, organization: str) -> DataFrame:
@@ -34,11 +34,11 @@ def decide(contacts: DataFrame, routes: DataFrame | None = None) -> DataFrame:
 
 def gate(contacts: DataFrame) -> DataFrame:
     """contacts judged anew by the final rules: mailbox_type, status, score, reason, excluded."""
-    email = normalized(F.col("email"))
-    kind = quality_type(email)
+    df = once(once(contacts, _email=normalized(F.col("email"))), _kind=quality_type(F.col("_email")))
+    email, kind = F.col("_email"), F.col("_kind")
     v = verification(kind, text(F.col("mail_route_status")))
     bad = (email == "") | (kind == "excluded")
-    return contacts.withColumns({"mailbox_type": F.when(email == "", "excluded").otherwise(kind), "verification_status": F.when(bad, "excluded").otherwise(v["status"]), "priority_score": F.when(bad, 0).otherwise(v["score"]), "review_reason": F.when(email == "", "invalid e-mail").when(bad, quality_reason(email)).otherwise(v["reason"]), "excluded": bad, "email": F.when(email == "", text(F.col("email"))).otherwise(email)})
+    return df.withColumns({"mailbox_type": F.when(email == "", "excluded").otherwise(kind), "verification_status": F.when(bad, "excluded").otherwise(v["status"]), "priority_score": F.when(bad, 0).otherwise(v["score"]), "review_reason": F.when(email == "", "invalid e-mail").when(bad, quality_reason(email)).otherwise(v["reason"]), "excluded": bad, "email": F.when(email == "", text(F.col("email"))).otherwise(email)}).drop("_email", "_kind")
 
 
 def unique_text(value: Column, order: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolescape.config import Groups, Taxonomy
-from rolescape.functions.text import closing_date_text, collapse, contains_phrase, first_filled, join_filled, text
+from rolescape.functions.text import closing_date_text, collapse, contains_phrase, first_filled, join_filled, once, text
 
 #: The fields that are searched, in order.
 SEARCHED = ("title", "normalized_role", "company", "location", "city", "country", "description", "experience_text", "skills_text", "software_text", "sector", "employment_type")
@@ -62,14 +62,16 @@ def place(location: Column, taxonomy: Taxonomy) -> Column:
 
 def enrich(jobs: DataFrame, taxonomy: Taxonomy) -> DataFrame:
     """Fill role, city, country, software, sector, employment type and closing date where they are empty."""
-    found, where = searchable(jobs), place(jobs["location"], taxonomy)
+    # the searched text and the place are each used by several columns
+    df = once(once(jobs, _found=searchable(jobs)), _where=place(jobs["location"], taxonomy))
+    found, where = F.col("_found"), F.col("_where")
     computed = {
-        "normalized_role": role(jobs["title"], jobs["description"], taxonomy),
+        "normalized_role": role(F.col("title"), F.col("description"), taxonomy),
         "city": where["city"],
         "country": where["country"],
         "software_text": all_matches(found, taxonomy.software),
         "sector": first_match(found, taxonomy.sectors),
         "employment_type": first_match(found, taxonomy.employment),
-        "closing_at": closing_date_text(jobs["description"]),
+        "closing_at": closing_date_text(F.col("description")),
     }
-    return jobs.withColumns({c: first_filled(jobs[c], x) for c, x in computed.items()} | {"duplicate_status": first_filled(jobs["duplicate_status"], F.lit("unique"))})
+    return df.withColumns({c: first_filled(F.col(c), x) for c, x in computed.items()} | {"duplicate_status": first_filled(F.col("duplicate_status"), F.lit("unique"))}).drop("_found", "_where")

