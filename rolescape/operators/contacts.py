@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolescape.functions.emails import all_emails, base_domain, mailbox_type, normalized, quality_reason, quality_type, verification
@@ -67,3 +67,9 @@ def views(cleaned: DataFrame) -> dict[str, DataFrame]:
 def summary(cleaned: DataFrame) -> DataFrame:
     status = F.col("verification_status")
     return cleaned.agg(F.count("*").alias("contacts"), F.count_if(status == "verified_official_job_mailbox").alias("job"), F.count_if(status == "verified_official_general_mailbox").alias("general"), F.count_if(status == "manual_review_dns").alias("review"), F.count_distinct("email").alias("emails"), F.count_distinct("organization").alias("organizations"))
+
+
+def read_outputs(spark: SparkSession, folder: str, name: str = "All_Official_Contacts.csv") -> DataFrame:
+    """The contact files of that name in all folders below one, nulls as empty; columns that some lack are empty there."""
+    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", name).option("header", "true").option("multiLine", "true").option("escape", '"').csv(folder)
+    return rows.na.fill("")

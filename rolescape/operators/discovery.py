@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolescape.functions.text import contains_any, folded, text
-from rolescape.functions.urls import host, is_web, path
+from rolescape.functions.urls import host, is_web, path, path_parts
 from rolescape.operators.dedup import first_seen
 
 #: Hosts of recruiting systems, hints of posting URLs, and hints of pages that hold contacts.
@@ -59,3 +59,39 @@ def new_sources(found: DataFrame, known: DataFrame, covered: DataFrame, order: s
 def totals(records: DataFrame) -> DataFrame:
     """Detected and verified sources, and the postings that probes saw."""
     return records.agg(F.count("*").alias("detected"), F.count_if(F.col("probe_status") == "verified").alias("verified"), F.coalesce(F.sum("probe_jobs"), F.lit(0)).cast("long").alias("probe_jobs"))
+
+
+def detected(url: Column) -> Column:
+    """struct(type, board_token, region, site, company_identifier, base_url, tenant, site_number) of the recruiting system
+    that a URL belongs to; an empty type for other URLs."""
+    h, parts = host(url), path_parts(url)
+    at = lambda i: F.coalesce(F.get(parts, F.lit(i)), F.lit(""))
+    localized = at(0).rlike("^[a-z]{2}(-[A-Z]{2})?$")
+    board = F.when(localized, at(1)).otherwise(at(0))
+    company = F.when(h == "api.smartrecruiters.com", F.regexp_extract(path(url), "/v1/companies/([^/]+)/postings", 1)).otherwise(at(0))
+    oracle = F.regexp_extract(path(url), "/sites/([^/?#]+)", 1)
+    kind = (
+        F.when(h.isin("boards.greenhouse.io", "job-boards.greenhouse.io") & (at(0) != ""), "greenhouse")
+        .when(h.isin("jobs.lever.co", "jobs.eu.lever.co") & (at(0) != ""), "lever")
+        .when(h.isin("jobs.smartrecruiters.com", "api.smartrecruiters.com") & (company != ""), "smartrecruiters")
+        .when(h.endswith(".myworkdayjobs.com") & (board != ""), "workday")
+        .when(h.endswith(".oraclecloud.com") & (oracle != ""), "oracle_hcm")
+        .otherwise("")
+    )
+    only = lambda name, c: F.when(kind == name, c).otherwise("")
+    return F.struct(
+        kind.alias("type"), only("greenhouse", at(0)).alias("board_token"), only("lever", F.when(h.startswith("jobs.eu."), "eu").otherwise("global")).alias("region"),
+        F.when(kind == "lever", at(0)).when(kind == "workday", board).otherwise("").alias("site"), only("smartrecruiters", company).alias("company_identifier"),
+        F.when(kind.isin("workday", "oracle_hcm"), F.concat(F.lit("https://"), h)).otherwise("").alias("base_url"), only("workday", F.substring_index(h, ".", 1)).alias("tenant"), only("oracle_hcm", oracle).alias("site_number"),
+    )
+
+
+def reports(spark: SparkSession, folder: str) -> DataFrame:
+    """The records of all discovery reports below a folder (JSON objects with a list "records"), with their defaults;
+    files that are no such JSON give none."""
+    v = F.try_parse_json("value")
+    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").option("wholetext", "true").text(folder)
+    rows = rows.select(F.explode(F.try_variant_get(v, "$.records", "array<variant>")).alias("r")).where(F.schema_of_variant("r").startswith("OBJECT"))
+    one = lambda name, default="": F.coalesce(F.try_variant_get("r", f"$.{name}", "string"), F.lit(default)).alias(name)
+    source = F.coalesce(F.to_json(F.try_variant_get("r", "$.source", "variant")), F.lit("{}")).alias("source")
+    return rows.select(one("company"), one("platform"), one("evidence_url"), source, one("confidence", "candidate"), one("probe_status", "not_probed"), F.coalesce(F.try_variant_get("r", "$.probe_jobs", "int"), F.lit(0)).alias("probe_jobs"), one("error"))

@@ -252,3 +252,16 @@ def notice_links(spark, d):
 def notice_jobs(spark, d):
     found = scans.links(table(spark, d, "pages"), "page_id", "url", "html", include=("th", "ein"), exclude=("the",), max_items=None)
     return scans.jobs(found, found.limit(0).select("target", F.col("context").alias("body")), "Notices", "Acme").select("apply_url", "title", "description")
+
+
+BOARDS = ("https://boards.greenhouse.io/acme/jobs/", "https://jobs.eu.lever.co/site/", "https://jobs.lever.co/", "https://jobs.smartrecruiters.com/Id/", "https://api.smartrecruiters.com/v1/companies/Other/postings/", "https://t1.wd3.myworkdayjobs.com/en-US/Board/", "https://t2.myworkdayjobs.com/Board2/x", "https://h.fa.oraclecloud.com/hcmUI/sites/CX_1/job/", "https://example.com/jobs/")
+_KIND_SQL = "CASE WHEN host = 'boards.greenhouse.io' AND p1 <> '' THEN 'greenhouse' WHEN host IN ('jobs.lever.co', 'jobs.eu.lever.co') AND p1 <> '' THEN 'lever' WHEN host IN ('jobs.smartrecruiters.com', 'api.smartrecruiters.com') THEN 'smartrecruiters' WHEN host LIKE '%.myworkdayjobs.com' THEN 'workday' WHEN host LIKE '%.oraclecloud.com' THEN 'oracle_hcm' ELSE '' END"
+
+
+@query(f"""WITH links AS (SELECT p_partkey AS id, {pick_sql(BOARDS, 'p_partkey')} || p_partkey AS url FROM part), split AS (SELECT id, url, regexp_extract(url, '^https://([^/]+)', 1) AS host, string_split(regexp_extract(url, '^https://[^/]+/(.*)$', 1), '/') AS p FROM links),
+ named AS (SELECT *, p[1] AS p1, {_KIND_SQL.replace('p1', 'p[1]')} AS type FROM split)
+ SELECT id, type, CASE type WHEN 'greenhouse' THEN p1 ELSE '' END AS board_token, CASE WHEN type <> 'lever' THEN '' WHEN host LIKE 'jobs.eu.%' THEN 'eu' ELSE 'global' END AS region, CASE WHEN type = 'lever' THEN p1 WHEN type <> 'workday' THEN '' WHEN regexp_matches(p1, '^[a-z]{{2}}(-[A-Z]{{2}})?$') THEN p[2] ELSE p1 END AS site,
+ CASE WHEN type <> 'smartrecruiters' THEN '' WHEN host = 'api.smartrecruiters.com' THEN p[3] ELSE p1 END AS company_identifier, CASE WHEN type IN ('workday', 'oracle_hcm') THEN 'https://' || host ELSE '' END AS base_url, CASE type WHEN 'workday' THEN split_part(host, '.', 1) ELSE '' END AS tenant, CASE type WHEN 'oracle_hcm' THEN p[list_position(p, 'sites') + 1] ELSE '' END AS site_number FROM named""")
+def detected_sources(spark, d):
+    k = F.col("p_partkey")
+    return table(spark, d, "part").select(k.alias("id"), discovery.detected(F.concat(pick(BOARDS, k), k.cast("string"))).alias("s")).select("id", "s.*")

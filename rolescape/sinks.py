@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -66,3 +67,24 @@ def swap_snapshot(df: DataFrame, root: str, table: str, version: int) -> str:
     path = f"{root}/{table}/v={version:08d}"
     df.write.mode("errorifexists").parquet(path)
     return path
+
+
+def bundle(files: list[str | Path], target: str | Path) -> str:
+    """A zip of files (and of all files below folders), written whole before it replaces an older one."""
+    target = Path(target)
+    part = target.with_suffix(".zip.part")
+    with zipfile.ZipFile(part, "w", zipfile.ZIP_DEFLATED) as z:
+        for file in map(Path, files):
+            for f in sorted(x for x in file.rglob("*") if x.is_file()) if file.is_dir() else [file]:
+                z.write(f, f.relative_to(file.parent))
+    part.replace(target)
+    return str(target)
+
+
+def write_json(value: object, path: str | Path) -> str:
+    """A status or plan as JSON with sorted keys, written whole; the hash of its bytes."""
+    raw = json.dumps(value, indent=2, sort_keys=True, ensure_ascii=False, default=str).encode()
+    part = Path(path).with_suffix(".json.part")
+    part.write_bytes(raw)
+    part.replace(path)
+    return hashlib.sha256(raw).hexdigest()

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import email
 import email.policy
+import io
 import re
+import zipfile
 from collections.abc import Iterator
 from email.message import EmailMessage
+from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -83,6 +86,27 @@ def decoded(raw: bytes) -> str:
     return raw.decode("latin-1")
 
 
+WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+#: The unpacked size up to which a document is read.
+DOCUMENT_BYTES = 50_000_000
+
+
+def document_text(raw: bytes) -> str:
+    """The paragraphs of a DOCX file outside tables, then its table rows with cells joined by " | ", a line each."""
+    with zipfile.ZipFile(io.BytesIO(raw)) as z:
+        if z.getinfo("word/document.xml").file_size > DOCUMENT_BYTES:
+            raise ValueError("document too large")
+        xml = z.read("word/document.xml")
+    if b"<!DOCTYPE" in xml or b"<!ENTITY" in xml:
+        raise ValueError("document with entities")
+    body = ElementTree.fromstring(xml).find(f"{WORD}body")
+    said = lambda node: "".join(x.text or "" if x.tag == f"{WORD}t" else "\t" if x.tag == f"{WORD}tab" else "\n" for x in node.iter() if x.tag in (f"{WORD}t", f"{WORD}tab", f"{WORD}br")).strip()
+    lines = [said(p) for p in body.findall(f"{WORD}p")]
+    for row in (r for t in body.findall(f"{WORD}tbl") for r in t.findall(f"{WORD}tr")):
+        lines.append(" | ".join("\n".join(said(p) for p in cell.findall(f"{WORD}p")).strip() for cell in row.findall(f"{WORD}tc")))
+    return "\n".join(x for x in lines if x)
+
+
 def message_rows(raw: bytes) -> Iterator[tuple[str, str, str, str, str, int, str, str, str]]:
     m = email.message_from_bytes(raw, policy=email.policy.default)
     head = [str(m.get(h, "") or "") for h in ("Subject", "From", "Date")]
@@ -125,7 +149,7 @@ def candidates(messages: DataFrame) -> DataFrame:
 def files(spark: SparkSession, folder: str, most_bytes: int = 25_000_000) -> DataFrame:
     """Text of private files below a folder: path, size_bytes, sha256, body, method, review_required, error.
 
-    Text files are decoded, messages read as headers and body; endings without a reader here (PDF, DOCX, images) give
+    Text files are decoded, messages read as headers and body; endings without a reader here (PDF, images) give
     an empty body for review. Larger files are left out with an error.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
@@ -144,12 +168,17 @@ def files(spark: SparkSession, folder: str, most_bytes: int = 25_000_000) -> Dat
                     m = email.message_from_bytes(content, policy=email.policy.default)
                     head = "\n".join(f"{h}: {m[h]}" for h in ("Subject", "From", "To", "Date") if m[h])
                     bodies.append(f"{head}\n\n{body(m, 'plain') or to_text(body(m, 'html'))}"), methods.append("eml")
+                elif name.endswith(".docx"):
+                    try:
+                        bodies.append(document_text(content)), methods.append("docx")
+                    except (KeyError, ValueError, AttributeError, zipfile.BadZipFile, ElementTree.ParseError):
+                        bodies.append(""), methods.append("unreadable")
                 else:
                     bodies.append(""), methods.append("unsupported")
             yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("size_bytes"), batch.column("content"), pa.array(bodies), pa.array(methods)], ["path", "size_bytes", "content", "body", "method"])
 
     read = raw.mapInArrow(run, "path string, size_bytes long, content binary, body string, method string")
-    return read.select("path", "size_bytes", F.sha2("content", 256).alias("sha256"), "body", "method", (F.length(F.trim("body")) < 80).alias("review_required"), F.when(F.col("method").isin("too_large", "unsupported"), F.col("method")).otherwise("").alias("error"))
+    return read.select("path", "size_bytes", F.sha2("content", 256).alias("sha256"), "body", "method", (F.length(F.trim("body")) < 80).alias("review_required"), F.when(F.col("method").isin("too_large", "unsupported", "unreadable"), F.col("method")).otherwise("").alias("error"))
 
 
 def new_only(incoming: DataFrame, known: DataFrame, key: str) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from pathlib import Path
 from typing import Any
+from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,3 +70,80 @@ def selected(sources: DataFrame, only: list[str] | None = None) -> DataFrame:
     if missing := sorted(set(only) - found):
         raise ValueError(f"unknown or disabled sources: {', '.join(missing)}")
     return live.where(F.col("id").isin(only))
+
+
+GROUP_DDL = "id string, name string, enabled boolean, max_messages int, query string"
+
+
+def query_groups(spark: SparkSession, file: str | Path) -> DataFrame:
+    """The alert queries of a YAML file, checked: id, name and query filled, ids unique, enabled a boolean, 1 to 1000 messages.
+    Enabled ones come first, then by id."""
+    raw = read_yaml(Path(file)).get("query_groups", [])
+    if not isinstance(raw, list) or not all(isinstance(r, dict) for r in raw):
+        raise ValueError(f"{file}: query_groups must be a list of mappings")
+    out: dict[str, tuple] = {}
+    for r in raw:
+        who, name, query = (" ".join(str(r.get(k, "")).split()) for k in ("id", "name", "query"))
+        if not (who and name and query):
+            raise ValueError(f"{file}: a query group needs id, name and query")
+        if who in out:
+            raise ValueError(f"{file}: duplicate query group {who!r}")
+        if not isinstance(r.get("enabled"), bool):
+            raise ValueError(f"{file}: {who}: enabled must be true or false")
+        most = int(r.get("max_messages", 200))
+        if not 1 <= most <= 1000:
+            raise ValueError(f"{file}: {who}: max_messages must be 1 to 1000")
+        out[who] = (who, name, r["enabled"], most, query)
+    return spark.createDataFrame(list(out.values()), GROUP_DDL).orderBy(F.desc("enabled"), "id")
+
+
+def chosen_groups(groups: DataFrame, only: list[str] | None = None) -> DataFrame:
+    """The enabled groups, of all or of those asked for; an unknown id, or none left, is an error."""
+    known = {r["id"]: r["enabled"] for r in groups.select("id", "enabled").collect()}
+    if unknown := sorted(set(only or ()) - set(known)):
+        raise ValueError(f"unknown query groups: {', '.join(unknown)}")
+    wanted = [k for k, on in known.items() if on and (not only or k in only)]
+    if not wanted:
+        raise ValueError("no enabled query group is left")
+    return groups.where(F.col("id").isin(wanted))
+
+
+#: The fields that name an organization, and those that hold its pages.
+NAMES = ("canonical_company_name", "name", "company", "organization")
+PAGES = ("careers_url", "career_url", "careers_page", "contact_url", "direct_ats_endpoint", "official_careers_url", "official_jobs_url", "official_domain", "official_url", "public_job_url", "source_url", "url", "website")
+
+
+def named(value: Any) -> Iterator[tuple[str, dict[str, Any]]]:
+    """(name, mapping) of every mapping with a name, at any depth, outer ones first."""
+    todo = [value]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, dict):
+            if name := next((s for f in NAMES if (s := str(x.get(f) or "").strip())), ""):
+                yield name, x
+            todo += reversed(list(x.values()))
+        elif isinstance(x, list):
+            todo += reversed(x)
+
+
+def web_page(value: Any) -> str:
+    """A field as web URL; a bare domain gets https; else empty."""
+    said = str(value or "").strip()
+    if said and "://" not in said and "." in said and " " not in said:
+        said = f"https://{said}"
+    parts = urlsplit(said)
+    return said if parts.scheme in ("http", "https") and parts.hostname else ""
+
+
+def targets(spark: SparkSession, files: list[str | Path], shard: int = 0, shards: int = 1) -> DataFrame:
+    """organization, record_type, country, urls of the organizations with a page in YAML files, each once; of several shards one."""
+    if not 0 <= shard < shards:
+        raise ValueError("shard must be below shards")
+    out: dict[tuple, tuple] = {}
+    for file in files:
+        for name, row in named(read_yaml(Path(file))):
+            urls = list(dict.fromkeys(u for f in PAGES if (u := web_page(row.get(f)))))
+            if urls:
+                kind = str(row.get("record_type") or ("recruiter" if "recruiter" in Path(file).name.lower() else "employer")).strip().lower()
+                out.setdefault((name.casefold(), tuple(sorted(urls))), (name, kind, str(row.get("country") or "").strip(), urls))
+    return spark.createDataFrame(list(out.values())[shard::shards], "organization string, record_type string, country string, urls array<string>")

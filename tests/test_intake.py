@@ -57,3 +57,71 @@ def test_places_in_an_order(spark):
     df = spark.range(1000).select(((F.col("id") * 37) % 1000).alias("k")).repartition(7)
     assert all(r["position"] == r["k"] for r in dedup.numbered(df, ["k"]).collect())
     assert dedup.numbered(df.limit(0), ["k"]).count() == 0
+
+
+def test_query_groups_are_checked_and_chosen(spark, tmp_path):
+    import pytest
+
+    from rolescape.sources import registry
+
+    file = tmp_path / "groups.yaml"
+    file.write_text("query_groups:\n- {id: b, name: B, enabled: true, query: 'a   b'}\n- {id: a, name: A, enabled: false, query: q, max_messages: 5}\n- {id: c, name: C, enabled: true, query: q}\n")
+    groups = registry.query_groups(spark, file)
+    assert [tuple(r) for r in groups.collect()] == [("b", "B", True, 200, "a b"), ("c", "C", True, 200, "q"), ("a", "A", False, 5, "q")]
+    assert [r["id"] for r in registry.chosen_groups(groups, ["c", "a"]).collect()] == ["c"] and registry.chosen_groups(groups).count() == 2
+    for only in (["x"], ["a"]):
+        with pytest.raises(ValueError):
+            registry.chosen_groups(groups, only)
+    for bad in ("- {id: b, name: B, enabled: 1, query: q}", "- {id: b, name: B, enabled: true, query: q, max_messages: 0}", "- {id: b, name: '', enabled: true, query: q}", "- 1", "- {id: b, name: B, enabled: true, query: q}\n- {id: b, name: B, enabled: true, query: q}"):
+        file.write_text(f"query_groups:\n{bad}\n")
+        with pytest.raises(ValueError):
+            registry.query_groups(spark, file)
+
+
+def test_targets_at_any_depth_and_in_shards(spark, tmp_path):
+    from rolescape.sources import registry
+
+    file = tmp_path / "recruiters.yaml"
+    file.write_text("groups:\n- company: One\n  website: one.example\n  units:\n  - {name: Two, url: 'https://two.example/a', country: India, record_type: Employer}\n- {name: ONE, official_url: one.example}\n- {name: None there}\n")
+    out = [tuple(r) for r in registry.targets(spark, [file]).collect()]
+    assert out == [("One", "recruiter", "", ["https://one.example"]), ("Two", "employer", "India", ["https://two.example/a"])]
+    assert [r["organization"] for r in registry.targets(spark, [file], 1, 2).collect()] == ["Two"]
+
+
+def test_discovery_reports_skip_what_is_no_report(spark, tmp_path):
+    from rolescape.operators import discovery
+
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "r.json").write_text('{"records": [{"company": "Acme", "source": {"type": "lever", "site": "x"}, "probe_jobs": 3}, 5]}')
+    (tmp_path / "bad.json").write_text("{no json")
+    (tmp_path / "list.json").write_text("[1]")
+    out = discovery.reports(spark, str(tmp_path)).collect()
+    assert len(out) == 1 and tuple(out[0])[:3] == ("Acme", "", "") and out[0]["confidence"] == "candidate" and out[0]["probe_jobs"] == 3 and '"lever"' in out[0]["source"]
+
+
+def test_documents_contact_files_and_bundles(spark, tmp_path):
+    import json
+    import zipfile
+
+    from rolescape import sinks
+    from rolescape.operators import contacts
+
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    xml = f"<w:document {w}><w:body><w:p><w:r><w:t>Piping </w:t><w:t>engineer</w:t></w:r></w:p><w:p/><w:tbl><w:tr><w:tc><w:p><w:r><w:t>Place</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>Pune</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:body></w:document>"
+    folder = tmp_path / "private"
+    folder.mkdir()
+    with zipfile.ZipFile(folder / "a.docx", "w") as z:
+        z.writestr("word/document.xml", xml)
+    (folder / "b.docx").write_bytes(b"no zip")
+    out = {r["path"].rsplit("/", 1)[1]: r for r in mail.files(spark, str(folder)).collect()}
+    assert out["a.docx"]["body"] == "Piping engineer\nPlace | Pune" and out["a.docx"]["error"] == "" and out["b.docx"]["error"] == "unreadable"
+    for shard, body in (("s1", "email,organization\na@x.example,A\n"), ("s2", "email,organization\nb@x.example,\n")):
+        (tmp_path / "out" / shard).mkdir(parents=True)
+        (tmp_path / "out" / shard / "All_Official_Contacts.csv").write_text(body)
+        (tmp_path / "out" / shard / "other.csv").write_text("z\n1\n")
+    assert sorted(tuple(r) for r in contacts.read_outputs(spark, str(tmp_path / "out")).collect()) == [("a@x.example", "A"), ("b@x.example", "")]
+    target = sinks.bundle([tmp_path / "out", folder / "a.docx"], tmp_path / "all.zip")
+    with zipfile.ZipFile(target) as z:
+        assert z.namelist() == ["out/s1/All_Official_Contacts.csv", "out/s1/other.csv", "out/s2/All_Official_Contacts.csv", "out/s2/other.csv", "a.docx"]
+    digest = sinks.write_json({"b": 1, "a": "é"}, tmp_path / "plan.json")
+    assert json.loads((tmp_path / "plan.json").read_text()) == {"a": "é", "b": 1} and len(digest) == 64
