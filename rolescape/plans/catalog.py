@@ -155,9 +155,10 @@ def duplicate_key_check(spark, d):
     return integrity.duplicate_keys(table(spark, d, "lineitem"), "l_orderkey").withColumnRenamed("count", "n")
 
 
-@query("SELECT doc_id FROM documents WHERE trim(coalesce(text, '')) = '' OR trim(coalesce(source, '')) = ''")
+@query("SELECT doc_id FROM documents WHERE doc_id % 11 = 0 OR doc_id % 7 = 3 OR trim(coalesce(text, '')) = '' OR trim(coalesce(source, '')) = ''")
 def missing_required(spark, d):
-    return integrity.missing_required(table(spark, d, "documents").select("doc_id", F.col("text").alias("title"), F.col("source").alias("company"))).select("doc_id")
+    title, company = F.when(F.col("doc_id") % 11 == 0, "  ").otherwise(F.col("text")), F.when(F.col("doc_id") % 7 != 3, F.col("source"))
+    return integrity.missing_required(table(spark, d, "documents").select("doc_id", title.alias("title"), company.alias("company"))).select("doc_id")
 
 
 @query(f"SELECT doc_id, {NORM.format('text')} AS normalized FROM documents")
@@ -277,7 +278,11 @@ def base_domain(spark, d):
 #: Addresses made of a part's number: every mailbox kind occurs.
 LOCALS = ("careers", "info", "hr.team", "press", "info.hr", "jobs-emea", "u003ehr", "jane.doe", "e-talent.legal", "contact")
 _LOCAL_SQL = "[" + ", ".join(f"'{x}'" for x in LOCALS) + "][p_partkey % 10 + 1]"
-_KIND_SQL = "['job_or_recruitment', 'general_business', 'job_or_recruitment', 'excluded', 'general_business', 'job_or_recruitment', 'excluded', 'excluded', 'excluded', 'general_business'][p_partkey % 10 + 1]"
+_TOKENS_SQL = f"[x for x in string_split_regex({_LOCAL_SQL}, '[._+-]+') if x <> '']"
+_KIND_SQL = (
+    f"CASE WHEN regexp_matches({_LOCAL_SQL}, '^u00[0-9a-f]{{2}}') OR list_has_any({_TOKENS_SQL}, {list(emails.EXCLUDED)}) THEN 'excluded' WHEN list_contains({list(emails.GENERAL)}, ({_TOKENS_SQL})[1]) THEN 'general_business'"
+    f" WHEN list_has_any({_TOKENS_SQL}, {list(emails.JOB)}) THEN 'job_or_recruitment' WHEN list_has_any({_TOKENS_SQL}, {list(emails.GENERAL)}) THEN 'general_business' ELSE 'excluded' END"
+)
 
 
 def mailboxes(spark, d):
@@ -295,6 +300,11 @@ def mailbox_type(spark, d):
     return mailboxes(spark, d).select("p_partkey", emails.quality_type(F.col("email")).alias("kind"))
 
 
+@query(f"SELECT p_partkey, CASE WHEN list_has_any({_TOKENS_SQL}, {list(emails.SCAN_JOB)}) THEN 'job_or_recruitment' WHEN list_has_any({_TOKENS_SQL}, {list(emails.GENERAL)}) THEN 'general_business' ELSE 'excluded_non_role' END AS kind FROM part")
+def scan_mailbox_type(spark, d):
+    return mailboxes(spark, d).select("p_partkey", emails.mailbox_type(F.col("email")).alias("kind"))
+
+
 @query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'jobs' || p_partkey || '@example.com' WHEN p_partkey % 3 = 1 THEN '' ELSE 'a.b@sub.example.org' END AS email FROM part")
 def normalize_email(spark, d):
     p = table(spark, d, "part")
@@ -393,12 +403,16 @@ def proof_gaps(spark, d):
     return coverage.proof_gaps(coverage.prove(full_registry(spark, d))).select("company_id", "proof_state", "gap_type")
 
 
-@query(f"WITH {REGISTRY_SQL}, {HEALTH_SQL} SELECT r.company_id FROM registry r LEFT JOIN health h ON h.source_id = r.company_id WHERE r.status = 'ACTIVE_DIRECT' AND (h.last_success_at IS NULL OR h.last_success_at < TIMESTAMP '{EVENTS_AS_OF}' - INTERVAL 7 DAY)")
+#: A day on which part of the sources' last successes are too old.
+STALE_AS_OF = "2024-02-06 18:00:00"
+
+
+@query(f"WITH {REGISTRY_SQL}, {HEALTH_SQL} SELECT r.company_id FROM registry r LEFT JOIN health h ON h.source_id = r.company_id WHERE r.status = 'ACTIVE_DIRECT' AND (h.last_success_at IS NULL OR h.last_success_at < TIMESTAMP '{STALE_AS_OF}' - INTERVAL 7 DAY)")
 def stale_sources(spark, d):
     h = ledger.health_latest(health(spark, d)).select("source_id", dates.utc_text(F.col("last_success_at")).alias("at"))
     r = registry(spark, d).drop("last_success_at")
     df = r.join(h, r["company_id"] == h["source_id"], "left").withColumn("last_success_at", F.coalesce("at", F.lit("")))
-    return coverage.stale(df, literal(EVENTS_AS_OF)).select("company_id")
+    return coverage.stale(df, literal(STALE_AS_OF)).select("company_id")
 
 
 @query(f"WITH {REGISTRY_SQL} SELECT company_id, CASE WHEN status = 'STAGED_NEEDS_LIVE_PROOF' THEN 'Run bounded live contract proof, retain evidence, then enable only after tests pass.' WHEN status = 'BLOCKED_RESTRICTED' THEN 'Use authorized Gmail alerts or private EML/PDF/image import; do not bypass restrictions.' WHEN status = 'NO_SOURCE_FOUND' THEN 'Verify official careers site, talent community, public notices and recruiter channels.' WHEN source_mode = 'public_notice' THEN 'Implement HTML/PDF notice collector with closing-date and corrigendum tracking.' WHEN source_mode = 'gmail_alert' THEN 'Authorize Gmail locally and prove employer/portal alert query coverage.' WHEN source_mode = 'manual_import' THEN 'Retain official files locally and route uncertain extraction to Manual_Review.' ELSE 'Maintain health checks and evidence proof.' END AS action FROM registry")

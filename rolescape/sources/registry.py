@@ -127,16 +127,15 @@ def named(value: Any) -> Iterator[tuple[str, dict[str, Any]]]:
 
 
 def web_page(value: Any) -> str:
-    """A field as web URL; a bare domain gets https; else empty."""
-    said = str(value or "").strip()
-    if said and "://" not in said and "." in said and " " not in said:
-        said = f"https://{said}"
+    """A field as web URL without its fragment; else empty."""
+    said = str(value or "").strip().split("#", 1)[0]
     parts = urlsplit(said)
     return said if parts.scheme in ("http", "https") and parts.hostname else ""
 
 
 def targets(spark: SparkSession, files: list[str | Path], shard: int = 0, shards: int = 1) -> DataFrame:
-    """organization, record_type, country, urls of the organizations with a page in YAML files, each once; of several shards one."""
+    """organization, record_type, country, urls, hosts (with and without www.) of the organizations with a page in YAML
+    files, each once; of several shards one."""
     if not 0 <= shard < shards:
         raise ValueError("shard must be below shards")
     out: dict[tuple, tuple] = {}
@@ -145,5 +144,7 @@ def targets(spark: SparkSession, files: list[str | Path], shard: int = 0, shards
             urls = list(dict.fromkeys(u for f in PAGES if (u := web_page(row.get(f)))))
             if urls:
                 kind = str(row.get("record_type") or ("recruiter" if "recruiter" in Path(file).name.lower() else "employer")).strip().lower()
-                out.setdefault((name.casefold(), tuple(sorted(urls))), (name, kind, str(row.get("country") or "").strip(), urls))
-    return spark.createDataFrame(list(out.values())[shard::shards], "organization string, record_type string, country string, urls array<string>")
+                bare = [(urlsplit(u).hostname or "").lower().rstrip(".") for u in urls]
+                hosts = sorted({h for b in bare for h in (b, b[4:] if b.startswith("www.") else f"www.{b}")})
+                out.setdefault((name.casefold(), tuple(sorted(urls))), (name, kind, str(row.get("country") or "").strip(), urls, hosts))
+    return spark.createDataFrame(list(out.values())[shard::shards], "organization string, record_type string, country string, urls array<string>, hosts array<string>")

@@ -82,9 +82,9 @@ def test_targets_at_any_depth_and_in_shards(spark, tmp_path):
     from rolescape.sources import registry
 
     file = tmp_path / "recruiters.yaml"
-    file.write_text("groups:\n- company: One\n  website: one.example\n  units:\n  - {name: Two, url: 'https://two.example/a', country: India, record_type: Employer}\n- {name: ONE, official_url: one.example}\n- {name: None there}\n")
+    file.write_text("groups:\n- company: One\n  website: 'http://www.one.example/#top'\n  units:\n  - {name: Two, url: 'https://two.example/a', country: India, record_type: Employer}\n- {name: ONE, official_url: 'http://www.one.example/'}\n- {name: None there}\n")
     out = [tuple(r) for r in registry.targets(spark, [file]).collect()]
-    assert out == [("One", "recruiter", "", ["https://one.example"]), ("Two", "employer", "India", ["https://two.example/a"])]
+    assert out == [("One", "recruiter", "", ["http://www.one.example/"], ["one.example", "www.one.example"]), ("Two", "employer", "India", ["https://two.example/a"], ["two.example", "www.two.example"])]
     assert [r["organization"] for r in registry.targets(spark, [file], 1, 2).collect()] == ["Two"]
 
 
@@ -125,3 +125,28 @@ def test_documents_contact_files_and_bundles(spark, tmp_path):
         assert z.namelist() == ["out/s1/All_Official_Contacts.csv", "out/s1/other.csv", "out/s2/All_Official_Contacts.csv", "out/s2/other.csv", "a.docx"]
     digest = sinks.write_json({"b": 1, "a": "é"}, tmp_path / "plan.json")
     assert json.loads((tmp_path / "plan.json").read_text()) == {"a": "é", "b": 1} and len(digest) == 64
+
+
+def test_a_streaming_ledger_merges_batch_by_batch(spark, tmp_path):
+    from rolescape import schemas
+    from rolescape.streaming import ingest
+
+    def land(name, *rows):
+        df = spark.createDataFrame([(*r, i) for i, r in rows], "title string, company string, apply_url string, published_at string, seq long")
+        schemas.conform(df, schemas.JOB).withColumn("n", F.monotonically_increasing_id()).drop("n").join(df.select("title", "apply_url", "seq"), ["title", "apply_url"]).select(*schemas.JOB.names, "seq").coalesce(1).write.parquet(str(tmp_path / "in" / name))
+
+    land("a", (1, ("Designer", "Acme", "https://x.example/1", "2024-01-01")), (2, ("Checker", "Acme", "https://x.example/2", "")))
+    schema = spark.read.parquet(str(tmp_path / "in" / "a")).schema
+
+    def run():
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        q = ingest.ledger(stream, str(tmp_path / "ledger")).option("checkpointLocation", str(tmp_path / "offsets")).trigger(availableNow=True).start()
+        q.awaitTermination()
+
+    run()
+    rows, _ = ingest.versions(spark, str(tmp_path / "ledger"), 1)
+    assert {r["title"] for r in rows.collect()} == {"Designer", "Checker"}
+    land("b", (3, ("Designer II", "Acme", "https://x.example/1?utm_source=a", "2024-02-01")), (4, ("Lead", "Acme", "https://x.example/4", "")))
+    run()
+    rows, aliases = ingest.versions(spark, str(tmp_path / "ledger"), 2)
+    assert {r["title"] for r in rows.collect()} == {"Designer II", "Checker", "Lead"} and aliases.count() >= 6
