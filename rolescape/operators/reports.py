@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rolescape.config import Taxonomy
 from rolescape.functions.dates import REPORT_FORMATS, iso, parsed, publication_status, since, utc_text
-from rolescape.functions.text import collapse, contains_any, first_filled, hits, text
+from rolescape.functions.text import collapse, contains_any, first_filled, hits, once, text
 from rolescape.functions.urls import identity, is_web
 from rolescape.operators.dedup import best_per, representatives
 from rolescape.operators.dedup import variants as variants_of
@@ -87,12 +87,15 @@ def classify(jobs: DataFrame, as_of: Column, hours: int = 48, relevant: Sequence
     published = parsed(jobs["published_at"], REPORT_FORMATS)
     in_window = F.coalesce(published.between(as_of - F.make_interval(hours=F.lit(hours)), as_of + F.make_interval(hours=F.lit(6))), F.lit(False))
     url = first_filled(collapse(jobs["apply_url"]), collapse(jobs["source_url"]))
-    rows = jobs.where(contains_any(body, relevant))
+    # the body is joined once for each row, and the terms looked up once for each relevant one
+    rows = once(jobs, _body=body)
+    body = F.col("_body")
+    rows = once(rows.where(contains_any(body, relevant)), urgent_hits=hits(body, URGENT), relevant_hits=hits(body, relevant), senior_hits=hits(body, SENIOR)).drop("_body")
     return rows.withColumns({
         "identity": first_filled(collapse(jobs["canonical_url"]) if "canonical_url" in jobs.columns else F.lit(""), url, jobs["job_key"]), "url": url,
         "published_iso": utc_text(published), "date_status": F.when(in_window, f"confirmed_{hours}h").when(published.isNull(), "date_unknown").otherwise("older"),
-        "urgency": F.when(contains_any(body, URGENT), "urgent").otherwise("normal"), "urgent_hits": hits(body, URGENT), "relevant_hits": hits(body, relevant), "senior_hits": hits(body, SENIOR),
-        "senior_fit": contains_any(body, SENIOR) | (F.coalesce(jobs["match_score"], F.lit(0)) >= 70),
+        "urgency": F.when(F.size("urgent_hits") > 0, "urgent").otherwise("normal"),
+        "senior_fit": (F.size("senior_hits") > 0) | (F.coalesce(jobs["match_score"], F.lit(0)) >= 70),
     })
 
 
