@@ -68,11 +68,6 @@ def anchor_passes(c: Column, include: Sequence[str], required: Sequence[str], ex
     return ok & ~contains_any(t, [x.lower() for x in excluded])
 
 
-def listing_title(c: Column) -> Column:
-    """The part of a listing's text before its job number."""
-    return F.trim(F.element_at(F.split(text(c), r"(?i)\bJob ID\s*:"), 1), F.lit(" -|:"))
-
-
 def is_pdf(content_type: Column, path: Column) -> Column:
     """Whether a document is read as PDF, by its type or the end of its path."""
     return F.lower(text(content_type)).contains("pdf") | F.lower(text(path)).endswith(".pdf")

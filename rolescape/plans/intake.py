@@ -11,7 +11,7 @@ from rolescape.operators import coverage, discovery, integrity, ledger, reports,
 from rolescape.plans.adapters import AS_OF, HEALTH_SQL, PROVEN_SQL, REGISTRY_SQL, health, literal, registry, table
 from rolescape.plans.catalog import any_sql, query, unescaped_sql
 from rolescape.schemas import JOB, conform
-from rolescape.sources import mail
+from rolescape.sources import listings, mail
 from rolescape.sources import notices as scans
 
 #: Sentences that parts are given in turn, so that notices, alerts and postings have something to find.
@@ -265,3 +265,22 @@ _KIND_SQL = "CASE WHEN host = 'boards.greenhouse.io' AND p1 <> '' THEN 'greenhou
 def detected_sources(spark, d):
     k = F.col("p_partkey")
     return table(spark, d, "part").select(k.alias("id"), discovery.detected(F.concat(pick(BOARDS, k), k.cast("string"))).alias("s")).select("id", "s.*")
+
+
+LISTED = ("Piping Engineer Job ID: #12 Navi Mumbai Full Time", "Designer job id: 7 Pune part time", "Checker", "Lead, Contract", "Stress Engineer JOB ID : A-1 Doha, Qatar Temporary")
+
+
+@query(f"""WITH listed AS (SELECT p_partkey AS id, {pick_sql(LISTED, 'p_partkey')} || CASE WHEN p_partkey % 7 = 0 THEN ' ' || p_name ELSE '' END AS t FROM part)
+ SELECT id, CASE WHEN regexp_matches(t, '\\bJob ID\\s*:', 'i') THEN trim(regexp_extract(t, '^(.*?)\\bJob ID\\s*:', 1, 'i')) ELSE trim(t) END AS title, trim(regexp_extract(t, 'Job ID\\s*:\\s*#?\\S+\\s+(.+?)\\s+(?:Full Time|Part Time|Contract|Temporary)$', 1, 'i')) AS location,
+ CASE WHEN regexp_matches(t, '\\bFull Time\\b', 'i') THEN 'Full Time' WHEN regexp_matches(t, '\\bPart Time\\b', 'i') THEN 'Part Time' WHEN regexp_matches(t, '\\bContract\\b', 'i') THEN 'Contract' WHEN regexp_matches(t, '\\bTemporary\\b', 'i') THEN 'Temporary' ELSE '' END AS job_type FROM listed""")
+def listing_facts(spark, d):
+    k = F.col("p_partkey")
+    t = F.concat(pick(LISTED, k), F.when(k % 7 == 0, F.concat(F.lit(" "), "p_name")).otherwise(""))
+    return table(spark, d, "part").select(k.alias("id"), listings.title(t).alias("title"), listings.location(t).alias("location"), listings.job_type(t).alias("job_type"))
+
+
+@query(f"""WITH found AS (SELECT page_id, url, regexp_extract_all(html, '<a [^>]*href="([^"]*)"[^>]*>', 1) AS h, regexp_extract_all(html, '<a [^>]*href="[^"]*"[^>]*>([^<]*)</a>', 1) AS t FROM pages),
+each AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]+', 0) || {unescaped_sql('h[i + 1]')} AS target, {unescaped_sql('t[i + 1]')} AS anchor, i FROM (SELECT page_id, url, h, t, unnest(range(len(h))) AS i FROM found))
+SELECT page_id, target AS url, arg_min(anchor, i) AS anchor, CAST(min(i) AS INTEGER) AS position FROM each WHERE (contains(lower(target), '/a') OR contains(lower(target), '/t')) AND (contains(lower(anchor), 'n') OR contains(lower(anchor), 'th')) AND contains(lower(anchor), 't') AND NOT contains(lower(anchor), 'and') GROUP BY 1, 2""")
+def listing_links(spark, d):
+    return listings.scan(table(spark, d, "pages"), "page_id", "url", "html", ("/a", "/t"), include=("n", "th"), required=("t",), excluded=("and",))

@@ -150,3 +150,21 @@ def test_a_streaming_ledger_merges_batch_by_batch(spark, tmp_path):
     run()
     rows, aliases = ingest.versions(spark, str(tmp_path / "ledger"), 2)
     assert {r["title"] for r in rows.collect()} == {"Designer II", "Checker", "Lead"} and aliases.count() >= 6
+
+
+def test_listings_with_details_and_robots(spark):
+    from rolescape.sources import listings
+
+    html = """<a href="/jobs/1#x">Piping Engineer Job ID: #12 Navi Mumbai Full Time</a><a href="/jobs/1">again</a><a href="/jobs/2">Checker, contract</a>
+<a href="https://other.example/jobs/3">Elsewhere</a><a href="mailto:a@b.example">Mail jobs</a><a href="/about">About</a><a href="http://[bad/jobs/">Bad</a>"""
+    df = pages(spark, (1, "https://x.example/list", html), (2, "https://x.example/none", None))
+    found = listings.scan(df, "page_id", "url", "html", ("/jobs/",), excluded=("again",))
+    assert {(r["url"], r["position"]) for r in found.collect()} == {("https://x.example/jobs/1", 0), ("https://x.example/jobs/2", 2)}
+    details = spark.createDataFrame([("https://x.example/jobs/2", "Senior Checker", "")], "url string, title string, location string")
+    out = {r["apply_url"]: r for r in listings.jobs(found, "Board", "Acme", details).collect()}
+    one, two = out["https://x.example/jobs/1"], out["https://x.example/jobs/2"]
+    assert (one["title"], one["location"], one["job_type"]) == ("Piping Engineer", "Navi Mumbai", "Full Time") and (two["title"], two["job_type"]) == ("Senior Checker", "Contract")
+    urls = spark.createDataFrame([("https://x.example/jobs/1",), ("https://x.example/private/1",), ("https://y.example/private/1",), ("https://z.example/a",), ("https://w.example/a",)], "url string")
+    robots = spark.createDataFrame([("https://x.example", 200, "User-agent: *\\nDisallow: /private/".replace("\\n", chr(10))), ("https://y.example", 404, ""), ("https://z.example", 500, "")], "origin string, status_code int, body string")
+    assert {r["url"] for r in listings.permitted(urls, "url", robots, "bot").collect()} == {"https://x.example/jobs/1", "https://y.example/private/1"}
+    assert listings.permitted(urls, "url", robots, "bot", deny_on_error=False).count() == 4
