@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 BLOCKS = frozenset("address article aside blockquote br dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split())
 HIDDEN = frozenset("script style noscript template".split())
 DROPPED = frozenset("nav header footer form".split())
+#: Titles that tell nothing.
+GENERIC_TITLES = frozenset(("career site", "careers", "job details", "jobs", "oracle careers"))
 
 
 class Page(HTMLParser):
@@ -30,6 +32,9 @@ class Page(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.drop, self.depth, self.hidden = drop, 0, 0
         self.parts: list[str] = []
+        #: The text of the main element (or of the first one in that role), its tag, and how deep it is open.
+        self.main: list[str] | None = None
+        self.main_tag, self.main_open = "", 0
         self.links: list[tuple[str, str]] = []
         self.href: str | None = None
         self.anchor: list[str] = []
@@ -40,8 +45,17 @@ class Page(HTMLParser):
         self.ld: list[str] | None = None
         self.cloudflare: list[str] = []
 
+    def add(self, piece: str) -> None:
+        self.parts.append(piece)
+        if self.main_open:
+            self.main.append(piece)
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         a = {k: v or "" for k, v in attrs}
+        if self.main_open and tag == self.main_tag:
+            self.main_open += 1
+        elif not self.depth and (self.main is None and a.get("role", "") == "main" or tag == "main" != self.main_tag):
+            self.main, self.main_tag, self.main_open = [], tag, 1
         if tag == "script" and a.get("type", "").lower() == "application/ld+json":
             self.ld = []
         if "data-cfemail" in a:
@@ -58,7 +72,7 @@ class Page(HTMLParser):
         if tag in self.found:
             self.open.append(tag)
         if tag in BLOCKS:
-            self.parts.append("\n")
+            self.add("\n")
 
     def close_link(self) -> None:
         if self.href is not None:
@@ -66,6 +80,8 @@ class Page(HTMLParser):
         self.href = None
 
     def handle_endtag(self, tag: str) -> None:
+        if self.main_open and tag == self.main_tag:
+            self.main_open -= 1
         if tag == "script" and self.ld is not None:
             self.json_ld.append("".join(self.ld))
             self.ld = None
@@ -78,7 +94,7 @@ class Page(HTMLParser):
         if tag in self.open:
             self.open.remove(tag)
         if tag in BLOCKS:
-            self.parts.append("\n")
+            self.add("\n")
 
     def handle_data(self, data: str) -> None:
         if self.ld is not None:
@@ -90,10 +106,10 @@ class Page(HTMLParser):
         if self.href is not None:
             self.anchor.append(data)
         if not self.depth:
-            self.parts.append(data)
+            self.add(data)
 
-    def lines(self) -> str:
-        rows = (" ".join(x.split()) for x in "".join(self.parts).split("\n"))
+    def lines(self, main: bool = False) -> str:
+        rows = (" ".join(x.split()) for x in "".join(self.main if main and self.main is not None else self.parts).split("\n"))
         return "\n".join(x for x in rows if x)
 
 
@@ -144,19 +160,21 @@ def links(df: DataFrame, key: str, markup: str) -> DataFrame:
 
 
 def titles(df: DataFrame, key: str, markup: str) -> DataFrame:
-    """key, title: the social title, else the first heading, else the title tag before its separator."""
+    """key, title: the first heading, else the social title, else the title tag, without a career site's ending; a generic one is empty."""
 
     def one(m: str | None) -> list[tuple[str]]:
         p = parse(m)
         h1, t = (" ".join("".join(p.found[x]).split()) for x in ("h1", "title"))
-        return [(" ".join(p.metas.get("og:title", "").split()) or h1 or re.split(r"\s+[|–-]\s+", t)[0],)]
+        social = (" ".join(p.metas.get(x, "").split()) for x in ("og:title", "twitter:title"))
+        found = re.sub(r"(?i)\s+(?:job details|careers|career site).*$", "", next(filter(None, (h1, *social, t)), "")).strip()
+        return [("" if found.lower() in GENERIC_TITLES else found,)]
 
     return per_page(df, key, markup, one, "title string", ["title"])
 
 
 def body_text(df: DataFrame, key: str, markup: str) -> DataFrame:
-    """key, body: visible text without navigation, header, footer and forms."""
-    return per_page(df, key, markup, lambda m: [(parse(m, DROPPED).lines(),)], "body string", ["body"])
+    """key, body: visible text of the main element, or of a page without one, without navigation, header, footer and forms."""
+    return per_page(df, key, markup, lambda m: [(parse(m, DROPPED).lines(main=True),)], "body string", ["body"])
 
 
 def flatten(value: Any) -> Iterator[dict[str, Any]]:

@@ -168,3 +168,12 @@ def test_listings_with_details_and_robots(spark):
     robots = spark.createDataFrame([("https://x.example", 200, "User-agent: *\\nDisallow: /private/".replace("\\n", chr(10))), ("https://y.example", 404, ""), ("https://z.example", 500, "")], "origin string, status_code int, body string")
     assert {r["url"] for r in listings.permitted(urls, "url", robots, "bot").collect()} == {"https://x.example/jobs/1", "https://y.example/private/1"}
     assert listings.permitted(urls, "url", robots, "bot", deny_on_error=False).count() == 4
+
+
+def test_pages_with_a_main_element_and_generic_titles(spark):
+    from rolescape.sources import html
+
+    rows = [(1, "u", "<title>Careers</title><div>aside</div><main><p>one</p><main>two</main>three</main><div>end</div>"), (2, "u", "<h1>Designer</h1><div role='main'>in<div>deep</div>still</div>out"), (3, "u", "<title>Lead Careers at Acme</title><p>all</p>of it"), (4, "u", "<div role='main'>first</div><main>real</main>")]
+    df = pages(spark, *rows)
+    assert {r["page_id"]: r["body"] for r in html.body_text(df, "page_id", "html").collect()} == {1: "one\ntwo\nthree", 2: "in\ndeep\nstill", 3: "all\nof it", 4: "real"}
+    assert {r["page_id"]: r["title"] for r in html.titles(df, "page_id", "html").collect()} == {1: "", 2: "Designer", 3: "Lead", 4: ""}
