@@ -42,6 +42,13 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """A table written to the shared folder and read back: its lineage ends there, and it is computed once."""
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def partitions(spark: SparkSession) -> int:
     """Shuffle partitions of the session, the unit by which operators size their buckets."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
