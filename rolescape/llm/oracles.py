@@ -27,3 +27,24 @@ ranked AS (
   SELECT * FROM (SELECT lang, source, 'term' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM terms) WHERE rank <= 200)
 SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked
 """
+
+OP12 = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS said
+  FROM documents),
+sized AS (SELECT r, doc_id, said, len(said)::BIGINT AS n FROM docs WHERE len(said) > 0),
+whole AS (SELECT count(*) AS documents, sum(n)::BIGINT AS words FROM sized),
+found AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(said) AS term FROM sized) GROUP BY ALL),
+weights AS (SELECT term, floor(1000 * ln((2 * documents + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM found, whole GROUP BY term, documents),
+norms AS (SELECT r, doc_id, 100 - 90 + (90 * n * documents) // words AS m FROM sized, whole),
+items AS (
+  SELECT row_number() OVER () AS i, item_id,
+         unnest(list_distinct(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'))) AS term
+  FROM benchmark),
+scores AS (
+  SELECT i, item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM items JOIN weights USING (term) JOIN found USING (term) JOIN norms USING (r) GROUP BY ALL),
+ranked AS (SELECT item_id, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM scores WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rolescape.llm import bpe, classifier, divergence, fingerprints, jaccard, licenses, oracles, packing, rules, sharding, suffixes, tokencounts, tokenfile
+from rolescape.llm import bpe, classifier, divergence, fingerprints, jaccard, licenses, oracles, packing, ranking, rules, sharding, suffixes, tokencounts, tokenfile
 from rolescape.llm.common import table
 
 
@@ -67,6 +67,10 @@ def op11_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(table(spark, sf_dir, "documents"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.token_counts(table(spark, sf_dir, "documents"), byte_vocabulary())
 
@@ -74,9 +78,9 @@ def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    found = {f.__name__: f for f in (op1_best_fit_packing, op2_document_fingerprints, op3_quality_rules, op4_suffix_dedup, op5_quality_classifier, op6_bpe_automaton, op7_token_files, op8_jaccard_join, op9_jump_shards, op10_license_scan, op11_divergence_audit, op13_token_counts)}
+    found = {f.__name__: f for f in (op1_best_fit_packing, op2_document_fingerprints, op3_quality_rules, op4_suffix_dedup, op5_quality_classifier, op6_bpe_automaton, op7_token_files, op8_jaccard_join, op9_jump_shards, op10_license_scan, op11_divergence_audit, op12_ranked_search, op13_token_counts)}
     return found | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_divergence_audit": oracles.OP11}
+    return {"op11_divergence_audit": oracles.OP11, "op12_ranked_search": oracles.OP12}
