@@ -11,24 +11,26 @@ All numbers are integers. Shares p = 1 + floor(SCALE * (count + 1) / (N + V)) ar
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rolescape.llm.common import bounded_batches, partitions, written
-from rolescape.llm.tries import RadixTrie
+from rolescape.llm.tries import Trie, edges, from_columns, merge, summed, walk
 
 #: Fixed values of the audit: documents that a kept term is in, the scale of shares, the ranks of terms.
 MIN_DOCS = 3
 SCALE_STEPS = (1000, 1000, 1000)
 TERM_RANKS = 200
-#: Counters that a partition gathers before they go into its tries, and that its tries hold before they are sent.
-GATHERED = 200_000
-HELD = 300_000
+#: Occurrences that a partition gathers before they go into its tries, and counters that its tries hold before they are sent.
+GATHERED = 2_000_000
+HELD = 2_000_000
+SENT_LEAVES = 10_000
 #: Leaves for each range of the merge, and kept terms in a block; numbers that a block's table of counts holds at a time.
 RANGE_LEAVES = 100_000
 BLOCK_TERMS = 1024
@@ -43,46 +45,40 @@ def terms_of(raw: bytes) -> list[bytes]:
     return raw.translate(FOLD).split()
 
 
+class Numbers(dict):
+    """term -> its number, given when it is first asked for."""
+
+    def __missing__(self, term: bytes) -> int:
+        self[term] = n = len(self)
+        return n
+
+
 class Gatherer:
-    """Counts documents into one trie for each language; leaves() empties it."""
+    """The occurrences of a language's terms in a partition, by document and source, and the trie of those before."""
 
     def __init__(self):
-        self.tries: dict[str, RadixTrie] = {}
-        self.docs: dict[str, Counter] = {}
-        self.said: dict[str, dict[str, Counter]] = {}
-        self.waiting = 0
-
-    def add(self, lang: str, source: str, raw: bytes) -> None:
-        terms = terms_of(raw)
-        if not terms:
-            return
-        here = self.said.setdefault(lang, {}).setdefault(source, Counter())
-        before = len(here)
-        here.update(terms)
-        self.docs.setdefault(lang, Counter()).update(set(terms))
-        self.waiting += len(here) - before
-        if self.waiting > GATHERED:
-            self.settle()
+        self.names = Numbers()
+        self.trie: Trie | None = None
+        self.clear()
+
+    def clear(self) -> None:
+        self.numbers, self.said, self.source, self.waiting = Numbers(), [], [], 0
+
+    def add(self, source: str, terms: list[bytes]) -> None:
+        self.said.append(np.fromiter(map(self.numbers.__getitem__, terms), np.int64, len(terms)))
+        self.source.append(self.names[source])
+        self.waiting += len(terms)
 
     def settle(self) -> None:
-        for lang, docs in self.docs.items():
-            trie, by_term = self.tries.setdefault(lang, RadixTrie()), {t: [] for t in docs}
-            for source, counts in self.said[lang].items():
-                for term, n in counts.items():
-                    by_term[term].append((source, n))
-            for term, said in by_term.items():
-                trie.add(term, docs[term], said)
-        self.docs, self.said, self.waiting = {}, {}, 0
-
-    def held(self) -> int:
-        return sum(t.counters for t in self.tries.values())
-
-    def leaves(self) -> Iterator[tuple[str, bytes, int, list[str], list[int]]]:
-        self.settle()
-        for lang, trie in self.tries.items():
-            for term, leaf in trie.leaves():
-                yield lang, term, leaf.docs, list(leaf.by_source), list(leaf.by_source.values())
-        self.tries = {}
+        """Turns what has been gathered into leaves of the trie."""
+        if not self.said:
+            return
+        lengths, terms, every = [len(x) for x in self.said], len(self.numbers), np.concatenate(self.said)
+        of_doc = np.unique(np.repeat(np.arange(len(lengths)), lengths) * terms + every) % terms
+        by_source, counts = np.unique(np.repeat(np.array(self.source, np.int64), lengths) * terms + every, return_counts=True)
+        new = Trie(pa.array(list(self.numbers), pa.binary()), np.bincount(of_doc, minlength=terms), by_source % terms, by_source // terms, counts, list(self.names))
+        self.trie = new if self.trie is None else merge([self.trie, new])
+        self.clear()
 
 
 LEAF = pa.schema([("lang", pa.string()), ("term", pa.binary()), ("docs", pa.int64()), ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
@@ -90,13 +86,7 @@ LEAF = pa.schema([("lang", pa.string()), ("term", pa.binary()), ("docs", pa.int6
 
 def batches_of(rows: Iterator[tuple], schema: pa.Schema, size: int) -> Iterator[pa.RecordBatch]:
     """Rows in batches of at most `size`."""
-    part = []
-    for row in rows:
-        part.append(row)
-        if len(part) == size:
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*part, strict=True), schema, strict=True)], schema=schema)
-            part = []
-    if part:
+    for part in iter(lambda: list(islice(rows, size)), []):
         yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*part, strict=True), schema, strict=True)], schema=schema)
 
 
@@ -104,62 +94,62 @@ def leaves(docs: DataFrame) -> DataFrame:
     """lang, term, docs, sources, counts: the leaves of each partition's tries, of docs with lang, source, raw."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gatherer = Gatherer()
+        languages: dict[str, Gatherer] = {}
+
+        def send() -> Iterator[pa.RecordBatch]:
+            for lang, g in languages.items():
+                g.settle()
+                for low in range(0, len(g.trie), SENT_LEAVES):
+                    high = min(low + SENT_LEAVES, len(g.trie))
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * (high - low), pa.string()), *g.trie.columns(low, high)], schema=LEAF)
+            languages.clear()
+
         for batch in batches:
             for lang, source, raw in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "raw")), strict=True):
-                gatherer.add(lang, source, raw)
-            if gatherer.held() > HELD:
-                yield from batches_of(gatherer.leaves(), LEAF, 10_000)
-        yield from batches_of(gatherer.leaves(), LEAF, 10_000)
+                if terms := terms_of(raw):
+                    languages.setdefault(lang, Gatherer()).add(source, terms)
+                    if sum(g.waiting for g in languages.values()) > GATHERED:
+                        for g in languages.values():
+                            g.settle()
+                        if sum(len(g.trie.counts) for g in languages.values()) > HELD:
+                            yield from send()
+        yield from send()
 
     return docs.mapInArrow(run, "lang string, term binary, docs long, sources array<string>, counts array<long>")
 
 
-BLOCK = pa.schema([("lang", pa.string()), ("n", pa.int64()), ("terms", pa.list_(pa.string())), ("places", pa.list_(pa.int32())), ("owners", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64())), ("sources", pa.list_(pa.string())), ("totals", pa.list_(pa.int64()))])
+BLOCK = pa.schema([("lang", pa.string()), ("n", pa.int64()), ("depths", pa.list_(pa.int32())), ("labels", pa.list_(pa.binary())), ("places", pa.list_(pa.int32())), ("owners", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64())), ("sources", pa.list_(pa.string())), ("totals", pa.list_(pa.int64()))])
 
 
-def block_row(lang: str, kept: list) -> tuple:
-    """A block of kept leaves: its terms, the counts as (term's place, source's place, count), the sources and their totals."""
-    names: dict[str, int] = {}
-    places, owners, counts = [], [], []
-    for i, (_, leaf) in enumerate(kept):
-        for source, n in leaf.by_source.items():
-            places.append(i)
-            owners.append(names.setdefault(source, len(names)))
-            counts.append(n)
-    totals = [0] * len(names)
-    for o, n in zip(owners, counts, strict=True):
-        totals[o] += n
-    return lang, len(kept), [t.decode() for t, _ in kept], places, owners, counts, list(names), totals
+def block_row(lang: str, trie: Trie, kept: np.ndarray) -> tuple:
+    """A block of kept leaves as a trie of its own: its edges, the counters as (leaf's place, source's place, count), and
+    the sources with their totals."""
+    times = trie.starts[kept + 1] - trie.starts[kept]
+    places = np.repeat(np.arange(len(kept)), times)
+    at = np.repeat(trie.starts[kept] - np.cumsum(times) + times, times) + np.arange(times.sum())
+    met, owners = np.unique(trie.source[at], return_inverse=True)
+    depths, labels = edges(trie.terms.take(pa.array(kept)).to_pylist())
+    return lang, len(kept), depths, labels, places, owners, trie.counts[at], [trie.names[i] for i in met], summed(owners, trie.counts[at], len(met))
 
 
 def kept_blocks(sent: DataFrame, ranges: int, min_docs: int = MIN_DOCS) -> DataFrame:
-    """lang, n, terms, places, owners, counts, sources, totals: the merged leaves of min_docs documents or more, in blocks."""
+    """lang, n, depths, labels, places, owners, counts, sources, totals: the merged leaves of min_docs documents or more, in
+    blocks. A range of (language, term) is merged in one task; a term comes once from each partition that has it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tries: dict[str, RadixTrie] = {}
-        for batch in batches:
-            for lang, term, docs, sources, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                trie = tries.get(lang)
-                if trie is None:
-                    trie = tries[lang] = RadixTrie()
-                trie.add(term, docs, zip(sources, counts, strict=True))
+        table = pa.Table.from_batches(batches, schema=LEAF).combine_chunks()
 
         def rows() -> Iterator[tuple]:
-            for lang, trie in tries.items():
-                kept = []
-                for term, leaf in trie.leaves():
-                    if leaf.docs >= min_docs:
-                        kept.append((term, leaf))
-                        if len(kept) == BLOCK_TERMS:
-                            yield block_row(lang, kept)
-                            kept = []
-                if kept:
-                    yield block_row(lang, kept)
+            for lang in table.column("lang").unique().to_pylist():
+                own = table.filter(pc.equal(table.column("lang"), lang)).combine_chunks()
+                trie = from_columns(*(pa.concat_arrays(own.column(c).chunks) for c in ("term", "docs", "sources", "counts")))
+                kept = trie.kept(min_docs)
+                for low in range(0, len(kept), BLOCK_TERMS):
+                    yield block_row(lang, trie, kept[low : low + BLOCK_TERMS])
 
         yield from batches_of(rows(), BLOCK, 1)
 
-    return sent.repartitionByRange(ranges, "lang", "term").mapInArrow(run, "lang string, n long, terms array<string>, places array<int>, owners array<int>, counts array<long>, sources array<string>, totals array<long>")
+    return sent.repartitionByRange(ranges, "lang", "term").mapInArrow(run, "lang string, n long, depths array<int>, labels array<binary>, places array<int>, owners array<int>, counts array<long>, sources array<string>, totals array<long>")
 
 
 def shares(counts: np.ndarray, total: np.ndarray) -> np.ndarray:
@@ -175,7 +165,7 @@ def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (p - q) ** 2 // q
 
 
-def block_parts(lang: str, terms: pa.Array, places: np.ndarray, owners: np.ndarray, counts: np.ndarray, own: list[str], sources: list[str], totals: list[int], kept: int, ranks: int = TERM_RANKS) -> Iterator[tuple]:
+def block_parts(lang: str, terms: list[bytes], places: np.ndarray, owners: np.ndarray, counts: np.ndarray, own: list[str], sources: list[str], totals: list[int], kept: int, ranks: int = TERM_RANKS) -> Iterator[tuple]:
     """(lang, source, part, item, value) of a block: its share of every pair's sum, and each group's best terms in it.
 
     sources and totals are all groups of the language and the occurrences of kept terms in each; kept is their number V.
@@ -206,7 +196,7 @@ def block_parts(lang: str, terms: pa.Array, places: np.ndarray, owners: np.ndarr
             if i != j:
                 yield lang, a, "pair", b, int(sums[i, j])
         for value, term in best[i]:
-            yield lang, a, "term", terms[term].as_py(), -value
+            yield lang, a, "term", terms[term].decode(), -value
 
 
 PART = pa.schema([("lang", pa.string()), ("source", pa.string()), ("part", pa.string()), ("item", pa.string()), ("value", pa.int64())])
@@ -242,7 +232,8 @@ def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, ranks: int = TERM_RANK
                 r = batch.slice(i, 1)
                 numbers = [r.column(c).flatten().to_numpy() for c in ("places", "owners", "counts")]
                 said = [r.column(c)[0].as_py() for c in ("sources", "all_sources", "all_totals", "kept")]
-                yield from batches_of(block_parts(r.column("lang")[0].as_py(), r.column("terms").flatten(), *numbers, *said, ranks), PART, 10_000)
+                terms = list(walk(r.column("depths")[0].as_py(), r.column("labels")[0].as_py()))
+                yield from batches_of(block_parts(r.column("lang")[0].as_py(), terms, *numbers, *said, ranks), PART, 10_000)
 
     parts = written(blocks.drop("n", "totals").join(languages, "lang").mapInArrow(run, "lang string, source string, part string, item string, value long"), "parts")
     # a language without kept terms has no block: its pairs are worth 0
