@@ -74,7 +74,8 @@ class Gatherer:
         if not self.said:
             return
         lengths, terms, every = [len(x) for x in self.said], len(self.numbers), np.concatenate(self.said)
-        of_doc = np.unique(np.repeat(np.arange(len(lengths)), lengths) * terms + every) % terms
+        of_doc = np.sort(np.repeat(np.arange(len(lengths)), lengths) * terms + every)
+        of_doc = of_doc[np.diff(of_doc, prepend=-1) > 0] % terms
         by_source, counts = np.unique(np.repeat(np.array(self.source, np.int64), lengths) * terms + every, return_counts=True)
         new = Trie(pa.array(list(self.numbers), pa.binary()), np.bincount(of_doc, minlength=terms), by_source % terms, by_source // terms, counts, list(self.names))
         self.trie = new if self.trie is None else merge([self.trie, new])

@@ -1,9 +1,9 @@
 """Token counts without token ids: every distinct pre-token is encoded once, and documents add up their pre-tokens' counts.
 
-Documents are taken up in blocks of about BLOCK_BYTES of text. A block numbers the pre-tokens it meets, and each of its
-documents becomes a frequency list over those numbers. The blocks' pre-tokens, each once a block, are joined to the
-counts of the distinct ones, and the answers meet the frequency lists of their block again. A pre-token that every
-document has costs one row for each block, never one for each document or occurrence.
+A task numbers the pre-tokens it meets, and each of its documents becomes a frequency list over those numbers, written to
+one file for each task. The tasks' pre-tokens, each once, are joined to the counts of the distinct ones, and the answers
+meet the frequency lists of their file again, which are read in place and not shuffled. A pre-token that every document
+has costs one row for each task, never one for each document or occurrence.
 """
 
 from __future__ import annotations
@@ -21,26 +21,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rolescape.llm.automaton import CHUNK, RARE_SPACE, SPLIT
-from rolescape.llm.common import bounded_batches, texts, written
+from rolescape.llm.common import bounded_batches, read_block, texts, written
 
-#: Bytes of text whose documents share one numbering of pre-tokens; a longer text is a block of its own.
-BLOCK_BYTES = 8 << 20
+#: Pre-tokens that a task numbers before it forgets them and numbers anew, from the next number on.
+KEPT_PIECES = 600_000
 #: Runs between white space that a block keeps split; beyond them, and for longer ones, runs are split each time.
 KEPT_RUNS = 400_000
 KEPT_LENGTH = 64
 
 
 class Numbering:
-    """The pre-tokens of a block, numbered as they are met; split_special cuts out the special tokens' strings."""
+    """The pre-tokens of a task, numbered as they are met; split_special cuts out the special tokens' strings."""
 
-    def __init__(self, pattern, split_special):
-        self.pattern, self.split_special = pattern, split_special
+    def __init__(self, pattern, split_special, base: int = 0):
+        self.pattern, self.split_special, self.base = pattern, split_special, base
         self.ids: dict[str, int] = {}
         self.runs: dict[str, list[int]] = {}
 
     def numbers(self, text: str) -> list[int]:
-        ids = self.ids
-        return [ids.setdefault(p, len(ids)) for p in self.pattern.findall(text)]
+        ids, base = self.ids, self.base
+        return [ids.setdefault(p, base + len(ids)) for p in self.pattern.findall(text)]
 
     def plain(self, text: str) -> list[int]:
         if RARE_SPACE.search(text):
@@ -55,13 +55,16 @@ class Numbering:
             out += found
         return out
 
+    def numbers_of_special(self, token: str) -> list[int]:
+        return [self.ids.setdefault(token, self.base + len(self.ids))]
+
     def frequencies(self, text: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
         """The numbers of a text's pre-tokens, ascending, how often each occurs, and the pre-tokens met here first."""
         before = len(self.ids)
         found: list[int] = []
         for part, special in self.split_special(text):
-            found += [self.ids.setdefault(part, len(self.ids))] if special else self.plain(part)
-        numbers, times = np.unique(np.array(found, np.uint32), return_counts=True)
+            found += self.numbers_of_special(part) if special else self.plain(part)
+        numbers, times = np.unique(np.array(found, np.int64), return_counts=True)
         return numbers, times, list(islice(reversed(self.ids), len(self.ids) - before))[::-1]
 
 
@@ -95,34 +98,35 @@ def special_splitter(special: Sequence[str]):
     return lambda text: [(part, i % 2 == 1) for i, part in enumerate(cut.split(text)) if part] if any(x in text for x in special) else [(text, False)]
 
 
-def frequency_lists(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """block, key, n_bytes, numbers, times, first, pieces for each row of docs.
+LISTS = "task int, key long, n_bytes long, gaps binary, times binary, first long, pieces array<string>"
+
+
+def frequency_lists(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """task, key, n_bytes, gaps, times, first, pieces for each row of docs.
 
-    numbers and times are little-endian 32-bit arrays: the document's pre-tokens by their numbers in the block and how
-    often each occurs. pieces are the pre-tokens the block meets here first; their numbers begin with first.
+    gaps and times are little-endian 32-bit arrays: the ascending numbers of the document's pre-tokens as differences, and
+    how often each occurs. pieces are the pre-tokens first met here; their numbers begin with first.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        pattern, cut = regex.compile(SPLIT), special_splitter(special_tokens(vocabulary))
-        block, size, numbering = (TaskContext.get().partitionId() << 32) - 1, block_bytes, None
+        task, pattern, cut = TaskContext.get().partitionId(), regex.compile(SPLIT), special_splitter(special_tokens(vocabulary))
+        numbering = Numbering(pattern, cut)
         for batch in batches:
             rows = []
-            for k, x in zip(batch.column(0).to_pylist(), texts(batch, "text"), strict=True):
-                n = len(x.encode())
-                if size and size + n > block_bytes:
-                    block, size, numbering = block + 1, 0, Numbering(pattern, cut)
-                first = len(numbering.ids)
+            for k, x in zip(batch.column("key").to_pylist(), texts(batch), strict=True):
+                if len(numbering.ids) > KEPT_PIECES:
+                    numbering = Numbering(pattern, cut, numbering.base + len(numbering.ids))
+                first = numbering.base + len(numbering.ids)
                 numbers, times, pieces = numbering.frequencies(x)
-                size += max(n, 1)
-                rows.append((block, k, n, numbers.astype("<u4").tobytes(), times.astype("<u4").tobytes(), first, pieces))
+                rows.append((task, k, len(x.encode()), np.diff(numbers, prepend=0).astype("<u4").tobytes(), times.astype("<u4").tobytes(), first, pieces))
             if rows:
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.string()))
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["block", "key", "n_bytes", "numbers", "times", "first", "pieces"])
+                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["task", "key", "n_bytes", "gaps", "times", "first", "pieces"])
 
     bounded_batches(docs.sparkSession)
-    return docs.select(docs[key].cast("long").alias("key"), docs[text].alias("text")).mapInArrow(run, "block long, key long, n_bytes long, numbers binary, times binary, first long, pieces array<string>")
+    return docs.select(docs[key].cast("long").alias("key"), docs[text].alias("text")).mapInArrow(run, LISTS)
 
 
 def piece_counts(pieces: DataFrame, vocabulary: str) -> DataFrame:
@@ -137,7 +141,7 @@ def piece_counts(pieces: DataFrame, vocabulary: str) -> DataFrame:
     return pieces.select("piece").distinct().mapInArrow(run, "piece string, n long")
 
 
-def token_counts(docs: DataFrame, vocabulary: str, limit: int = 1024, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def token_counts(docs: DataFrame, vocabulary: str, limit: int = 1024, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_bytes, n_tokens, over_limit for each row of docs.
 
     A null or empty text has no bytes and no tokens. Null keys are carried through, repeated rows give repeated results,
@@ -145,16 +149,26 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 1024, key: str =
     text count as the library counts them, one token each. The frequency lists are written to the shared folder once.
     """
     special_tokens(vocabulary)
-    lists = written(frequency_lists(docs, vocabulary, key, text, block_bytes), "frequencies")
-    met = lists.where(F.size("pieces") > 0).select("block", "first", F.posexplode("pieces").alias("at", "piece")).select("block", (F.col("first") + F.col("at")).alias("number"), "piece")
-    answers = met.join(piece_counts(met, vocabulary), "piece").select(F.col("block").alias("of"), "number", "n")
-
-    def add(block: tuple, found: pa.Table, counts: pa.Table) -> pa.Table:
-        tokens = np.zeros(counts.num_rows, np.int64)
-        tokens[counts.column("number").to_numpy()] = counts.column("n").to_numpy()
-        total = [int(tokens[np.frombuffer(i, "<u4")] @ np.frombuffer(t, "<u4").astype(np.int64)) for i, t in zip(found.column("numbers").to_pylist(), found.column("times").to_pylist(), strict=True)]
-        return pa.table([found.column("key"), found.column("n_bytes"), pa.array(total, pa.int64())], [key, "n_bytes", "n_tokens"])
-
-    lists = lists.select("block", "key", "n_bytes", "numbers", "times")
-    counted = lists.groupBy("block").cogroup(answers.groupBy("of")).applyInArrow(add, f"{key} long, n_bytes long, n_tokens long")
+    lists = written(frequency_lists(docs, vocabulary, key, text), "frequencies")
+    met = lists.where(F.size("pieces") > 0).select("task", "first", F.posexplode("pieces").alias("at", "piece"))
+    # one shuffle by pre-token serves both the distinct ones and the join
+    met = met.select("task", (F.col("first") + F.col("at")).alias("number"), "piece").repartition("piece")
+    answers = met.join(piece_counts(met, vocabulary), "piece").select("task", "number", "n", F.lit(None).cast("string").alias("file"))
+    # a row for each file, so that files without any pre-token are read too
+    files = lists.select("task", F.col("_metadata.file_path").alias("file")).distinct().select("task", F.lit(0).cast("long").alias("number"), F.lit(0).cast("long").alias("n"), "file")
+
+    def add(found: pa.Table) -> pa.Table:
+        number, tokens = found.column("number").to_numpy(), np.zeros(0, np.int64)
+        if len(number):
+            tokens = np.zeros(int(number.max()) + 1, np.int64)
+            # a file's own row has the number 0 and adds nothing to it
+            np.add.at(tokens, number, found.column("n").to_numpy())
+        out = []
+        for file in found.column("file").drop_null().to_pylist():
+            for _, batch in read_block(file, ["key", "n_bytes", "gaps", "times"]):
+                total = [int(tokens[np.cumsum(np.frombuffer(g, "<u4"), dtype=np.int64)] @ np.frombuffer(t, "<u4").astype(np.int64)) for g, t in zip(batch.column("gaps").to_pylist(), batch.column("times").to_pylist(), strict=True)]
+                out.append(pa.table([batch.column("key"), batch.column("n_bytes"), pa.array(total, pa.int64())], [key, "n_bytes", "n_tokens"]))
+        return pa.concat_tables(out)
+
+    counted = answers.unionByName(files).groupBy("task").applyInArrow(add, f"{key} long, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -10,8 +10,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from rolescape.llm import divergence, oracles, ranking, tokencounts
-from rolescape.llm.tries import RadixTrie, counted, merged
+from rolescape.llm import divergence, oracles, ranking, tokencounts, tries
 from tests.llm.conftest import SCHEMA, rows, words
 
 BYTE = public_tokenizers.path("byte_bpe_50k.json")
@@ -58,13 +57,13 @@ def audit_by_hand(data, min_docs=3, ranks=200):
 
 
 def test_divergence_equals_brute_force_and_sql(spark, none, monkeypatch):
-    data = several(random.Random(3), 150)
+    data = several(random.Random(3), 60)
     docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string").repartition(5)
     want = audit_by_hand(data)
     assert sorted(got(divergence.divergence(docs))) == want and {r[2] for r in want} == {"pair", "term"}
     clashing = docs.selectExpr("*", "'x' AS term", "'y' AS raw", "1 AS n", "'z' AS value", "2 AS rank", "3 AS kept")
     # tries sent early, blocks and tables of a few terms, few ranks
-    for name, n in (("GATHERED", 7), ("HELD", 20), ("RANGE_LEAVES", 11), ("BLOCK_TERMS", 5), ("TABLE_CELLS", 3)):
+    for name, n in (("GATHERED", 7), ("HELD", 20), ("RANGE_LEAVES", 400), ("BLOCK_TERMS", 5), ("TABLE_CELLS", 3)):
         monkeypatch.setattr(divergence, name, n)
     assert sorted(got(divergence.divergence(clashing, ranks=2))) == audit_by_hand(data, ranks=2)
     assert got(divergence.divergence(spark.createDataFrame([], "doc_id long, text string, lang string, source string"))) == []
@@ -85,6 +84,21 @@ def test_shares_and_distances_are_exact():
     assert divergence.distance(np.array([10**9 + 1]), np.array([1]))[0] == 10**18
 
 
+def trie_of(part):
+    import numpy as np
+    import pyarrow as pa
+
+    names = sorted({s for _, by in part.values() for s in by})
+    counters = [(i, names.index(s), n) for i, (_, by) in enumerate(part.values()) for s, n in by.items()]
+    leaf, source, counts = (np.array(c, np.int64) for c in zip(*counters, strict=True))
+    return tries.Trie(pa.array(list(part), pa.binary()), np.array([d for d, _ in part.values()]), leaf, source, counts, names)
+
+
+def leaves_of(trie):
+    terms, docs, sources, counts = (c.to_pylist() for c in trie.columns(0, len(trie)))
+    return [(t, d, dict(zip(s, n, strict=True))) for t, d, s, n in zip(terms, docs, sources, counts, strict=True)]
+
+
 def test_tries_merge_and_walk_in_byte_order():
     rng = random.Random(6)
     parts = []
@@ -92,21 +106,19 @@ def test_tries_merge_and_walk_in_byte_order():
         part = {}
         for _ in range(300):
             t = "".join(rng.choice("aabé日") for _ in range(rng.randrange(1, 7))).encode()
-            part[t] = (rng.randrange(1, 5), {rng.choice("xyz"): rng.randrange(1, 9)})
+            part[t] = (rng.randrange(1, 5), {rng.choice("xyz"): rng.randrange(1, 9) for _ in range(2)})
         parts.append(part)
     want = defaultdict(lambda: [0, Counter()])
     for p in parts:
         for t, (docs, by) in p.items():
             want[t][0] += docs
             want[t][1].update(by)
-    whole = merged(counted(p) for p in parts)
-    found = [(t, leaf.docs, leaf.by_source) for t, leaf in whole.leaves()]
-    assert [t for t, *_ in found] == sorted(want) and all(want[t] == [d, Counter(by)] for t, d, by in found)
-    assert whole.counters == sum(len(by) for _, by in want.values())
-    deep = RadixTrie()
-    for n in range(1, 3000):
-        deep.add(b"a" * n, 1, [("s", 1)])
-    assert [len(t) for t, _ in deep.leaves()] == list(range(1, 3000))
+    whole = tries.merge([tries.merge(map(trie_of, parts[:2])), *map(trie_of, parts[2:])])
+    assert leaves_of(whole) == [(t, want[t][0], dict(sorted(want[t][1].items()))) for t in sorted(want)]
+    depths, labels = tries.edges(sorted(want))
+    assert list(tries.walk(depths, labels)) == sorted(want) and sum(map(len, labels)) < sum(map(len, want))
+    deep = [b"a" * n for n in range(1, 500)]
+    assert tries.edges(deep) == ([*range(499)], [b"a"] * 499) and tries.edges([]) == ([], [])
 
 
 def search_by_hand(docs, items, k=10):
@@ -173,8 +185,8 @@ def test_thresholds_prune_and_keep_all_results():
     assert found == [(1, 0, 124), (1, 1, 120), (2, 0, 226), (2, 1, 220), (3, 0, 100), (3, 1, 100)]
 
 
-def test_token_counts_equal_the_library(spark, none):
-    data = [*rows(), (20, "<|endoftext|>", "en", 1), (21, "a<|endoftext|><|endoftext|> b <|endo", "en", 1), (22, "  \n\n  x y  z'll 'S 12ab  ", "en", 1), (23, "x" * 200_000, "en", 1), (24, words(random.Random(1), 60_000, 50), "en", 1)]
+def test_token_counts_equal_the_library(spark, none, monkeypatch):
+    data = [*rows(), (20, "<|endoftext|>", "en", 1), (21, "a<|endoftext|><|endoftext|> b <|endo", "en", 1), (22, "  \n\n  x y  z'll 'S 12ab  ", "en", 1), (23, "x" * 200_000, "en", 1), (24, words(random.Random(1), 30_000, 50), "en", 1)]
     tokenizer = Tokenizer.from_file(BYTE)
     want = Counter()
     for k, x, *_ in data:
@@ -182,7 +194,10 @@ def test_token_counts_equal_the_library(spark, none):
         want[k, len((x or "").encode()), n, n > 1024] += 1
     docs = spark.createDataFrame(data, SCHEMA).repartition(3).selectExpr("*", "1 AS block", "'p' AS piece", "2 AS number", "3 AS n", "4 AS first")
     assert Counter(got(tokencounts.token_counts(docs, BYTE))) == want
-    assert Counter(got(tokencounts.token_counts(docs, BYTE, block_bytes=500))) == want
+    monkeypatch.setattr(tokencounts, "KEPT_PIECES", 40)
+    assert Counter(got(tokencounts.token_counts(docs, BYTE))) == want
+    blank = spark.createDataFrame([(1, None), (2, ""), (2, "")], "doc_id long, text string")
+    assert sorted(got(tokencounts.token_counts(blank, BYTE))) == [(1, 0, 0, False), (2, 0, 0, False), (2, 0, 0, False)]
     assert got(tokencounts.token_counts(none, BYTE)) == []
 
 
@@ -193,6 +208,6 @@ def test_other_vocabularies_are_refused(none):
 
 def test_distinct_pieces_are_encoded_once(spark):
     docs = spark.createDataFrame([(i, "the same words", "en", 1) for i in range(50)], SCHEMA)
-    lists = tokencounts.frequency_lists(docs.coalesce(1), BYTE, block_bytes=200)
-    assert lists.select("block").distinct().count() == 4 and lists.selectExpr("explode(pieces) AS p").count() == 12
-    assert tokencounts.piece_counts(lists.selectExpr("explode(pieces) AS piece"), BYTE).count() == 3
+    lists = tokencounts.frequency_lists(docs.coalesce(1), BYTE)
+    assert lists.selectExpr("explode(pieces) AS p").count() == 3
+    assert tokencounts.piece_counts(lists.unionByName(lists).selectExpr("explode(pieces) AS piece"), BYTE).count() == 3
