@@ -6,30 +6,14 @@ import argparse
 from collections.abc import Sequence
 from pathlib import Path
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from rolescape import config, schemas, sinks
+from rolescape import config, sinks
 from rolescape.operators import dedup, integrity, ledger, reports, scoring
+from rolescape.shared import written
 from rolescape.sources import payloads, registry
-
-
-def stored(spark: SparkSession, root: str, table: str) -> DataFrame:
-    """The newest version of a table below a root; without one, no rows with the table's columns."""
-    try:
-        df = spark.read.parquet(f"{root}/{table}")
-    except AnalysisException:
-        return schemas.empty(spark, schemas.TABLES[table])
-    newest = df.agg(F.max("v")).first()[0]
-    return df.where(F.col("v") == newest).drop("v")
-
-
-def next_version(spark: SparkSession, root: str, table: str) -> int:
-    try:
-        return int(spark.read.parquet(f"{root}/{table}").agg(F.max("v")).first()[0]) + 1
-    except AnalysisException:
-        return 1
+from rolescape.store import Store
 
 
 def collect(spark: SparkSession, args: argparse.Namespace) -> int:
@@ -39,22 +23,16 @@ def collect(spark: SparkSession, args: argparse.Namespace) -> int:
     rows = payloads.read(args.kind, spark.read.parquet(args.landed))
     scored = scoring.score(rows, config.profile(args.config), as_of, taxonomy)
     kept = scoring.profile_filter(scored) if args.filter else scored
-    old = stored(spark, args.root, "jobs")
-    aliases = stored(spark, args.root, "job_identity_aliases")
-    # arrival numbers: any order of one landing is as good as another, but it must not change when a task is run again
-    numbered = kept.withColumn("seq", F.monotonically_increasing_id()).checkpoint()
-    merged = ledger.merge(old, aliases, numbered).checkpoint()
-    now = ledger.stored_rows(merged)
-    sinks.swap_snapshot(now, args.root, "jobs", next_version(spark, args.root, "jobs"))
-    sinks.swap_snapshot(ledger.add_aliases(aliases, ledger.aliases_of(now)), args.root, "job_identity_aliases", next_version(spark, args.root, "job_identity_aliases"))
-    totals = ledger.counts(merged).first()
+    # arrival follows the order of what makes a posting, so that one landing always merges alike
+    numbered = written(kept.orderBy("source_name", "found_at", "apply_url", "title", "company", "description"), "landing").withColumn("seq", F.monotonically_increasing_id())
+    totals = ledger.counts(Store(spark, args.root).upsert(numbered)).first()
     print(f"new {totals['new']}, updated {totals['updated']}")
     return 0
 
 
 def export(spark: SparkSession, args: argparse.Namespace) -> int:
     """Write the views of the ledger as CSV folders."""
-    jobs = stored(spark, args.root, "jobs")
+    jobs = Store(spark, args.root).read("jobs")
     live = reports.active(jobs)
     sinks.write_views({"representatives": dedup.representatives(live), "variants": dedup.variants(live), "by_country": dedup.summary_by(live, "country"), "by_company": dedup.summary_by(live, "company"), "high_priority": reports.high_priority(live), "top_100": reports.top_jobs(live)}, args.out)
     return 0
@@ -62,7 +40,8 @@ def export(spark: SparkSession, args: argparse.Namespace) -> int:
 
 def verify(spark: SparkSession, args: argparse.Namespace) -> int:
     """Print every check with its violations; 2 if there are any."""
-    tables = [stored(spark, args.root, t) for t in ("jobs", "job_identity_aliases", "private_imports", "gmail_alert_jobs", "gmail_alert_messages")]
+    store = Store(spark, args.root)
+    tables = [store.read(t) for t in ("jobs", "job_identity_aliases", "private_imports", "gmail_alert_jobs", "gmail_alert_messages")]
     found = integrity.verify(*tables).orderBy("check").collect()
     for r in found:
         print(f"{r['check']}: {r['violations']}")

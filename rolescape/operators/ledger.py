@@ -2,15 +2,18 @@
 
 An incoming row finds its stored row by explicit key, else by the one alias with its URL, else by the one with its
 fingerprint, and each row sees those merged before it. Rows that share no key, URL or fingerprint cannot affect each
-other, so the batch and the stored rows are split into connected groups, and each group is folded in arrival order.
+other, so the batch and the stored rows it reaches are split into connected groups, and each group is folded in arrival
+order. Identities are compared as 64-bit hashes for the grouping alone: a collision joins two groups, which changes no
+result. An incoming row that shares nothing is new without a fold.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +22,7 @@ from rolescape import schemas
 from rolescape.functions.text import first_filled, normalize, text
 from rolescape.functions.urls import canonical
 from rolescape.operators.dedup import best_per
+from rolescape.shared import written
 
 #: Columns that a filled incoming value refreshes, and those that a scored row overwrites.
 REFRESHED = ("title", "company", "location", "description", "apply_url", "source_url", "source_name", "published_at", "job_type", "salary_text", "experience_text", "skills_text", "agency_name", "recruiter_name", "recruiter_email", "contact_source_url", "contact_confidence")
@@ -44,16 +48,29 @@ def variant_key(base: Column, disambiguator: Column) -> Column:
     return F.sha2(F.concat_ws("|", base, F.lit("variant"), disambiguator), 256)
 
 
+def alias_pairs(fingerprint: Column, url: Column) -> Column:
+    """The aliases of a row as an array of (alias_type, alias_value); an empty value is none."""
+    pair = lambda kind, value: F.struct(F.lit(kind).alias("alias_type"), value.alias("alias_value"))
+    return F.filter(F.array(pair("fingerprint", fingerprint), pair("canonical_url", url)), lambda p: p["alias_value"] != "")
+
+
 def aliases_of(ledger: DataFrame) -> DataFrame:
-    """fingerprint and URL aliases of stored rows, first seen when found."""
-    pairs = F.array(F.struct(F.lit("fingerprint").alias("alias_type"), F.col("identity_fingerprint").alias("alias_value")), F.struct(F.lit("canonical_url").alias("alias_type"), F.col("canonical_url").alias("alias_value")))
-    rows = ledger.select(F.explode(pairs).alias("p"), "job_key", F.col("found_at").alias("first_seen_at"))
-    return rows.select("p.*", "job_key", "first_seen_at").where("alias_value <> ''").groupBy("alias_type", "alias_value", "job_key").agg(F.min("first_seen_at").alias("first_seen_at"))
+    """fingerprint and URL aliases of stored rows as they are now, first seen when found; for ledgers without aliases."""
+    rows = ledger.select(F.explode(alias_pairs(F.col("identity_fingerprint"), F.col("canonical_url"))).alias("p"), "job_key", F.col("found_at").alias("first_seen_at"))
+    return rows.select("p.*", "job_key", "first_seen_at").groupBy("alias_type", "alias_value", "job_key").agg(F.min("first_seen_at").alias("first_seen_at"))
+
+
+def alias_events(merged: DataFrame) -> DataFrame:
+    """The aliases that a merged batch registers: those of every incoming row under the key it got, first seen when the
+    first of them was found."""
+    rows = merged.where("action <> 'stored'").select(F.explode(alias_pairs(F.col("identity_fingerprint"), F.col("canonical_url"))).alias("p"), "job_key", "found_at", "seq")
+    return rows.select("p.*", "job_key", "found_at", "seq").groupBy("alias_type", "alias_value", "job_key").agg(F.min_by("found_at", "seq").alias("first_seen_at"))
 
 
 def add_aliases(aliases: DataFrame, more: DataFrame) -> DataFrame:
-    """Insert or ignore: what is there stays, of new ones the earliest."""
-    return aliases.unionByName(more).groupBy("alias_type", "alias_value", "job_key").agg(F.min("first_seen_at").alias("first_seen_at"))
+    """Insert or ignore: what is there stays."""
+    both = aliases.withColumn("_late", F.lit(0)).unionByName(more.withColumn("_late", F.lit(1)))
+    return both.groupBy("alias_type", "alias_value", "job_key").agg(F.min_by("first_seen_at", "_late").alias("first_seen_at"))
 
 
 def migrate(old: DataFrame) -> DataFrame:
@@ -79,11 +96,9 @@ def merge_values(stored: dict[str, Any], new: dict[str, Any]) -> dict[str, Any]:
 class Group:
     """The stored rows and aliases of one connected group, folded over its incoming rows."""
 
-    def __init__(self, stored: list[dict[str, Any]], aliases: list[tuple[str, str, str]]):
-        self.rows = {r["job_key"]: r for r in stored}
+    def __init__(self):
+        self.rows: dict[str, dict[str, Any]] = {}
         self.aliases: dict[tuple[str, str], set[str]] = {}
-        for kind, value, key in aliases:
-            self.aliases.setdefault((kind, value), set()).add(key)
 
     def only(self, kind: str, value: str, url: str) -> str | None:
         """The single row with an alias; one that has no URL or another doesn't take an incoming URL."""
@@ -114,21 +129,86 @@ class Group:
         return key, action
 
 
-def connected(rows: DataFrame) -> DataFrame:
-    """(id, group): rows (id, token) that share a token, directly or through others, get one group.
+def stars(edges: DataFrame) -> DataFrame:
+    """(a, b), b the smallest number connected with a, for every a that has a smaller one; edges are (a, b) with a > b.
 
-    Each round gives a row the smallest group among its tokens' rows and follows that group's own, until nothing
-    changes; the rounds are few, as identities chain over a handful of sightings. Lineage is cut by checkpoints.
+    Large and small stars in turn until nothing changes: each number's neighbours are hung on the smallest of them, the
+    larger ones first, then the smaller. The edges stay as many, and the rounds grow with the logarithm of a chain.
     """
-    state = rows.select("id").distinct().select("id", F.col("id").alias("group"))
+    spark, schema, said = edges.sparkSession, edges.schema, None
     while True:
-        by_token = rows.join(state, "id").groupBy("token").agg(F.min("group").alias("group"))
-        low = rows.join(by_token, "token").groupBy("id").agg(F.min("group").alias("low"))
-        jump = state.select(F.col("id").alias("low"), F.col("group").alias("jump"))
-        new = state.join(low, "id").join(jump, "low").select("id", F.least("group", "low", "jump").alias("next"), "group").checkpoint()
-        state = new.select("id", F.col("next").alias("group"))
-        if not new.where("next <> group").take(1):
-            return state
+        edges = written(edges, "stars")
+        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
+        if now == said or not now[0]:
+            return edges if now[0] else spark.createDataFrame([], schema)
+        said = now
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("low"))
+        edges = both.join(low, "a").where("b > a AND b > low").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
+        least = edges.groupBy("a").agg(F.min("b").alias("low"))
+        rest = edges.join(least, "a").where("b > low").select(F.col("b").alias("a"), F.col("low").alias("b"))
+        edges = least.select("a", F.col("low").alias("b")).unionByName(rest).distinct()
+
+
+def connected(rows: DataFrame) -> DataFrame:
+    """(id, group) of the rows (id, token) that share a token with another id, directly or through others."""
+    met = rows.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
+    links = written(rows.join(met, "token", "left_semi"), "links")
+    least = links.groupBy("id").agg(F.min("token").alias("low"))
+    found = stars(links.join(least, "id").where("token > low").select(F.col("token").alias("a"), F.col("low").alias("b")).distinct())
+    out = least.join(found.select(F.col("a").alias("low"), F.col("b").alias("group")), "low", "left")
+    return written(out.select("id", F.coalesce("group", "low").alias("group")), "groups")
+
+
+def token(kind: str, value: Column) -> Column:
+    return F.xxhash64(F.lit(kind), value)
+
+
+def folded(dealt: DataFrame, schema: T.StructType) -> DataFrame:
+    """Rows of group, part, seq, alias_type, alias_value and the ledger's columns, folded group by group.
+
+    Rows arrive sorted by group, part (0 stored, 1 alias, 2 incoming) and arrival, so a task holds one group's stored rows
+    at a time; its incoming rows pass through.
+    """
+    names = schemas.LEDGER.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        kinds, group, at, out = to_arrow_schema(schema), Group(), None, []
+
+        def close() -> None:
+            out.extend(r | {"seq": None, "action": "stored"} for r in group.rows.values())
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["group"] != at:
+                    close()
+                    group, at = Group(), r["group"]
+                if r["part"] == 1:
+                    group.aliases.setdefault((r["alias_type"], r["alias_value"]), set()).add(r["job_key"])
+                    continue
+                row = {c: r[c] for c in names}
+                if r["part"] == 0:
+                    group.rows[row["job_key"]] = row
+                else:
+                    key, action = group.upsert(row)
+                    out.append(row | {"job_key": key, "seq": r["seq"], "action": action})
+            if out:
+                yield pa.RecordBatch.from_pylist(out, kinds)
+                out.clear()
+        close()
+        if out:
+            yield pa.RecordBatch.from_pylist(out, kinds)
+
+    return dealt.repartition("group").sortWithinPartitions("group", "part", "seq").mapInArrow(run, schema)
+
+
+def incoming_tokens(new: DataFrame) -> Column:
+    """The identities by which an identified row can reach stored rows or be reached, as an array of numbers."""
+    base, url = first_filled(new["job_key"], new["identity_fingerprint"]), new["canonical_url"]
+    other = variant_key(base, first_filled(url, F.concat_ws("|", new["source_name"], new["apply_url"], new["source_url"])))
+    return F.array_distinct(F.array_compact(F.array(token("key", base), token("fingerprint", new["identity_fingerprint"]), F.when(url != "", token("canonical_url", url)), token("key", other))))
 
 
 def merge(ledger: DataFrame, aliases: DataFrame, incoming: DataFrame, seq: str = "seq") -> DataFrame:
@@ -136,43 +216,33 @@ def merge(ledger: DataFrame, aliases: DataFrame, incoming: DataFrame, seq: str =
 
     incoming has the job columns and an arrival number. The result has the ledger's columns and seq, action: seq is
     null and action is stored for ledger rows, else the row repeats the incoming one's outcome with action new or
-    updated and its job_key. Rows that no incoming one shares an identity with pass by without entering a group.
+    updated and its job_key. Rows that no incoming one shares an identity with pass by without entering a group. The
+    batch and what it reaches are written to the shared folder once.
     """
-    new = identified(incoming, seq)
-    tokens = new.select(F.concat(F.lit("n"), F.lpad(F.col(seq).cast("string"), 19, "0")).alias("id"), F.explode(F.array(
-        F.concat(F.lit("k:"), first_filled(F.col("job_key"), F.col("identity_fingerprint"))), F.concat(F.lit("f:"), F.col("identity_fingerprint")), F.when(F.col("canonical_url") != "", F.concat(F.lit("u:"), F.col("canonical_url"))),
-        F.concat(F.lit("k:"), variant_key(first_filled(F.col("job_key"), F.col("identity_fingerprint")), first_filled(F.col("canonical_url"), F.concat_ws("|", "source_name", "apply_url", "source_url")))),
-    )).alias("token")).where("token IS NOT NULL")
-    kind = F.when(F.col("alias_type") == "fingerprint", "f:").otherwise("u:")
-    stored_tokens = ledger.select("job_key", F.concat(F.lit("k:"), F.col("job_key")).alias("token")).unionByName(aliases.select("job_key", F.concat(kind, F.col("alias_value")).alias("token"))).distinct()
-    # stored rows that an incoming token reaches, then all their tokens: the rest of the ledger stays out
-    near = stored_tokens.join(tokens.select("token").distinct(), "token", "left_semi").select("job_key").distinct()
-    met = stored_tokens.join(near, "job_key", "left_semi")
-    every = tokens.unionByName(met.select(F.concat(F.lit("s"), F.col("job_key")).alias("id"), "token")).distinct()
-    groups = connected(every)
-    columns = schemas.LEDGER.names
-    blank = F.lit(None)
-    rows = new.select(*columns, F.col(seq).cast("long").alias("seq"), blank.cast("string").alias("alias"), F.concat(F.lit("n"), F.lpad(F.col(seq).cast("string"), 19, "0")).alias("id"))
-    kept = ledger.join(near, "job_key", "left_semi").select(*columns, blank.cast("long").alias("seq"), blank.cast("string").alias("alias"), F.concat(F.lit("s"), F.col("job_key")).alias("id"))
-    links = aliases.join(near, "job_key", "left_semi").select(*[blank.cast(f.dataType).alias(f.name) if f.name != "job_key" else F.col("job_key") for f in schemas.LEDGER.fields], blank.cast("long").alias("seq"), F.concat_ws(" ", "alias_type", "alias_value").alias("alias"), F.concat(F.lit("s"), F.col("job_key")).alias("id"))
-    dealt = rows.unionByName(kept).unionByName(links).join(groups, "id")
+    columns, blank = schemas.LEDGER.names, F.lit(None)
+    new = identified(incoming, seq).withColumnRenamed(seq, "seq")
+    new = written(new.withColumn("tokens", incoming_tokens(new)), "incoming")
+    own = new.select(F.col("seq").alias("id"), F.explode("tokens").alias("token"))
+    asked = own.select("token").distinct()
+    linked = aliases.withColumn("token", F.xxhash64("alias_type", "alias_value")).join(asked, "token", "left_semi")
+    by_key = ledger.select("job_key", token("key", F.col("job_key")).alias("token")).join(asked, "token", "left_semi")
+    met = written(by_key.unionByName(linked.select("job_key", "token")).distinct(), "met").withColumn("id", token("stored", F.col("job_key")))
+    groups = connected(own.unionByName(met.select("id", "token")))
+
+    near = met.select("job_key", "id").distinct().join(groups, "id").select("job_key", "group")
+    none = {"alias_type": blank.cast("string"), "alias_value": blank.cast("string")}
+    stored = ledger.select(*columns).join(near, "job_key").select(*columns, "group", F.lit(0).alias("part"), blank.cast("long").alias("seq")).withColumns(none)
+    links = linked.join(near, "job_key").select(*[F.col("job_key") if f.name == "job_key" else blank.cast(f.dataType).alias(f.name) for f in schemas.LEDGER.fields], "group", F.lit(1).alias("part"), blank.cast("long").alias("seq"), "alias_type", "alias_value")
+    coming = new.join(groups.withColumnRenamed("id", "seq"), "seq", "left")
+    dealt = stored.unionByName(links).unionByName(coming.where("group IS NOT NULL").select(*columns, "group", F.lit(2).alias("part"), "seq").withColumns(none))
     schema = T.StructType([*schemas.LEDGER.fields, T.StructField("seq", T.LongType()), T.StructField("action", T.StringType())])
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        alias = pdf["alias"].notna()
-        plain = pdf[~alias]
-        old, fresh = plain[plain["seq"].isna()], plain[plain["seq"].notna()].sort_values("seq")
-        group = Group(old[columns].to_dict("records"), [(*a.split(" ", 1), k) for a, k in zip(pdf.loc[alias, "alias"], pdf.loc[alias, "job_key"], strict=True)])
-        done = []
-        for s, row in zip(fresh["seq"], fresh[columns].to_dict("records"), strict=True):
-            key, action = group.upsert(row)
-            done.append(row | {"job_key": key, "seq": int(s), "action": action})
-        out = pd.DataFrame([r | {"seq": None, "action": "stored"} for r in group.rows.values()] + done, columns=schema.names)
-        return out.astype({"match_score": "int32", "seq": "Int64"})
-
-    folded = dealt.groupBy("group").applyInPandas(fold, schema)
+    # a row that shares nothing is stored under its own key, and is its own event
+    alone = coming.where("group IS NULL").withColumn("job_key", first_filled(F.col("job_key"), F.col("identity_fingerprint")))
+    twice = F.explode(F.array(F.struct(blank.cast("long").alias("seq"), F.lit("stored").alias("action")), F.struct(F.col("seq"), F.lit("new").alias("action"))))
+    alone = alone.select(*columns, twice.alias("e")).select(*columns, "e.seq", "e.action")
     untouched = ledger.join(near, "job_key", "left_anti").select(*columns, blank.cast("long").alias("seq"), F.lit("stored").alias("action"))
-    return untouched.unionByName(folded)
+    return untouched.unionByName(alone).unionByName(folded(dealt, schema))
 
 
 def stored_rows(merged: DataFrame) -> DataFrame:

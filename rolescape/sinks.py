@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,6 +66,47 @@ def write_evidence(folder: str | Path, number: int, body: bytes, suffix: str = "
     return str(target), digest
 
 
+def store_evidence(files: DataFrame, folder: str) -> DataFrame:
+    """Writes contents (sha256, content) below a shared folder under their hashes, and gives sha256, stored_path.
+
+    Tasks write each file below a name of its own and rename it, so a file under its hash is always whole; a task that is
+    run again finds or replaces the same bytes. Repeated contents are one file.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        for batch in batches:
+            paths = []
+            for digest, content in zip(batch.column("sha256").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                target = f"{root.rstrip('/')}/{digest[:2]}/{digest}"
+                part = f"{target}.{uuid.uuid4().hex}.part"
+                system.create_dir(f"{root.rstrip('/')}/{digest[:2]}", recursive=True)
+                try:
+                    with system.open_output_stream(part) as f:
+                        f.write(content)
+                    system.move(part, target)
+                finally:
+                    if system.get_file_info(part).is_file:
+                        system.delete_file(part)
+                paths.append(f"{folder.rstrip('/')}/{digest[:2]}/{digest}")
+            yield pa.RecordBatch.from_arrays([batch.column("sha256"), pa.array(paths, pa.string())], ["sha256", "stored_path"])
+
+    return files.select("sha256", "content").dropDuplicates(["sha256"]).mapInArrow(run, "sha256 string, stored_path string")
+
+
+def evidence_hashes(spark: SparkSession, folder: str) -> DataFrame:
+    """stored_path, sha256 of the files below an evidence folder, the hash of the bytes that are there now; without the
+    folder, no rows."""
+    try:
+        raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    except AnalysisException:
+        return spark.createDataFrame([], "stored_path string, sha256 string")
+    # the reader gives URIs; names are compared without their scheme
+    return raw.where(~F.col("path").endswith(".part")).select(F.regexp_replace("path", "^file:/+", "/").alias("stored_path"), F.sha2("content", 256).alias("sha256"))
+
+
 def swap_snapshot(df: DataFrame, root: str, table: str, version: int) -> str:
     """A table's new version beside the old; readers take the version that the caller then names current."""
     path = f"{root}/{table}/v={version:08d}"

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolescape.functions.emails import public_contact
-from rolescape.functions.text import collapse, contains_any, text
+from rolescape.functions.text import collapse, contains_any, line_value, text
 from rolescape.functions.urls import canonical, unwrapped
 from rolescape.operators.dedup import best_per
 from rolescape.sources.html import parse, to_text
@@ -146,8 +146,32 @@ def candidates(messages: DataFrame) -> DataFrame:
     return best_per(ok.withColumn("_k", F.concat_ws(" ", "message_id", F.when(F.col("error") == "", F.col("url")))), "_k", F.asc("candidate_index")).drop("_k")
 
 
-def files(spark: SparkSession, folder: str, most_bytes: int = 25_000_000) -> DataFrame:
-    """Text of private files below a folder: path, size_bytes, sha256, body, method, review_required, error.
+def headers(messages: DataFrame) -> DataFrame:
+    """message_id, subject, sender, sent of raw messages (message_id, raw); what can't be read is empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for k, raw in zip(batch.column("message_id").to_pylist(), batch.column("raw").to_pylist(), strict=True):
+                try:
+                    m = email.message_from_bytes(raw or b"", policy=email.policy.default)
+                    out.append((k, *[str(m.get(h, "") or "") for h in ("Subject", "From", "Date")]))
+                except Exception:  # its row says why; here it has no headers
+                    out.append((k, "", "", ""))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out, strict=True)], ["message_id", "subject", "sender", "sent"])
+
+    return messages.select("message_id", "raw").mapInArrow(run, "message_id string, subject string, sender string, sent string")
+
+
+def labelled_company(c: Column) -> Column:
+    """The value of a line that names the company, or empty."""
+    return collapse(line_value(c, "company|employer|organi[sz]ation|hiring company", 300))
+
+
+def files(spark: SparkSession, folder: str, most_bytes: int = 25_000_000, contents: bool = False) -> DataFrame:
+    """Text of private files below a folder: path, size_bytes, sha256, body, method, review_required, error, and with
+    `contents` their bytes.
 
     Text files are decoded, messages read as headers and body; endings without a reader here (PDF, images) give
     an empty body for review. Larger files are left out with an error.
@@ -178,7 +202,7 @@ def files(spark: SparkSession, folder: str, most_bytes: int = 25_000_000) -> Dat
             yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("size_bytes"), batch.column("content"), pa.array(bodies), pa.array(methods)], ["path", "size_bytes", "content", "body", "method"])
 
     read = raw.mapInArrow(run, "path string, size_bytes long, content binary, body string, method string")
-    return read.select("path", "size_bytes", F.sha2("content", 256).alias("sha256"), "body", "method", (F.length(F.trim("body")) < 80).alias("review_required"), F.when(F.col("method").isin("too_large", "unsupported", "unreadable"), F.col("method")).otherwise("").alias("error"))
+    return read.select("path", "size_bytes", F.sha2("content", 256).alias("sha256"), "body", "method", (F.length(F.trim("body")) < 80).alias("review_required"), F.when(F.col("method").isin("too_large", "unsupported", "unreadable"), F.col("method")).otherwise("").alias("error"), *(["content"] if contents else []))
 
 
 def new_only(incoming: DataFrame, known: DataFrame, key: str) -> DataFrame:
@@ -187,12 +211,12 @@ def new_only(incoming: DataFrame, known: DataFrame, key: str) -> DataFrame:
 
 
 def portal(sender: DataFrame, column: str, portals: dict[str, str] = PORTALS) -> DataFrame:
-    """sender with portal: the name of the portal whose domain sent it, else the display name, else the domain."""
+    """sender with portal: the name of the portal whose domain sent it, else the display name, else the domain, else "Gmail alert"."""
     domain = F.lower(F.regexp_extract(text(F.col(column)), r"@([A-Za-z0-9.\-]+)", 1))
     named = None
     for d, name in portals.items():
         hit = (domain == d) | domain.endswith("." + d)
         named = F.when(hit, name) if named is None else named.when(hit, name)
     display = F.trim(F.regexp_extract(text(F.col(column)), r'^\s*"?([^"<]*?)"?\s*<', 1))
-    rest = F.when(display != "", display).otherwise(domain)
+    rest = F.when(display != "", display).when(domain != "", domain).otherwise("Gmail alert")
     return sender.withColumn("portal", named.otherwise(rest) if named is not None else rest)

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.types import StructType
 
-from rolescape import schemas
-from rolescape.operators.ledger import aliases_of, health_latest, merge
+from rolescape import alerts
+from rolescape.operators.ledger import health_latest
+from rolescape.store import Store
 
 
 def landed(spark: SparkSession, folder: str, schema: StructType, files_per_batch: int = 100) -> DataFrame:
@@ -44,29 +45,24 @@ def late_windows(events: DataFrame, at: str, key: str, delay: str = "48 hours",
     return events.withWatermark(at, delay).groupBy(F.window(at, width), key).agg(F.count("*").alias("n"))
 
 
-def ledger(stream: DataFrame, root: str, seq: str = "seq") -> DataStreamWriter:
-    """Job rows with an arrival number, merged into a ledger below root as they come.
+def ledger(stream: DataFrame, root: str, writer: str = "ledger", seq: str = "seq") -> DataStreamWriter:
+    """Job rows with an arrival number, merged into the versioned ledger below root as they come.
 
-    Batch n reads version n and writes version n + 1 of the rows and their aliases (version 0 is empty), so a batch
-    that is run again after a failure writes the same version again. versions() reads one.
+    A batch is a version. It carries the writer's name and its number as a mark, so a batch that is run again after a
+    failure, or after it was stored, enters once. A stream that begins anew with another checkpoint folder takes another
+    writer's name; it goes on from the newest version.
     """
 
     def each(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows, aliases = versions(spark, root, number)
-        merged = merge(rows, aliases, batch, seq)
-        path = f"{root}/rows/v={number + 1:08d}"
-        merged.where("action = 'stored'").select(*schemas.LEDGER.names).write.mode("overwrite").parquet(path)
-        after = spark.read.schema(schemas.LEDGER).parquet(path)
-        known = aliases_of(after)
-        known.unionByName(aliases.select(*known.columns)).distinct().write.mode("overwrite").parquet(f"{root}/aliases/v={number + 1:08d}")
+        Store(batch.sparkSession, root).upsert(batch, seq=seq, mark=f"{writer}:{number}")
 
     return stream.writeStream.foreachBatch(each)
 
 
-def versions(spark: SparkSession, root: str, number: int) -> tuple[DataFrame, DataFrame]:
-    """The rows and aliases of a version; those of version 0 are empty."""
-    none = spark.createDataFrame([], schemas.LEDGER)
-    if number == 0:
-        return none, aliases_of(none)
-    return spark.read.schema(schemas.LEDGER).parquet(f"{root}/rows/v={number:08d}"), spark.read.schema(aliases_of(none).schema).parquet(f"{root}/aliases/v={number:08d}")
+def messages(stream: DataFrame, root: str, writer: str = "alerts") -> DataStreamWriter:
+    """Alert messages with their candidate jobs, into jobs, messages and links of one ledger version for each batch."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        alerts.ingest(Store(batch.sparkSession, root), batch, f"{writer}:{number}")
+
+    return stream.writeStream.foreachBatch(each)

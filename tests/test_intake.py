@@ -129,6 +129,7 @@ def test_documents_contact_files_and_bundles(spark, tmp_path):
 
 def test_a_streaming_ledger_merges_batch_by_batch(spark, tmp_path):
     from rolescape import schemas
+    from rolescape.store import Store
     from rolescape.streaming import ingest
 
     def land(name, *rows):
@@ -144,12 +145,16 @@ def test_a_streaming_ledger_merges_batch_by_batch(spark, tmp_path):
         q.awaitTermination()
 
     run()
-    rows, _ = ingest.versions(spark, str(tmp_path / "ledger"), 1)
-    assert {r["title"] for r in rows.collect()} == {"Designer", "Checker"}
+    store = Store(spark, str(tmp_path / "ledger"))
+    assert {r["title"] for r in store.read("jobs", version=1).collect()} == {"Designer", "Checker"}
     land("b", (3, ("Designer II", "Acme", "https://x.example/1?utm_source=a", "2024-02-01")), (4, ("Lead", "Acme", "https://x.example/4", "")))
     run()
-    rows, aliases = ingest.versions(spark, str(tmp_path / "ledger"), 2)
-    assert {r["title"] for r in rows.collect()} == {"Designer II", "Checker", "Lead"} and aliases.count() >= 6
+    assert {r["title"] for r in store.read("jobs").collect()} == {"Designer II", "Checker", "Lead"} and store.read("job_identity_aliases").count() == 7
+    # a stream that begins anew goes on from the newest version
+    land("c", (5, ("Another", "Acme", "https://x.example/5", "")))
+    again = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    ingest.ledger(again, str(tmp_path / "ledger"), writer="second").option("checkpointLocation", str(tmp_path / "offsets2")).trigger(availableNow=True).start().awaitTermination()
+    assert store.current() == 3 and store.read("jobs").count() == 4
 
 
 def test_listings_with_details_and_robots(spark):
