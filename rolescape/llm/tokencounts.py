@@ -130,7 +130,7 @@ def frequency_lists(docs: DataFrame, vocabulary: str, key: str = "doc_id", text:
 
 
 def piece_counts(pieces: DataFrame, vocabulary: str) -> DataFrame:
-    """piece, n: how many tokens the library gives for each distinct pre-token."""
+    """piece, n: how many tokens the library gives for each distinct pre-token, of a table with a piece in each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = library(vocabulary)
@@ -138,7 +138,10 @@ def piece_counts(pieces: DataFrame, vocabulary: str) -> DataFrame:
             found = [len(t.encode(p, add_special_tokens=False)) for p in batch.column("piece").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("piece"), pa.array(found, pa.int64())], ["piece", "n"])
 
-    return pieces.select("piece").distinct().mapInArrow(run, "piece string, n long")
+    # what else is in the row goes along, so that the join beside it reads the same shuffle
+    others = [c for c in pieces.columns if c != "piece"]
+    each = pieces.groupBy("piece").agg(*[F.min(c).alias(c) for c in others]) if others else pieces.distinct()
+    return each.mapInArrow(run, "piece string, n long")
 
 
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = 1024, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -152,7 +155,7 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 1024, key: str =
     lists = written(frequency_lists(docs, vocabulary, key, text), "frequencies")
     met = lists.where(F.size("pieces") > 0).select("task", "first", F.posexplode("pieces").alias("at", "piece"))
     # one shuffle by pre-token serves both the distinct ones and the join
-    met = met.select("task", (F.col("first") + F.col("at")).alias("number"), "piece").repartition("piece")
+    met = met.select("task", (F.col("first") + F.col("at")).alias("number"), "piece").where("piece IS NOT NULL").repartition("piece")
     answers = met.join(piece_counts(met, vocabulary), "piece").select("task", "number", "n", F.lit(None).cast("string").alias("file"))
     # a row for each file, so that files without any pre-token are read too
     files = lists.select("task", F.col("_metadata.file_path").alias("file")).distinct().select("task", F.lit(0).cast("long").alias("number"), F.lit(0).cast("long").alias("n"), "file")
