@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rolescape.functions.emails import all_emails, base_domain, mailbox_type, normalized, quality_reason, quality_type, verification
 from rolescape.functions.text import context, first_filled, once, text
+from rolescape.schemas import CONTACTS
 
 
 def from_text(df: DataFrame, body: str, organization: str) -> DataFrame:
@@ -70,6 +71,14 @@ def summary(cleaned: DataFrame) -> DataFrame:
 
 
 def read_outputs(spark: SparkSession, folder: str, name: str = "All_Official_Contacts.csv") -> DataFrame:
-    """The contact files of that name in all folders below one, nulls as empty; columns that some lack are empty there."""
-    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", name).option("header", "true").option("multiLine", "true").option("escape", '"').csv(folder)
-    return rows.na.fill("")
+    """The contact files of that name in all folders below one, by the names in each file's own header; nulls as empty, and
+    columns that some files lack are empty there."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", name).load(folder)
+    head = F.rtrim(F.substring_index(F.decode("content", "UTF-8"), "\n", 1), F.lit("\r"))
+    # a row for each different header, with the names of its files
+    groups = found.select("path", head.alias("head")).groupBy("head").agg(F.array_sort(F.collect_list("path")).alias("paths")).collect()
+    out = None
+    for g in sorted(groups, key=lambda r: r["paths"]):
+        part = spark.read.option("header", "true").option("multiLine", "true").option("escape", '"').option("encoding", "UTF-8").csv(g["paths"])
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out.na.fill("") if out is not None else spark.createDataFrame([], CONTACTS)

@@ -14,7 +14,7 @@ from rolescape.functions.text import collapse, contains_any, first_filled, hits,
 from rolescape.functions.urls import identity, is_web
 from rolescape.operators.dedup import best_per, representatives
 from rolescape.operators.dedup import variants as variants_of
-from rolescape.operators.matching import place
+from rolescape.operators.matching import city
 
 #: The shortlist's title and closing patterns and excluded statuses.
 ROLE = r"(?i)\b(piping|pipe layout|plant layout|e3d|pdms|sp3d|smartplant 3d)\b"
@@ -72,12 +72,15 @@ def shortlist(jobs: DataFrame, taxonomy: Taxonomy, targets: Sequence[str], as_of
     location = first_filled(jobs["location"], jobs["city"])
     url = first_filled(jobs["apply_url"], jobs["source_url"])
     closing, published = parsed(jobs["closing_at"]), parsed(jobs["published_at"])
-    cities = F.array_sort(F.array_distinct(F.filter(F.transform(split_places(location), lambda p: place(p, taxonomy)["city"]), lambda c: c.isin(*targets))))
+    cities = F.array_sort(F.array_distinct(F.filter(F.transform(split_places(F.col("location")), lambda p: city(p, taxonomy)), lambda c: c.isin(*targets))))
     status = publication_status(published, as_of)
     wanted = jobs["title"].rlike(ROLE) & ~jobs["title"].rlike(OTHER_ROLE) & ~text(jobs["description"]).rlike(CLOSED) & ~F.lower(text(jobs["application_status"])).isin(*GONE) & (closing.isNull() | (F.to_date(closing) >= F.to_date(as_of))) & is_web(url)
-    rows = jobs.where(wanted).select("company", "title", location.alias("location"), cities.alias("target_cities"), text(jobs["published_at"]).alias("published_at"), status.alias("publication_status"), text(jobs["last_seen_at"]).alias("last_seen_at"), F.coalesce(jobs["match_score"].cast("int"), F.lit(0)).alias("match_score"), url.alias("apply_url"), "source_name", F.lit("collected_listing_recheck_before_applying").alias("availability"), identity(first_filled(jobs["canonical_url"], url) if "canonical_url" in jobs.columns else url).alias("identity"), jobs["job_key"])
+    rows = jobs.where(wanted).select("company", "title", location.alias("location"), text(jobs["published_at"]).alias("published_at"), status.alias("publication_status"), text(jobs["last_seen_at"]).alias("last_seen_at"), F.coalesce(jobs["match_score"].cast("int"), F.lit(0)).alias("match_score"), url.alias("apply_url"), "source_name", F.lit("collected_listing_recheck_before_applying").alias("availability"), identity(first_filled(jobs["canonical_url"], url) if "canonical_url" in jobs.columns else url).alias("identity"), jobs["job_key"])
+    # the cities of what the cheap filters keep, once for each row
+    rows = once(rows, target_cities=cities)
     best = best_per(rows.where(F.size("target_cities") > 0), "identity", F.desc_nulls_last(parsed(F.col("last_seen_at"))), F.desc("match_score"), "company", "title", "job_key")
-    return best.drop("identity", "job_key").orderBy(F.col("publication_status") != "last_30_days", F.desc("match_score"), "company", "title")
+    best = best.select("company", "title", "location", "target_cities", *[c for c in best.columns if c not in ("company", "title", "location", "target_cities", "identity", "job_key")])
+    return best.orderBy(F.col("publication_status") != "last_30_days", F.desc("match_score"), "company", "title")
 
 
 def classify(jobs: DataFrame, as_of: Column, hours: int = 48, relevant: Sequence[str] = RELEVANT) -> DataFrame:

@@ -56,7 +56,7 @@ class Page(HTMLParser):
             self.main_open += 1
         elif not self.depth and (self.main is None and a.get("role", "") == "main" or tag == "main" != self.main_tag):
             self.main, self.main_tag, self.main_open = [], tag, 1
-        if tag == "script" and a.get("type", "").lower() == "application/ld+json":
+        if tag == "script" and (a.get("type") or "").split(";")[0].strip().lower() == "application/ld+json":
             self.ld = []
         if "data-cfemail" in a:
             self.cloudflare.append(a["data-cfemail"])
@@ -137,17 +137,27 @@ def html_text(markup: Column) -> Column:
     return convert(markup)
 
 
+#: Characters of markup whose results are handed on together.
+RESULT_CHARS = 4 << 20
+
+
 def per_page(df: DataFrame, key: str, markup: str, fn, ddl: str, names: list[str]) -> DataFrame:
     """Rows that fn(page) yields for each document, behind its key; a page that can't be parsed yields none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for k, m in zip(batch.column(key).to_pylist(), batch.column(markup).to_pylist(), strict=True):
-                out += [(k, *row) for row in fn(m)]
+            out, size, own = [], 0, [batch.schema.field(key).type, *kinds]
+            for k, m in zip(batch.column(key), batch.column(markup), strict=True):
+                try:
+                    out += [(k.as_py(), *row) for row in fn(m.as_py())]
+                except Exception:  # one bad page must not end the others
+                    continue
+                size += len(m.as_py() or "")
+                if size > RESULT_CHARS:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), own, strict=True)] if out else [pa.array([], t) for t in own], [key, *names])
+                    out, size = [], 0
             if out:
-                columns = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [batch.schema.field(key).type, *kinds], strict=True)], [key, *names])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), own, strict=True)], [key, *names])
 
     kind = df.schema[key].dataType.simpleString()
     kinds = [pa.int32() if part.split()[1] == "int" else pa.string() for part in ddl.split(", ")]
@@ -178,15 +188,17 @@ def body_text(df: DataFrame, key: str, markup: str) -> DataFrame:
 
 
 def flatten(value: Any) -> Iterator[dict[str, Any]]:
-    """All objects of a JSON-LD document, lists and @graph opened."""
-    if isinstance(value, list):
-        for x in value:
-            yield from flatten(x)
-    elif isinstance(value, dict):
-        graph = value.get("@graph")
-        if isinstance(graph, list):
-            yield from flatten(graph)
-        yield value
+    """All objects of a JSON-LD document, lists and @graph opened, what a graph holds before the object around it."""
+    todo = [(value, False)]
+    while todo:
+        x, opened = todo.pop()
+        if isinstance(x, list):
+            todo += [(y, False) for y in reversed(x)]
+        elif isinstance(x, dict):
+            if opened or not isinstance(x.get("@graph"), list):
+                yield x
+            else:
+                todo += [(x, True), (x["@graph"], False)]
 
 
 def said(value: Any, separator: str = "; ") -> str:
@@ -212,15 +224,18 @@ def pay(value: Any) -> str:
     return " ".join(x for x in (said(value.get("currency")), figures, f"per {unit}" if unit else "") if x) if figures else ""
 
 
-def postings(df: DataFrame, key: str, markup: str) -> DataFrame:
-    """JobPosting objects in a page's JSON-LD: key and title, company, location, description, url, dates and texts."""
+def postings(df: DataFrame, key: str, markup: str, company: str = "") -> DataFrame:
+    """JobPosting objects in a page's JSON-LD: key and title, company, location, description, url, dates and texts.
+
+    A posting without an organization's name gets the given company; a script that is no JSON, or nested too deep, has none.
+    """
     names = ["title", "company", "location", "description", "apply_url", "published_at", "closing_at", "job_type", "salary_text", "experience_text", "skills_text"]
 
     def found(m: str | None) -> Iterator[tuple]:
         for raw in parse(m).json_ld:
             try:
                 document = json.loads(raw)
-            except ValueError:
+            except (ValueError, RecursionError):
                 continue
             for x in flatten(document):
                 kinds = x.get("@type")
@@ -228,7 +243,7 @@ def postings(df: DataFrame, key: str, markup: str) -> DataFrame:
                     continue
                 org, places = x.get("hiringOrganization"), x.get("jobLocation")
                 where = [address(p) for p in (places if isinstance(places, list) else [places])] + (["Remote"] if said(x.get("jobLocationType")).upper() == "TELECOMMUTE" else [])
-                yield said(x["title"]), said(org.get("name")) if isinstance(org, dict) else "", " / ".join(w for w in where if w), to_text(said(x.get("description"))), said(x.get("url")), said(x.get("datePosted")), said(x.get("validThrough")), said(x.get("employmentType")), pay(x.get("baseSalary")), to_text(said(x.get("experienceRequirements"))), said(x.get("skills"))
+                yield said(x["title"]), (said(org.get("name")) if isinstance(org, dict) else said(org)) or company, " / ".join(w for w in where if w), to_text(said(x.get("description"))), said(x.get("url")), said(x.get("datePosted")), said(x.get("validThrough")), said(x.get("employmentType")), pay(x.get("baseSalary")), to_text(said(x.get("experienceRequirements"))), to_text(said(x.get("skills")))
 
     return per_page(df, key, markup, found, ", ".join(f"{n} string" for n in names), names)
 

@@ -5,7 +5,7 @@ import datetime
 import duckdb
 import pytest
 
-from rolescape.plans import intake, ledgers  # noqa: F401
+from rolescape.plans import intake, ledgers, walks  # noqa: F401
 from rolescape.plans.catalog import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
