@@ -34,7 +34,7 @@ def export(spark: SparkSession, args: argparse.Namespace) -> int:
     """Write the views of the ledger as CSV folders."""
     jobs = Store(spark, args.root).read("jobs")
     live = reports.active(jobs)
-    sinks.write_views({"representatives": dedup.representatives(live), "variants": dedup.variants(live), "by_country": dedup.summary_by(live, "country"), "by_company": dedup.summary_by(live, "company"), "high_priority": reports.high_priority(live), "top_100": reports.top_jobs(live)}, args.out)
+    sinks.write_views({"representatives": dedup.representatives_sorted(live), "variants": dedup.variants(live), "by_country": dedup.summary_by(live, "country"), "by_company": dedup.summary_by(live, "company"), "high_priority": reports.high_priority(live), "top_100": reports.top_jobs(live)}, args.out)
     return 0
 
 

@@ -18,7 +18,7 @@ from rolescape.functions.text import contains_phrase
 
 Groups = tuple[tuple[str, tuple[str, ...]], ...]
 #: Dictionaries of so many phrases are searched by expressions.
-FEW = 6
+FEW = 2
 WORD = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
 
 

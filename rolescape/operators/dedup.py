@@ -23,40 +23,55 @@ def duplicate_group(df: DataFrame) -> Column:
     return F.left(F.sha2(F.concat_ws("|", *parts), 256), F.lit(20))
 
 
-def descending(c: Column) -> Column:
-    """Text whose order is the reverse of the column's: its bytes in hex, each digit mirrored, and an end above all digits."""
-    return F.concat(F.translate(F.hex(text(c)), "0123456789ABCDEF", "FEDCBA9876543210"), F.lit("G"))
+def best_order(df: DataFrame) -> list[Column]:
+    """Which row of a group stands for it: the best scored and newest; ties fall to the smallest (company, title, key)."""
+    found = text(df["found_at"]) if "found_at" in df.columns else F.lit("")
+    return [F.desc(number(df["match_score"])), F.desc(text(df["published_at"])), F.desc(text(df["last_seen_at"])), F.desc(found), F.asc("company"), F.asc("title"), F.asc("job_key")]
+
+
+def group_sizes(df: DataFrame) -> DataFrame:
+    """duplicate_group, source_count of rows with a duplicate_group: counted before the shuffle."""
+    return df.groupBy("duplicate_group").agg(F.count("*").alias("source_count"))
+
+
+def best_rows(df: DataFrame) -> DataFrame:
+    """The row that stands for each duplicate_group; a task keeps one of each group before the shuffle."""
+    return best_per(df, "duplicate_group", *best_order(df))
 
 
 def representatives(jobs: DataFrame) -> DataFrame:
     """One row of each duplicate group, the best scored and newest, with the group's size, sources and URLs.
 
-    A single aggregation by group carries the best row as the largest of its ranks, so a hot group is reduced before
-    the shuffle and no window is needed.
+    Sizes and best rows are cut down to one row of a group and task before they are shuffled; sources and URLs are gathered
+    for groups of more than one row alone.
     """
     df = jobs.withColumn("duplicate_group", duplicate_group(jobs))
+    sizes = group_sizes(df)
     seen = -F.coalesce(F.unix_micros(iso(df["found_at"])), F.lit(0)) if "found_at" in df.columns else F.lit(0)
     order = F.struct(seen.alias("f"), df["company"].alias("c"), df["title"].alias("t"), df["job_key"].alias("j"))
-    rank = F.struct(number(df["match_score"]).alias("s"), text(df["published_at"]).alias("p"), text(df["last_seen_at"]).alias("l"), text(df["found_at"]).alias("f") if "found_at" in df.columns else F.lit("").alias("f"))
-    rows = F.struct(*[df[c] for c in jobs.columns])
-    # ties fall to the smallest (company, title, key)
-    ranked = F.struct(rank.alias("rank"), *[descending(df[c]).alias(c) for c in ("company", "title", "job_key")])
-    links = F.array_sort(F.collect_set(F.when(text(df["apply_url"]) != "", F.struct(order.alias("o"), df["apply_url"].alias("u")))))
-    one = df.groupBy("duplicate_group").agg(
-        F.max_by(rows, ranked).alias("row"), F.count("*").alias("source_count"),
-        F.array_join(F.array_sort(F.collect_set(F.nullif(text(df["source_name"]), F.lit("")))), "; ").alias("duplicate_sources"),
-        F.array_join(F.array_distinct(F.transform(links, lambda x: x["u"])), "\n").alias("all_apply_urls"),
+    said = df.select("duplicate_group", text(df["source_name"]).alias("source"), F.when(text(df["apply_url"]) != "", F.struct(order.alias("o"), df["apply_url"].alias("u"))).alias("link"))
+    many = said.join(sizes.where("source_count > 1").select("duplicate_group"), "duplicate_group", "left_semi")
+    lists = many.groupBy("duplicate_group").agg(
+        F.array_join(F.array_sort(F.collect_set(F.nullif(F.col("source"), F.lit("")))), "; ").alias("sources"),
+        F.array_join(F.array_distinct(F.transform(F.array_sort(F.collect_set("link")), lambda x: x["u"])), "\n").alias("urls"),
     )
-    keep = [F.col(f"row.{c}").alias(c) for c in jobs.columns if c != "duplicate_status"]
-    out = one.select(*keep, "duplicate_group", "source_count", "duplicate_sources", "all_apply_urls", F.when(F.col("source_count") > 1, "cross_source_duplicate").otherwise("unique").alias("duplicate_status"))
-    return out.orderBy(F.desc("match_score"), F.desc("published_at"), "company", "title", "job_key")
+    out = best_rows(df).join(sizes, "duplicate_group").join(lists, "duplicate_group", "left")
+    keep = [F.col(c) for c in jobs.columns if c != "duplicate_status"]
+    return out.select(
+        *keep, "duplicate_group", "source_count", F.coalesce("sources", text(F.col("source_name"))).alias("duplicate_sources"), F.coalesce("urls", text(F.col("apply_url"))).alias("all_apply_urls"),
+        F.when(F.col("source_count") > 1, "cross_source_duplicate").otherwise("unique").alias("duplicate_status"),
+    )
+
+
+def representatives_sorted(jobs: DataFrame) -> DataFrame:
+    """The representatives as the workbook lists them."""
+    return representatives(jobs).orderBy(F.desc("match_score"), F.desc("published_at"), "company", "title", "job_key")
 
 
 def variants(jobs: DataFrame) -> DataFrame:
     """All rows of groups with more than one row, with the group's size."""
     df = jobs.withColumn("duplicate_group", duplicate_group(jobs))
-    many = df.groupBy("duplicate_group").agg(F.count("*").alias("source_count")).where("source_count > 1")
-    return df.join(many, "duplicate_group").orderBy("duplicate_group", "source_name", "company", "title", "job_key")
+    return df.join(group_sizes(df).where("source_count > 1"), "duplicate_group").orderBy("duplicate_group", "source_name", "company", "title", "job_key")
 
 
 def summary_by(jobs: DataFrame, column: str) -> DataFrame:

@@ -12,8 +12,7 @@ from rolescape.config import Taxonomy
 from rolescape.functions.dates import REPORT_FORMATS, iso, parsed, publication_status, since, utc_text
 from rolescape.functions.text import collapse, contains_any, first_filled, hits, once, text
 from rolescape.functions.urls import identity, is_web
-from rolescape.operators.dedup import best_per, representatives
-from rolescape.operators.dedup import variants as variants_of
+from rolescape.operators.dedup import best_per, best_rows, duplicate_group, group_sizes
 from rolescape.operators.matching import city
 
 #: The shortlist's title and closing patterns and excluded statuses.
@@ -121,15 +120,15 @@ def daily_metrics(jobs: DataFrame, health: DataFrame, imports: DataFrame, contac
     Metrics of active jobs count one representative of each duplicate group. messages need a status, companies
     coverage_active and whether they are a gap (coverage_gap).
     """
-    live = active(jobs)
-    best, variants = representatives(live), variants_of(live)
+    live = active(jobs).withColumn("duplicate_group", duplicate_group(jobs))
+    sizes, best = group_sizes(live), best_rows(live)
     filled = lambda c: F.nullif(text(F.col(c)), F.lit(""))
     status = F.col("application_status")
     mail = text(F.col("status"))
     parts = [
         jobs.agg(F.date_format(as_of, "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias("generated_at"), F.count("*").alias("raw_source_rows"), *[F.count_if(status == s).alias(s) for s in ("applied", "follow_up", "rejected", "expired")]),
-        best.agg(F.count("*").alias("worldwide_deduplicated_jobs"), F.count_if(F.startswith(text(F.col("found_at")), F.date_format(as_of, "yyyy-MM-dd"))).alias("new_today"), F.count_if(F.col("priority").isin("critical", "high")).alias("high_priority"), F.count_distinct(filled("country")).alias("countries"), F.count_distinct(filled("company")).alias("companies")),
-        variants.agg(F.count("*").alias("duplicate_variant_rows")),
+        best.agg(F.count_if(F.startswith(text(F.col("found_at")), F.date_format(as_of, "yyyy-MM-dd"))).alias("new_today"), F.count_if(F.col("priority").isin("critical", "high")).alias("high_priority"), F.count_distinct(filled("country")).alias("countries"), F.count_distinct(filled("company")).alias("companies")),
+        sizes.agg(F.count("*").alias("worldwide_deduplicated_jobs"), F.coalesce(F.sum(F.when(F.col("source_count") > 1, F.col("source_count"))), F.lit(0)).alias("duplicate_variant_rows")),
         manual_review(jobs, imports).agg(F.count("*").alias("manual_review")),
         contacts.agg(F.count("*").alias("recruiter_contacts")),
         health.agg(F.count("*").alias("sources_total"), F.count_if(F.col("status").isin("pass", "pass_with_warnings")).alias("sources_passing"), F.count_if(F.col("status") == "fail").alias("sources_failing")),

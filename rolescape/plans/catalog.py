@@ -12,6 +12,7 @@ from rolescape.config import Groups, Taxonomy
 from rolescape.functions import dates, emails, text, urls
 from rolescape.operators import contacts, coverage, dedup, integrity, ledger, matching, reports, scoring
 from rolescape.plans.adapters import AS_OF, EVENTS_AS_OF, HEALTH_SQL, JOBS_SQL, PROFILE, PROVEN_SQL, REGISTRY_SQL, TAXONOMY, doc_jobs, health, jobs, literal, registry, table
+from rolescape.shared import written
 from rolescape.sources import html, mail
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -571,7 +572,8 @@ def line_window(spark, d):
 def halves(spark, d):
     """Documents as a stored ledger (even ids) and an incoming batch (all ids divisible by 4 again, and the odd ones)."""
     df = doc_jobs(spark, d).where("title <> '' AND company <> ''")
-    stored = ledger.identified(df.where("CAST(job_key AS BIGINT) % 2 = 0"))
+    # a ledger is a stored table
+    stored = written(ledger.identified(df.where("CAST(job_key AS BIGINT) % 2 = 0")), "ledger")
     coming = df.withColumn("seq", F.col("job_key").cast("long")).where("seq % 4 = 0 OR seq % 2 = 1")
     return stored, coming
 
