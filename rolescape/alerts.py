@@ -41,7 +41,7 @@ def ingest(store: Store, arrived: DataFrame, mark: str | None = None) -> DataFra
         return schemas.empty(spark, schemas.MESSAGES)
     touched = store.touched(arrived, "gmail_alert_messages")
     before, links = store.read("gmail_alert_messages", touched), store.read("gmail_alert_jobs", touched)
-    old = settled(before, links.select("message_id", "job_key"), store.read("jobs"))
+    old = settled(before, links.select("message_id", "job_key"), store.read("jobs", columns=["job_key"]))
     fresh = written(schemas.conform(arrived, schemas.struct("message_id", "thread_id", "query_text", "internal_ms")).join(arrived.select("message_id", "raw"), "message_id").dropDuplicates(["message_id"]).join(old, "message_id", "left_anti"), "messages")
     found = written(mail.candidates(fresh).orderBy("message_id", "candidate_index"), "candidates")
     offered = written(postings(found.where("error = ''")).orderBy("message_id", "candidate_index"), "postings").withColumn("seq", F.monotonically_increasing_id())

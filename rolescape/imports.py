@@ -91,7 +91,7 @@ def import_folder(store: Store, folder: str, evidence: str, max_files: int = 500
     usable = found.where((F.trim(F.col("body")) != "") & F.col("content").isNotNull())
     failed = found.join(usable.select("path"), "path", "left_anti").select("path", F.coalesce("sha256", F.lit("")).alias("sha256"), F.lit("failed").alias("status"))
 
-    plan = written(reconcile(store.read("private_imports"), usable.select("path", "sha256"), evidence_hashes(spark, at), store.read("jobs")), "plan")
+    plan = written(reconcile(store.read("private_imports"), usable.select("path", "sha256"), evidence_hashes(spark, at), store.read("jobs", columns=["job_key"])), "plan")
     asked = usable.dropDuplicates(["sha256"]).join(plan.where(F.col("state").isin("new", "retry")).select("sha256"), "sha256")
     mend = usable.dropDuplicates(["sha256"]).join(plan.where(F.col("state").startswith("repair")).select("sha256"), "sha256")
     now = utc_text(F.current_timestamp())

@@ -217,10 +217,14 @@ def merge(ledger: DataFrame, aliases: DataFrame, incoming: DataFrame, seq: str =
     updated and its job_key. Rows that no incoming one shares an identity with pass by without entering a group. The
     batch and what it reaches are written to the shared folder once.
     """
+    return merge_identified(ledger, aliases, written(identified(incoming, seq).withColumnRenamed(seq, "seq"), "incoming"))
+
+
+def merge_identified(ledger: DataFrame, aliases: DataFrame, new: DataFrame) -> DataFrame:
+    """merge() of rows that have their fingerprints and URLs. Of the description it only asks whether it is empty, so both
+    sides may hold a name of the text instead."""
     columns, blank = schemas.LEDGER.names, F.lit(None)
-    new = identified(incoming, seq).withColumnRenamed(seq, "seq")
-    new = written(new.withColumn("tokens", incoming_tokens(new)), "incoming")
-    own = new.select(F.col("seq").alias("id"), F.explode("tokens").alias("token"))
+    own = written(new.select(F.col("seq").alias("id"), F.explode(incoming_tokens(new)).alias("token")), "tokens")
     asked = own.select("token").distinct()
     linked = aliases.withColumn("token", F.xxhash64("alias_type", "alias_value")).join(asked, "token", "left_semi")
     by_key = ledger.select("job_key", token("key", F.col("job_key")).alias("token")).join(asked, "token", "left_semi")

@@ -47,18 +47,15 @@ _CLASSES = [
 
 def _batch(d, *cases):
     """Rows of a batch: for each class the (text's suffix, URL's suffix or None, whether the key is given), in order."""
-    out = []
+    case = lambda nth, suffix, url, keyed: F.struct(F.lit(nth).alias("nth"), F.lit(suffix).alias("suffix"), F.lit(url).cast("string").alias("url"), F.lit(keyed).alias("keyed"))
+    of = F.lit(None)
     for c, rows in enumerate(cases):
-        for nth, (suffix, url, keyed) in enumerate(rows):
-            own = d.where(F.col("n") % 8 == c)
-            out.append(own.select(
-                (F.col("n") * 4 + nth).alias("seq"), "title", F.col("source").alias("company"), F.col("lang").alias("location"), F.concat("body", F.lit(suffix)).alias("description"),
-                (F.concat(F.lit("https://example.com/jobs/"), F.col("n").cast("string"), F.lit(url)) if url is not None else F.lit("")).alias("apply_url"), (F.concat(F.lit("K"), F.col("n").cast("string")) if keyed else F.lit("")).alias("job_key"),
-            ))
-    whole = out[0]
-    for part in out[1:]:
-        whole = whole.unionByName(part)
-    return whole
+        of = F.when(F.col("n") % 8 == c, F.array(*[case(nth, *row) for nth, row in enumerate(rows)])).otherwise(of)
+    number = F.col("n").cast("string")
+    return d.withColumn("case", F.explode(of)).select(
+        (F.col("n") * 4 + F.col("case.nth")).alias("seq"), "title", F.col("source").alias("company"), F.col("lang").alias("location"), F.concat("body", "case.suffix").alias("description"),
+        F.when(F.col("case.url").isNotNull(), F.concat(F.lit("https://example.com/jobs/"), number, "case.url")).otherwise("").alias("apply_url"), F.when(F.col("case.keyed"), F.concat(F.lit("K"), number)).otherwise("").alias("job_key"),
+    )
 
 
 @query(f"""WITH d AS (SELECT doc_id AS n, 'Role ' || doc_id || ' ' || {FIRST_LINE} AS title, source, lang, coalesce(text, '') AS body, coalesce(text, '') || ' second' AS body2, coalesce(text, '') || ' third' AS body3, 'https://example.com/jobs/' || doc_id AS u FROM documents WHERE source <> ''),
@@ -75,7 +72,7 @@ def ledger_two_batches(spark, d):
     events = store.upsert(_batch(rows, [(" second", "", False)], [two], [two], [two], [(" second", "", True)], [one], [(" second", "", False), (" second", None, False), (" third", None, False)], [("", "z", True)]))
     none = F.lit(None).cast("long")
     out = events.select(F.lit("event").alias("kind"), "seq", "job_key", F.col("action").alias("said"), F.lit("").alias("value"))
-    out = out.unionByName(store.read("jobs").select(F.lit("job").alias("kind"), none.alias("seq"), "job_key", F.lit("").alias("said"), F.col("canonical_url").alias("value")))
+    out = out.unionByName(store.read("jobs", columns=["job_key", "canonical_url"]).select(F.lit("job").alias("kind"), none.alias("seq"), "job_key", F.lit("").alias("said"), F.col("canonical_url").alias("value")))
     return out.unionByName(store.read("job_identity_aliases").select(F.lit("alias").alias("kind"), none.alias("seq"), "job_key", F.col("alias_type").alias("said"), F.col("alias_value").alias("value")))
 
 

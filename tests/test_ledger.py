@@ -2,10 +2,11 @@
 
 import hashlib
 import random
+from pathlib import Path
 
 import pytest
 
-from rolescape import cli, schemas
+from rolescape import cli, schemas, shared
 
 
 from rolescape.operators import ledger
@@ -125,6 +126,34 @@ def test_only_touched_buckets_are_written_and_marks_are_kept(spark, tmp_path):
     assert store.read("jobs", version=1).where("last_seen_at = '9'").count() == 0 and store.read("jobs").count() == 40
 
 
+def test_texts_are_written_once_for_each_batch(spark, tmp_path, monkeypatch):
+    rng, size = random.Random(5), 40_000
+    long = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=size))
+    places = [tmp_path, Path(shared.folder(spark, "x").removeprefix("file://")).parent]
+    used = lambda: sum(f.stat().st_size for p in places for f in p.rglob("*.parquet"))
+    store, before = Store(spark, str(tmp_path), buckets=2), used()
+    one = [row(seq=i, job_key=f"k{i}", title=f"t{i}", description=long()) for i in range(10)]
+    store.upsert(frame(spark, one))
+    two = [one[0] | {"description": long()}, one[1] | {"description": "", "title": "Changed"}]
+    monkeypatch.setattr("rolescape.store.LANDED", 1)
+    events = store.upsert(frame(spark, two))
+    # 11 long texts are landed, and 10 of them gathered; before, a text was in five files after its first batch
+    assert used() - before < 21.5 * size
+    assert {r["seq"]: r["description"] for r in events.collect()} == {r["seq"]: r["description"] for r in two}
+    want = {r["job_key"]: r["description"] for r in one}
+    texts = lambda version: {r["job_key"]: r["description"] for r in store.read("jobs", version=version, columns=["job_key", "description"]).collect()}
+    assert texts(1) == want and texts(2) == texts(3) == want | {"k0": two[0]["description"]}
+    assert store.current() == 3 and len([k for k in store.manifest() if k[0] == "job_texts"]) == 1
+
+
+def test_rows_that_hold_their_description_are_merged(spark, tmp_path):
+    store, old = Store(spark, str(tmp_path), buckets=2), row(seq=1, job_key="k", description="@1:1 =")
+    whole = ledger.identified(frame(spark, [old, old | {"seq": 2, "job_key": "q", "title": "Other"}]))
+    store.publish(store.put("jobs", whole), 0)  # a ledger whose rows name no texts
+    store.upsert(frame(spark, [old | {"description": "", "city": "Pune"}, row(seq=2, job_key="n", description="=new")]))
+    assert {(r["job_key"], r["city"], r["description"]) for r in store.read("jobs").collect()} == {("k", "Pune", "@1:1 ="), ("q", "", "@1:1 ="), ("n", "", "=new")}
+
+
 def test_a_batch_that_fails_between_tables_leaves_the_version_before(spark, tmp_path, monkeypatch):
     store = Store(spark, str(tmp_path))
     store.upsert(frame(spark, [row(seq=1, job_key="k")]))
